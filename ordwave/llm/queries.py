@@ -123,14 +123,14 @@ framed AS (
   SELECT s.side, s.conv_id, s.pos, s.role, p.n, '<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) AS piece,
          12 + length(s.role) + 1 AS words
   FROM sides s JOIN prefix p USING (conv_id)),
-placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY side, conv_id, pos > n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM framed),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY side, conv_id, pos > n ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off_ FROM framed),
 made AS (
   SELECT conv_id, any_value(n) AS n,
     coalesce(string_agg(CASE WHEN side = 'c' AND pos <= n THEN piece END, '' ORDER BY pos), '') AS prompt,
     coalesce(string_agg(CASE WHEN side = 'c' AND pos > n THEN piece END, '' ORDER BY pos), '') AS chosen,
     coalesce(string_agg(CASE WHEN side = 'r' AND pos > n THEN piece END, '' ORDER BY pos), '') AS rejected,
-    coalesce(string_agg(CASE WHEN side = 'c' AND pos > n AND role = 'assistant' THEN (at + words)::BIGINT || ':' || (at + length(piece))::BIGINT END, ',' ORDER BY pos), '') AS chosen_mask,
-    coalesce(string_agg(CASE WHEN side = 'r' AND pos > n AND role = 'assistant' THEN (at + words)::BIGINT || ':' || (at + length(piece))::BIGINT END, ',' ORDER BY pos), '') AS rejected_mask
+    coalesce(string_agg(CASE WHEN side = 'c' AND pos > n AND role = 'assistant' THEN (off_ + words)::BIGINT || ':' || (off_ + length(piece))::BIGINT END, ',' ORDER BY pos), '') AS chosen_mask,
+    coalesce(string_agg(CASE WHEN side = 'r' AND pos > n AND role = 'assistant' THEN (off_ + words)::BIGINT || ':' || (off_ + length(piece))::BIGINT END, ',' ORDER BY pos), '') AS rejected_mask
   FROM placed GROUP BY conv_id)
 SELECT m.conv_id, m.n::BIGINT AS n_prompt_turns, m.prompt, m.chosen, m.rejected, m.chosen_mask, m.rejected_mask
 FROM made m WHERE m.conv_id IN (SELECT conv_id FROM rej)
