@@ -71,7 +71,7 @@ def _own_key(h1, h2) -> np.ndarray:
     return order, np.cumsum(new) - 1
 
 
-def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, carry: list[str] | None = None, group_bytes: int = 8 << 20) -> DataFrame:
+def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, carry: list[str] | None = None, group_bytes: int = 4 << 20) -> DataFrame:
     """Marks the words covered by a window whose words also start in a document with a smaller id.
 
     Windows are judged on the input, words compared unchanged. Returns for each row: id_col, n_words,
