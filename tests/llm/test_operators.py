@@ -1,0 +1,339 @@
+"""Each operator against a plain version, on the driver's small tables and on edge cases."""
+
+from __future__ import annotations
+
+import random
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from ordwave.llm import byte_bpe, chat, language, matroska, ngram_join, packing, pii, quality, queries, substring, token_counts
+from ordwave.llm.word_bpe import WordIds
+
+from . import brute
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, grp string, payload string, id int, n int, fp int, t int, c0 int, `__id` int, `__text` int, kept int, score int"
+
+
+def edge_rows():
+    """Null, empty, blank and very long texts, nulls in ids, ties, repeated rows and copies with changes."""
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)] + ["naïve", "Über", "日本語", "a@b.co", "10.0.0.1", "+1 (555) 010-9999", "4111 1111 1111 1111", "don't", "x y", "\U0001f600"]
+    passage = " ".join(rnd.choices(vocabulary, k=70))
+    base = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 260))) for _ in range(30)]
+    texts = [None, "", " \t\n ", "one", "a b c d", "A B C D", "a b c d e", "  lead  and\ttrail \n", "line\nline\nline\n\nline two\r\nline", *base]
+    for t in base[:15]:
+        w = t.split(" ")
+        w[rnd.randrange(len(w))] = "changed"
+        texts += [" ".join(w), t, t.upper()]
+    texts += [passage, f"before {passage} after", f"{passage} {passage}", f"x {passage}\n{base[3]} {passage}", " ".join(["same"] * 120), "<|endoftext|> <|startoftext|> text", " ".join(rnd.choices(vocabulary, k=30_000)), "9" * 5000, "word" * 4000, "1.2.3.4.5.6.7.8 999.1.1.1 a@@b.c a.b@c.d.e."]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return rows + [(None, base[0]), (None, None), rows[12], rows[12], (3, passage), (7, "other text of an id that is there already")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame([(d, t, "en", "g", "p", 1, 2, 3, 4, 5, 6, 7, 8, 9) for d, t in edge_rows()], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def pairs_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_ngram_join(which, request):
+    df = request.getfixturevalue(which)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert got == Counter(brute.components(pairs_of(df)))
+
+
+def test_ngram_join_groups(spark):
+    """A large group of near copies, many copies of one text, a common line, and chains just at the threshold."""
+    rnd = random.Random(3)
+    word = lambda: f"v{rnd.randrange(3000)}"
+    line = " ".join(word() for _ in range(12))
+    seed = [word() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(seed)
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            w[rnd.randrange(len(w))] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join(seed[:50])] * 40
+    rows += [f"{line} " + " ".join(word() for _ in range(rnd.randint(3, 40))) for _ in range(120)]
+    chain = [word() for _ in range(300)]
+    rows += [" ".join(chain[i : i + 54]) for i in range(0, 240, 5)]
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, group_bytes=20_000).collect())
+    assert got == Counter(brute.components(rows))
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_byte_bpe(which, request):
+    df = request.getfixturevalue(which)
+    encoder = byte_bpe._encoder(RANKS, public_tokenizers.PATTERN)
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, group_bytes=50_000), RANKS).collect())
+    want = Counter()
+    for d, t in pairs_of(df):
+        ids = encoder.encode_ordinary(t or "")
+        want[d, len(ids), struct.pack(f"<{len(ids)}I", *ids), (t or "").encode()] += 1
+    assert got == want
+
+
+def test_word_ids_equal_the_tokenizer():
+    coder = WordIds(WORDS)
+    texts = [t for _, t in edge_rows()] + ["a<|endoftext|>b", "it's o'clock 12th c++   x\x85y \x1c z", "É é ﬁ İ ǅ", "a­b ​ 　 c"]
+    coder.plain.encode_special_tokens = True
+    for text, ids in zip(texts, coder.encode(texts)):
+        want = coder.plain.encode(text or "", add_special_tokens=False).ids
+        assert ids == struct.pack(f"<{len(want)}I", *want), text
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_packing(which, request):
+    df = request.getfixturevalue(which)
+    coder = WordIds(WORDS)
+    want = Counter((d, *p) for d, t in pairs_of(df) for p in brute.pieces(coder.plain.encode(t or "", add_special_tokens=False).ids))
+    rows = packing.pack_documents(df, WORDS).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    filled = {}
+    for r in rows:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(filled) == plain_best_fit([r["length"] for r in rows], 2048)
+
+
+def plain_best_fit(lengths, capacity):
+    """Bins that best fit decreasing opens, one piece at a time."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, f in enumerate(free) if f >= n]
+        if fits:
+            free[min(fits, key=lambda i: free[i])] -= n
+        else:
+            free.append(capacity - n)
+    return len(free)
+
+
+def test_best_fit_plan_is_best_fit_decreasing():
+    rnd = random.Random(1)
+    for _ in range(60):
+        capacity = rnd.choice([1, 2, 7, 64, 100])
+        lengths = [rnd.randint(1, capacity) for _ in range(rnd.randint(0, 200))]
+        plan = packing.best_fit_plan(Counter(lengths), capacity)
+        used = Counter()
+        for length, _, ranks, each, first, _ in plan:
+            for r in range(ranks):
+                used[first + r // each] += length
+        assert sum(used.values()) == sum(lengths) and max(used.values(), default=0) <= capacity
+        assert len(used) == plain_best_fit(lengths, capacity)
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_quality(which, request):
+    df = request.getfixturevalue(which)
+    docs = pairs_of(df)
+    kept = brute.verdicts([t for _, t in docs], quality.fit_votes)
+    want = Counter((d, *brute.base_statistics(t), brute.base_failed(brute.statistics(t)), k) for (d, t), k in zip(docs, kept))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert Counter((r["doc_id"], *[r[c] for c in names]) for r in quality.quality(df).collect()) == want
+
+
+def test_quality_agrees_with_labels(spark, small, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    both = quality.quality(small).join(labels, "doc_id").select("kept", "quality").collect()
+    assert sum(bool(r["quality"]) == r["kept"] for r in both) / len(both) > 0.7
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_pii(which, request):
+    df = request.getfixturevalue(which)
+    want = Counter((d, tuple(brute.base_spans(t))) for d, t in pairs_of(df))
+    rows = pii.personal_data(df).collect()
+    assert Counter((r["doc_id"], tuple(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] in pii.KINDS[:4])) for r in rows) == want
+
+
+def test_pii_checksums_and_context():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765431")
+    kinds = lambda t: [s[0] for s in pii.find_spans(t)]
+    assert kinds("IBAN GB82 WEST 1234 5698 7654 32 here")[:1] == ["iban"]
+    assert "ssn" in kinds("my social security number is 123-45-6789") and "ssn" not in kinds("part 123-45-6789 of a list")
+    text = "mail a@b.co now"
+    assert pii.redact(text, pii.find_spans(text)) == "mail <EMAIL> now"
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_substring(which, request):
+    df = request.getfixturevalue(which)
+    docs = pairs_of(df)
+    gone = brute.covered(docs)
+    want = Counter((d, len(g), sum(g), " ".join(w for w, x in zip(brute.words(t), g) if not x), brute.without(t, g)) for (d, t), g in zip(docs, gone))
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_words"], r["kept_text"]) for r in substring.removed_words(df, group_bytes=30_000).collect())
+    assert got == want
+
+
+def test_matroska_round_trip(spark, sf, small):
+    rows = {r["doc_id"]: r for r in queries.op7_matroska(spark, sf).collect()}
+    docs = pairs_of(small)
+    assert len(rows) == len(docs)
+    for d, t in docs:
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = matroska.mux_samples(payload)
+        r = rows[d]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), brute.sha(payload), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), brute.sha(media)) and "whole=true" in r["feature"]
+
+
+def test_matroska_lacing_sizes_and_damage(spark):
+    frames = [b"a" * 3, b"b" * 700, b"", b"c" * 255, b"d" * 70000]
+    for mode in ("xiph", "ebml"):
+        block = matroska.element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 5, 0x80 | matroska.LACING.index(mode) << 1) + matroska.lace(frames, mode))
+        body = matroska._uint(matroska.TIMESTAMP, 1000) + block
+        cluster = matroska.element(matroska.CLUSTER, body)
+        unknown = b"\x18\x53\x80\x67\x01\xff\xff\xff\xff\xff\xff\xff" + matroska._id(matroska.CLUSTER) + b"\xff" + body + cluster
+        for data, times in ((matroska.element(matroska.SEGMENT, cluster), 1), (unknown, 2)):
+            found = matroska.parse(data)
+            assert found.whole and [data[s : s + n] for _, _, s, n, *_ in found.packets] == frames * times
+            assert {p[1] for p in found.packets} == {1005}
+    whole = matroska.mux_samples(bytes(range(256)) * 200)
+    cut = matroska.parse(whole[: len(whole) // 2])
+    assert not cut.whole
+    df = spark.createDataFrame([(1, whole), (2, whole[:500]), (3, b""), (4, None), (5, b"\x00\x01junk")], "id long, media binary")
+    got = {r["id"]: r for r in matroska.read_media(df).collect()}
+    assert bytes(got[1]["samples"]) == bytes(range(256)) * 200 and got[2]["whole"] is False and got[4]["packets"] is None and got[5]["packets"] == []
+    assert matroska.packet_table(df, "id").where("id = 1").count() == 50
+
+
+@pytest.mark.parametrize("which", ["edge", "small"])
+def test_token_counts(which, request):
+    df = request.getfixturevalue(which)
+    coder = WordIds(WORDS)
+    lengths = [len(coder.plain.encode(t or "", add_special_tokens=False).ids) for _, t in pairs_of(df)]
+    histogram = token_counts.length_histogram(df, WORDS)
+    table = {r["n_tokens"]: r for r in token_counts.context_table(histogram).collect()}
+    assert set(table) == set(lengths)
+    for n, r in table.items():
+        assert (r["n_docs"], r["docs_over"], r["tokens_over"]) == (lengths.count(n), sum(x > n for x in lengths), sum(x for x in lengths if x > n))
+        assert (r["kept_tokens"], r["lost_tokens"]) == (sum(min(x, n) for x in lengths), sum(max(0, x - n) for x in lengths))
+        assert r["share_fit"] == pytest.approx(sum(x <= n for x in lengths) / len(lengths))
+    assert token_counts.quantile(token_counts.context_table(histogram), 0.5).first()[0] == sorted(lengths)[-(-len(lengths) // 2) - 1]
+    got = {r["context"]: r["kept_tokens"] for r in token_counts.at_limits(histogram, [0, 100, 2048]).collect()}
+    assert got == {k: sum(min(x, k) for x in lengths) for k in (0, 100, 2048)}
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").collect()
+    truth = {r["doc_id"]: (r["lang"], r["text"]) for r in docs.collect()}
+    assert len(rows) == len(truth)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, truth[r["doc_id"]][1] or "")))
+    judged = [r["lang_pred"] == truth[r["doc_id"]][0] for r in rows if r["held_out"] and truth[r["doc_id"]][0] and len(truth[r["doc_id"]][1] or "") > 100]
+    assert sum(judged) / len(judged) > 0.9
+
+
+def test_language_mixtures(spark, edge, empty):
+    rows = [("the quick brown fox jumps over the lazy dog and runs", "en"), ("der schnelle braune fuchs springt über den faulen hund", "de")] * 20
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    mixed = " ".join([rows[0][0]] * 30 + [rows[1][0]] * 30)
+    got = language.identify(spark.createDataFrame([(1, mixed), (2, rows[0][0] * 5), (3, "123 !"), (4, None), (5, "ab")], "doc_id long, text string"), model)
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert {x["lang"] for x in found[1]["languages"]} == {"en", "de"} and [x["lang"] for x in found[2]["languages"]] == ["en"]
+    assert found[3]["lang_pred"] == found[4]["lang_pred"] == "und" and found[5]["lang_pred"] in ("en", "de")
+    assert language.identify(edge, model).count() == edge.count()
+    bare = language.learn(empty)
+    assert {r["lang_pred"] for r in language.identify(edge, bare).collect()} == {"und"}
+
+
+def plain_pairs(chosen, rejected):
+    frame = lambda t: f"<|im_start|>{t[0]}\n{t[1]}<|im_end|>\n"
+
+    def side(rows):
+        out = {}
+        for conv, turn, role, text in set(rows):
+            if conv is not None:
+                out.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+        return {k: [x[2:] for x in sorted(v)] for k, v in out.items()}
+
+    c, r = side(chosen), side(rejected)
+    for k in c.keys() & r.keys():
+        n = 0
+        while n < min(len(c[k]), len(r[k])) and c[k][n] == r[k][n]:
+            n += 1
+        masks = []
+        for turns in (c[k][n:], r[k][n:]):
+            at, spans = 0, []
+            for t in turns:
+                if t[0] == "assistant":
+                    spans.append((at + len("<|im_start|>assistant\n"), at + len(frame(t))))
+                at += len(frame(t))
+            masks.append(tuple(spans))
+        yield (k, n, "".join(map(frame, c[k][:n])), "".join(map(frame, c[k][n:])), "".join(map(frame, r[k][n:])), *masks)
+
+
+def test_chat(spark, sf):
+    schema = "conv_id long, turn long, role string, text string, n int, c int, r int"
+    chosen = [(1, 0, "user", "hi"), (1, 1, "assistant", "good"), (2, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", None), (3, 0, "user", "only here"), (None, 0, "user", "x"), (4, 0, "user", "same"), (5, None, None, "n"), (5, 1, "assistant", "á\U0001f600"), (6, 0, "user", "p"), (6, 1, "assistant", "longer")]
+    rejected = [(1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (2, 0, "user", "q"), (2, 1, "assistant", "y"), (2, 2, "assistant", "z"), (4, 0, "user", "same"), (5, None, None, "n"), (6, 0, "user", "p")]
+    frame = lambda rows: spark.createDataFrame([(*x, 1, 2, 3) for x in rows], schema)
+    flat = lambda df: Counter((r[0], r[1], r[2], r[3], r[4], tuple(map(tuple, r[5])), tuple(map(tuple, r[6]))) for r in df.collect())
+    assert flat(chat.preference_pairs(frame(chosen), frame(rejected))) == Counter(plain_pairs(chosen, rejected))
+    assert chat.preference_pairs(frame([]), frame(rejected)).count() == 0
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    other = queries.rejected_turns(table)
+    assert flat(chat.preference_pairs(table, other)) == Counter(plain_pairs([tuple(r) for r in table.collect()], [tuple(r) for r in other.collect()]))
+
+
+def test_chat_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    got = queries.op10_preference_format(spark, sf)
+    names = sorted(got.columns)
+    want = db.execute(queries.oracle_sql()["op10_preference_format"])
+    order = [[c[0] for c in want.description].index(n) for n in names]
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+def test_empty_tables(spark, empty):
+    assert ngram_join.jaccard_components(empty).count() == 0
+    assert byte_bpe.decode(byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+    assert packing.pack_documents(empty, WORDS).count() == 0
+    assert quality.quality(empty).count() == 0
+    assert pii.personal_data(empty).count() == 0
+    assert substring.removed_words(empty).count() == 0
+    assert matroska.read_media(matroska.store_samples(empty.select("doc_id", F.col("text").cast("binary").alias("media")), "media", "m2"), "m2").count() == 0
+    assert token_counts.context_table(token_counts.length_histogram(empty, WORDS)).count() == 0
+
+
+def test_vote_model_without_documents():
+    model = quality.fit_votes(np.zeros((0, 3), np.int64), np.zeros(0))
+    assert model.posterior(np.array([[1, 1, 1]]))[0] > 0.5 > model.posterior(np.array([[0, 0, 0]]))[0]
