@@ -56,7 +56,8 @@ def image_folder(spark: SparkSession, path: str, exponent: int = 0, start: int =
     files = files.where(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(IMAGES))
     numbered = files.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("image_no")).where(F.col("image_no") >= start // times)
     rows = numbered.join(files.select("name", "content"), "name")
-    return rows.select((F.col("image_no").cast("long") * times + F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).alias("frame_no"), "name", "content").where(F.col("frame_no") >= start)
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return copies.select((F.col("image_no").cast("long") * times + F.col("copy")).alias("frame_no"), "name", "content").where(F.col("frame_no") >= start)
 
 
 def raw_frames(df: DataFrame, content: str, h: int, w: int, bits_per_pixel: int = 24) -> DataFrame:
