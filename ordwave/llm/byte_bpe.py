@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import answer, ask, group_rows, pack, pieces, resolve, squeeze, total_bytes, unsqueeze
+from .text import slices
+
+#: Ids that are decoded at a time.
+STEP = 1 << 16
 
 #: White space as the rank files' pattern means it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -40,46 +46,31 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-class _Uneven(Exception):
-    """A piece that a single space does not part from its neighbours."""
-
+class Pretokens:
+    """Splits texts at their single spaces, so that each distinct piece is matched once in a group.
 
-class Pretokens(dict):
-    """The pre-tokens of ' ' + piece, for pieces between single spaces; kept from call to call up to a bound."""
+    A space between two other characters always begins a match, and what stands on either side does
+    not change how the other is matched: many pieces can be matched in one run, joined by spaces.
+    """
 
-    BOUND = 1 << 20
+    RUN = 1 << 15
 
     def __init__(self, pattern: str):
         import regex
 
         inner = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-        self.find, self.edge = regex.compile(inner).findall, regex.compile(rf"[{_SPACE}]")
-
-    def __missing__(self, piece: str):
-        if not piece or self.edge.match(piece) or self.edge.match(piece[-1]):
-            raise _Uneven
-        if len(self) > self.BOUND:
-            self.clear()
-        out = self[piece] = self.find(" " + piece)
-        return out
+        self.find = regex.compile(inner).findall
+        self.uneven = re.compile(rf"\A | [{_SPACE}]|[{_SPACE}](?: |\Z)").search
 
     def pieces(self, text: str) -> list[str] | None:
-        """The text split at its single spaces, or None where white space meets a space or the text's end.
-
-        A space between two other characters always begins a match, and what stands on either side
-        does not change how the other is matched.
-        """
-        out = text.split(" ")
-        try:
-            for p in out[1:]:
-                if p not in self:
-                    self[p]
-            head = out[0]
-            if len(out) > 1 and (not head or self.edge.match(head[-1])):
-                raise _Uneven
-        except _Uneven:
-            return None
-        return out
+        """The text split at its single spaces, or None where white space meets a space or the text's end."""
+        return None if self.uneven(text) else text.split(" ")
+
+    def runs(self, pieces: set[str]):
+        """For some pieces at a time: the pieces and the pre-tokens of each ' ' + piece, in a row."""
+        it = iter(pieces)
+        while some := list(itertools.islice(it, self.RUN)):
+            yield some, self.find(" " + " ".join(some))
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,7 +79,7 @@ def _pretokens(pattern: str) -> Pretokens:
 
 
 def _distinct(texts: list[str | None], split: Pretokens) -> tuple[set[str], set[str]]:
-    """The distinct pre-tokens of the texts, and the distinct pieces between single spaces."""
+    """The distinct pre-tokens of the texts, and the distinct pieces that follow a single space."""
     words: set[str] = set()
     known: set[str] = set()
     for text in texts:
@@ -97,12 +88,23 @@ def _distinct(texts: list[str | None], split: Pretokens) -> tuple[set[str], set[
             words.update(split.find(text))
         else:
             words.update(split.find(parts[0]))
-            known.update(parts[1:])
-    for p in known:
-        words.update(split[p])
+            known.update(itertools.islice(parts, 1, None))
+    for _, found in split.runs(known):
+        words.update(found)
     return words, known
 
 
+def _of_pieces(known: set[str], split: Pretokens, ids_of: dict[str, bytes]) -> dict[str, bytes]:
+    """The ids of each ' ' + piece: a pre-token that starts with a space begins the next piece."""
+    out = {}
+    for some, found in split.runs(known):
+        begin = [i for i, w in enumerate(found) if w[0] == " "]
+        ids = [ids_of[w] for w in found]
+        for p, a, b in zip(some, begin, [*begin[1:], len(found)], strict=True):
+            out[p] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+    return out
+
+
 def _routed(words: set, buckets: int) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
     for w in sorted(x.encode() for x in words):
@@ -110,7 +112,7 @@ def _routed(words: set, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 10 << 20) -> DataFrame:
     """Ids of every whole text by the ranks of a file, each match of `pattern` encoded by itself.
 
     Returns id_col, n_tokens long and ids, the ids as little-endian unsigned 32-bit integers in
@@ -135,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def reply(payloads):
         ids_of = _encoder(ranks_path, pattern)._encode_single_piece
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         out = []
         for p in payloads:
             n = int.from_bytes(p[:8], "little")
@@ -146,34 +148,37 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 w = raw[a:b]
                 ids = known.get(w)
                 if ids is None:
-                    ids = known[w] = ids_of(w)
+                    ids = known[w] = array("I", ids_of(w)).tobytes()
                 found.append(ids)
-            lengths = squeeze(np.fromiter(map(len, found), "<u4", len(found)))
-            ids = squeeze(np.fromiter(itertools.chain.from_iterable(found), "<u4"))
-            out.append(len(lengths).to_bytes(8, "little") + lengths + ids)
+            lengths = squeeze(np.fromiter(map(len, found), "<u4", len(found)) // 4)
+            out.append(len(lengths).to_bytes(8, "little") + lengths + squeeze(np.frombuffer(b"".join(found), "<u4")))
         return out
 
     def finish(table, replies):
         rows = group_rows(table, order_by)
         split, texts = _pretokens(pattern), rows.column("__text").to_pylist()
         words, known = _distinct(texts, split)
-        ids_of: dict[str, bytes] = {}
-        for bucket, mine in _routed(words, buckets).items():
-            p = replies[bucket]
+        routed, ids_of = _routed(words, buckets), {}
+        del words
+        while routed:
+            bucket, mine = routed.popitem()
+            p = replies.pop(bucket)
             n = int.from_bytes(p[:8], "little")
             ends = np.cumsum(4 * unsqueeze(p[8 : 8 + n], "<u4").astype(np.int64)).tolist()
             raw = unsqueeze(p[8 + n :], np.uint8).tobytes()
             for w, a, b in zip(mine, [0, *ends], ends):
                 ids_of[w.decode()] = raw[a:b]
-        of_piece = {p: b"".join([ids_of[w] for w in split[p]]) for p in known}
-        out = []
+        of_piece = _of_pieces(known, split, ids_of)
+        known, out = None, []
         for text in texts:
             parts = split.pieces(text or "")
             if parts is None:
                 out.append(b"".join([ids_of[w] for w in split.find(text)]))
             else:
                 out.append(b"".join([ids_of[w] for w in split.find(parts[0])]) + b"".join([of_piece[p] for p in itertools.islice(parts, 1, None)]))
+        del texts, ids_of, of_piece
         ids = pa.array(out, pa.binary())
+        del out
         return pa.table({"__id": rows.column("__id"), "n_tokens": pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), "ids": ids})
 
     schema = T.StructType([T.StructField("__id", source.schema["__id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -205,16 +210,20 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
 
     def run(batches):
         start, length, raw = _token_bytes(ranks_path)
-        for batch in batches:
-            found = []
-            for x in batch.column(place).to_pylist():
-                if x is None:
-                    found.append(None)
-                    continue
-                ids = np.frombuffer(x, "<u4").astype(np.int64)
-                n = length[ids]
-                at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                found.append(raw[at].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
+        for whole in batches:
+            for batch in slices(whole, ids_col):
+                found = []
+                for x in batch.column(place).to_pylist():
+                    if x is None:
+                        found.append(None)
+                        continue
+                    some = []
+                    for first in range(0, len(x), 4 * STEP):
+                        ids = np.frombuffer(x[first : first + 4 * STEP], "<u4")
+                        n = length[ids]
+                        at = np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                        some.append(raw[at].tobytes())
+                    found.append(b"".join(some))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
