@@ -111,29 +111,29 @@ def mixtures(model: LanguageModel, owner: np.ndarray, cls: np.ndarray, count: np
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
     who = owner[begin]
     local = np.repeat(np.arange(len(who)), np.diff([*begin, len(owner)]))
-    like = np.exp(model.log_p[:, cls]).T
+    log_like = model.log_p[:, cls]
+    like = np.exp(log_like)
     size = np.add.reduceat(count, begin).astype(float)
 
     def fit(allowed):
-        pi = allowed / allowed.sum(1, keepdims=True)
+        pi = allowed / allowed.sum(0)
         for _ in range(rounds):
-            joint = like * pi[local]
-            joint *= (count / joint.sum(1))[:, None]
-            pi = np.add.reduceat(joint, begin, axis=0) / size[:, None]
-        return pi, np.add.reduceat(count * np.log((like * pi[local]).sum(1)), begin)
-
-    full, _ = fit(np.ones((len(who), k_all)))
-    rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_score = None, None
-    for k in range(1, min(most, k_all) + 1):
+            joint = like * pi[:, local]
+            joint *= count / joint.sum(0)
+            pi = np.add.reduceat(joint, begin, axis=1) / size
+        return pi, np.add.reduceat(count * np.log((like * pi[:, local]).sum(0)), begin)
+
+    full, _ = fit(np.ones((k_all, len(who))))
+    rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
+    best = (rank == 0).astype(float)  # one language: nothing to estimate
+    alone = np.add.reduceat(log_like * count, begin, axis=1)
+    best_score = (alone * best).sum(0) - penalty * np.log(np.maximum(size, 2))
+    for k in range(2, min(most, k_all) + 1):
         pi, log = fit((rank < k).astype(float))
         score = log - penalty * k * np.log(np.maximum(size, 2))
-        if best is None:
-            best, best_score = pi, score
-        else:
-            better = score > best_score
-            best[better], best_score[better] = pi[better], score[better]
-    p[who] = best
+        better = score > best_score
+        best[:, better], best_score[better] = pi[:, better], score[better]
+    p[who] = best.T
     return p
 
 
@@ -164,7 +164,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches):
         model = sent.value
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 64 << 10):
                 p = mixtures(model, *grams(batch.column("text")), batch.num_rows)
                 known = _lettered(batch.column("text")) & bool(model.languages)
                 top = p.argmax(1) if model.languages else np.zeros(len(p), np.int64)
