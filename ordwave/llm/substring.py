@@ -1,9 +1,9 @@
 """Exact substring dedup by super-k-mers.
 
 A window is `size` consecutive words. Its minimiser is the smallest hash of the short word runs in
-it. Consecutive windows of a text with one minimiser travel as one packed string of word codes to
-the minimiser's bucket, where sorting finds windows that occur in several documents. Two steps keep
-this small: minimisers that occur in one document only are answered first and their windows stay at
+it. Consecutive windows of a text with one minimiser travel as one packed string of words to
+the minimiser's bucket, where sorting finds windows that occur in several documents. Sorting is by
+fingerprints, but windows count as equal only when their words are. Two steps keep this small: minimisers that occur in one document only are answered first and their windows stay at
 home; and of windows that a group holds in several documents, only those of its smallest id travel.
 So a passage that very many documents share reaches its bucket once per group.
 """
@@ -71,6 +71,48 @@ def _own_key(h1, h2) -> np.ndarray:
     return order, np.cumsum(new) - 1
 
 
+def _equal_windows(words: Words, h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """A group number for each window of `size` words (they begin at words `at`, ascending), equal where the words are; and how many.
+
+    Fingerprints only propose groups: each window is compared with the first of its group, neighbours
+    that have neighbours as firsts in one go, and a group that holds other words too is dealt by words.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64), 0
+    order, sorted_group = _own_key(window_hashes(h, size, 21)[at], window_hashes(h, size, 22)[at])
+    first = order[np.flatnonzero(np.diff(sorted_group, prepend=-1))]
+    group = np.empty(len(order), np.int64)
+    group[order] = sorted_group
+    n = len(first)
+    again = np.flatnonzero(first[group] != np.arange(len(group)))
+    p, q = at[again], at[first[group[again]]]
+    new = np.ones(len(again), bool)
+    new[1:] = (np.diff(p) != 1) | (np.diff(q) != 1)
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(again)))
+    raw, wrong = words.data.tobytes(), []
+    spans = [x.tolist() for x in (words.starts[p[begin]], words.ends[p[begin] + length + size - 2], words.starts[q[begin]], words.ends[q[begin] + length + size - 2])]
+    for i, (a, b, c, d) in enumerate(zip(*spans)):
+        if raw[a:b] != raw[c:d] and raw[a:b].split() != raw[c:d].split():
+            wrong.append(again[begin[i] : begin[i] + length[i]])
+    if wrong:
+        dealt: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(np.isin(group, group[np.concatenate(wrong)])):
+            key = b" ".join(raw[words.starts[at[i]] : words.ends[at[i] + size - 1]].split())
+            group[i] = dealt.setdefault((int(group[i]), key), n + len(dealt))
+        n += len(dealt)
+    return group, n
+
+
+def _spell(words: Words, which: np.ndarray) -> np.ndarray:
+    """The bytes of the words `which`, a space after each."""
+    length = words.ends[which] - words.starts[which] + 1
+    begin = np.cumsum(length) - length
+    out = words.data[np.minimum(np.repeat(words.starts[which] - begin, length) + np.arange(int(length.sum())), len(words.data) - 1)]
+    out[begin + length - 1] = 32
+    return out
+
+
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, carry: list[str] | None = None, group_bytes: int = 4 << 20) -> DataFrame:
     """Marks the words covered by a window whose words also start in a document with a smaller id.
 
@@ -126,29 +168,18 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shared = np.bincount(inverse, weights=np.concatenate(times))[inverse] > 1
         return [squeeze(np.packbits(x)) for x in np.split(shared, np.cumsum(sizes)[:-1])]
 
-    def fingerprints(h, at=None):
-        a, b = window_hashes(h, size, 21), window_hashes(h, size, 22)
-        return (a, b) if at is None else (a[at], b[at])
-
-    def code_hashes(codes):
-        return mix(codes.astype(np.uint64), 40)
-
     def at_home(w, rank):
         """Windows that a smaller id of the group has too (marked), and those of the smallest id there."""
-        codes = (w.hash & np.uint64(0xFFFFFFFF)).astype("<u4")
-        h1, h2 = fingerprints(code_hashes(codes), w.valid) if len(w.valid) else (np.zeros(0, np.uint64),) * 2
-        order, group = _own_key(h1, h2)
+        group, n = _equal_windows(w.words, w.hash, w.valid, size)
         r = rank[w.doc]
-        r_known = np.where(r < 0, 2**62, r)
-        low = np.full(group[-1] + 1 if len(group) else 0, 2**62)
-        np.minimum.at(low, group, r_known[order])
-        first = np.empty(len(order), np.int64)
-        first[order] = low[group]
-        return codes, (r > first) & (r >= 0), (r == first) & (r >= 0)
+        low = np.full(n, 2**62)
+        np.minimum.at(low, group, np.where(r < 0, 2**62, r))
+        first = low[group]
+        return (r > first) & (r >= 0), (r == first) & (r >= 0)
 
     def travelling(w, rank, shared):
-        codes, marked, first = at_home(w, rank)
-        return codes, marked, np.flatnonzero(first & shared)
+        marked, first = at_home(w, rank)
+        return marked, np.flatnonzero(first & shared)
 
     def super_kmers(w, go):
         """Runs of consecutive travelling windows of one text and minimiser: (first index into go, length)."""
@@ -180,48 +211,45 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def send_windows(table, answers):
         rows, w, rank = rows_of(table)
-        codes, _, go = travelling(w, rank, shared_of(w, rank, answers))
+        _, go = travelling(w, rank, shared_of(w, rank, answers))
         bucket, begin, length = routed(w, go)
         ids = rows.column("__id").combine_chunks()
         found = {"grp": [], "bucket": [], "payload": []}
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, z in zip(cut, [*cut[1:], len(bucket)]):
             b, n = begin[a:z], length[a:z]
-            words = codes[ranges(w.valid[go[b]], n + size - 1)]
+            spelt = _spell(w.words, ranges(w.valid[go[b]], n + size - 1))
             head = pa.table({"id": ids.take(pa.array(w.doc[go[b]])), "n": pa.array(n.astype(np.int32))})
             head = to_ipc(head)
             found["bucket"].append(int(bucket[a]))
-            found["payload"].append(len(head).to_bytes(8, "little") + head + squeeze(words))
+            found["payload"].append(len(head).to_bytes(8, "little") + head + squeeze(spelt))
         found["grp"] = [table.column("grp")[0].as_py()] * len(found["bucket"])
         return pa.table({"grp": pa.array(found["grp"], pa.int64()), "bucket": pa.array(found["bucket"], pa.int64()), "payload": pa.array(found["payload"], pa.binary())})
 
     def judge_windows(payloads):
-        heads, h1, h2, sizes = [], [], [], []
+        heads, texts, sizes = [], [], []
         for p in payloads:
             n = int.from_bytes(p[:8], "little")
-            head = from_ipc([p[8 : 8 + n]])
-            count = head.column("n").to_numpy().astype(np.int64)
-            words = unsqueeze(p[8 + n :], "<u4")
-            starts = np.cumsum(count + size - 1) - (count + size - 1)
-            a, b = fingerprints(code_hashes(words), ranges(starts, count))
-            h1.append(a)
-            h2.append(b)
-            sizes.append(len(a))
-            heads.append(head)
+            heads.append(from_ipc([p[8 : 8 + n]]))
+            texts.append(unsqueeze(p[8 + n :], np.uint8))
+            sizes.append(pc.sum(heads[-1].column("n")).as_py())
         head = pa.concat_tables(heads)
-        rank = np.repeat(_ranks(head.column("id")), head.column("n").to_numpy())
-        order, group = _own_key(np.concatenate(h1), np.concatenate(h2))
-        low = np.full(group[-1] + 1, 2**62)
-        np.minimum.at(low, group, rank[order])
-        later = np.empty(len(order), bool)
-        later[order] = rank[order] > low[group]
+        count = head.column("n").to_numpy().astype(np.int64)
+        data = np.concatenate(texts)
+        words = Words(data, np.array([0, len(data)]))
+        at = ranges(np.cumsum(count + size - 1) - (count + size - 1), count)
+        group, n = _equal_windows(words, words.hashes(), at, size)
+        rank = np.repeat(_ranks(head.column("id")), count)
+        low = np.full(n, 2**62)
+        np.minimum.at(low, group, rank)
+        later = rank > low[group]
         return [squeeze(np.packbits(x)) for x in np.split(later, np.cumsum(sizes)[:-1])]
 
     def finish(table, replies):
         first = {b[0]: p for b, p in replies.items() if b[1] == 0}
         second = {b[0]: p for b, p in replies.items() if b[1] == 1}
         rows, w, rank = rows_of(table)
-        _, marked, go = travelling(w, rank, shared_of(w, rank, first))
+        marked, go = travelling(w, rank, shared_of(w, rank, first))
         bucket, begin, length = routed(w, go)
         sent = np.cumsum(length)
         later = np.zeros(int(sent[-1]) if len(sent) else 0, bool)

@@ -196,6 +196,38 @@ def test_substring(which, request):
     assert got == want
 
 
+def substring_result(df, docs, **options):
+    gone = brute.covered(docs)
+    want = Counter((d, len(g), sum(g), brute.without(t, g)) for (d, t), g in zip(docs, gone))
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.removed_words(df, **options).collect()), want
+
+
+@pytest.mark.parametrize("group_bytes", [4 << 20, 300])
+def test_substring_words_with_one_32_bit_code(spark, group_bytes):
+    """Two texts of a template, whose only different words have equal low halves of their hashes."""
+    names = [f"id{i}" for i in range(400_000)]
+    raw = np.frombuffer("".join(names).encode(), np.uint8)
+    ends = np.cumsum([len(x) for x in names])
+    low = substring.Words(raw, np.append(0, ends)).hashes() & np.uint64(0xFFFFFFFF)
+    order = np.argsort(low, kind="stable")
+    i = np.flatnonzero(low[order][1:] == low[order][:-1])[0]
+    words = [f"w{j}" for j in range(60)]
+    rows = [(k, " ".join([*words[:30], names[order[i + k]], *words[30:]])) for k in range(2)]
+    got, want = substring_result(spark.createDataFrame(rows, "doc_id long, text string"), rows, group_bytes=group_bytes)
+    assert got == want and sum(n for _, _, n, _ in want) == 0
+
+
+def test_equal_windows_compares_words():
+    """Hashes without any use: all windows are proposed as equal, and words decide."""
+    rnd = random.Random(4)
+    text = " ".join(rnd.choice("ab") for _ in range(300)).replace("a b", "a \n b")
+    words = substring.Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    at, w = np.arange(300 - 6 + 1), text.split()
+    group, n = substring._equal_windows(words, np.zeros(300, np.uint64), at, 6)
+    keys = [tuple(w[i : i + 6]) for i in at]
+    assert group.max() < n and len(set(zip(group.tolist(), keys))) == len(set(keys)) == len(set(group.tolist()))
+
+
 def test_matroska_round_trip(spark, sf, small):
     rows = {r["doc_id"]: r for r in queries.op7_matroska(spark, sf).collect()}
     docs = pairs_of(small)
