@@ -98,41 +98,88 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return LanguageModel([r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)))
 
 
-def mixtures(model: LanguageModel, owner: np.ndarray, cls: np.ndarray, count: np.ndarray, n: int, most: int = 3, rounds: int = 12, penalty: float = 4.0) -> np.ndarray:
+def _fit(like: np.ndarray, count: np.ndarray, lengths: np.ndarray, pi: np.ndarray, low: np.ndarray | None = None, gap: float = 0.01, move: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions (languages x texts) of the largest likelihood, its logarithm, and a bound that no proportions exceed.
+
+    `like` is languages x grams, the grams of a text together (`lengths` of them). Expectation
+    maximisation goes on from pi until the log likelihood is within `gap` (or a millionth a gram) of
+    its maximum and no proportion moves by more than `move`, however many rounds that takes; a text
+    whose maximum lies below `low` ends as soon as that is certain. The likelihood is concave, so its
+    maximum exceeds it by size * log(largest gradient) at most.
+    """
+    out, log_out, top_out = pi.copy(), np.zeros(len(lengths)), np.zeros(len(lengths))
+    low = np.full(len(lengths), -np.inf) if low is None else low
+    texts, live = np.arange(len(lengths)), np.ones(len(lengths), bool)
+    while len(texts):
+        begin = np.cumsum(lengths) - lengths
+        local = np.repeat(np.arange(len(lengths)), lengths)
+        size = np.add.reduceat(count, begin).astype(float)
+        while True:
+            joint = pi[:, local]
+            joint *= like
+            total = joint.sum(0)
+            log = np.add.reduceat(count * np.log(total), begin)
+            np.multiply(like, count / total, out=joint)
+            slope = np.add.reduceat(joint, begin, axis=1) / size
+            new = pi * slope
+            top = log + size * np.log(np.maximum(slope.max(0), 1))
+            done = (top - log <= np.maximum(gap, 1e-6 * size)) & (np.abs(new - pi).max(0) <= move)
+            done = live & (done | (top <= low))
+            if done.any():
+                out[:, texts[done]], log_out[texts[done]], top_out[texts[done]] = pi[:, done], log[done], top[done]
+                live &= ~done
+            pi = new / new.sum(0)
+            if 5 * lengths[live].sum() <= 4 * len(local):
+                break
+        kept = live[local]
+        like, count = like[:, kept], count[kept]
+        texts, lengths, pi, low = texts[live], lengths[live], pi[:, live], low[live]
+        live = live[live]
+    return out, log_out, top_out
+
+
+def mixtures(model: LanguageModel, owner: np.ndarray, cls: np.ndarray, count: np.ndarray, n: int, most: int | None = None, gap: float = 0.01, penalty: float = 4.0) -> np.ndarray:
     """Language proportions of n texts, whose grams are sorted by text: (n x languages), zero outside the chosen set.
 
-    The set of k languages holds those with the largest proportions under all languages; k has the
-    largest log likelihood less penalty * k * log(grams). Texts without grams have zeros.
+    The set of k languages holds those with the largest proportions under all languages; k, up to
+    `most` or all, has the largest log likelihood less penalty * k * log(grams). Sets whose score
+    cannot be the largest, as the likelihood under all languages shows, are not fitted. Texts
+    without grams have zeros.
     """
     k_all = len(model.languages)
+    most = k_all if most is None else min(most, k_all)
     p = np.zeros((n, k_all))
     if not len(owner) or not k_all:
         return p
     begin = np.flatnonzero(np.diff(owner, prepend=-1))
     who = owner[begin]
-    local = np.repeat(np.arange(len(who)), np.diff([*begin, len(owner)]))
+    lengths = np.diff([*begin, len(owner)])
     log_like = model.log_p[:, cls]
     like = np.exp(log_like)
-    size = np.add.reduceat(count, begin).astype(float)
-
-    def fit(allowed):
-        pi = allowed / allowed.sum(0)
-        for _ in range(rounds):
-            joint = like * pi[:, local]
-            joint *= count / joint.sum(0)
-            pi = np.add.reduceat(joint, begin, axis=1) / size
-        return pi, np.add.reduceat(count * np.log((like * pi[:, local]).sum(0)), begin)
-
-    full, _ = fit(np.ones((k_all, len(who))))
-    rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
-    best = (rank == 0).astype(float)  # one language: nothing to estimate
-    alone = np.add.reduceat(log_like * count, begin, axis=1)
-    best_score = (alone * best).sum(0) - penalty * np.log(np.maximum(size, 2))
-    for k in range(2, min(most, k_all) + 1):
-        pi, log = fit((rank < k).astype(float))
-        score = log - penalty * k * np.log(np.maximum(size, 2))
-        better = score > best_score
-        best[:, better], best_score[better] = pi[:, better], score[better]
+    price = penalty * np.log(np.maximum(np.add.reduceat(count, begin).astype(float), 2))
+    alone = np.add.reduceat(log_like * count, begin, axis=1)  # one language: nothing to estimate
+    only = alone.argmax(0)
+    best = np.zeros((k_all, len(who)))
+    best[only, np.arange(len(who))] = 1
+    best_score = alone.max(0) - price
+    if most > 1:
+        full, log, top = _fit(like, count, lengths, (best + 1 / k_all) / 2, best_score + 2 * price, gap)
+        order = np.argsort(-full, axis=0, kind="stable")
+        for k in range(2, most + 1):
+            at = np.flatnonzero(top - k * price > best_score)
+            if not len(at):
+                break
+            names = order[:k, at]
+            if k < k_all:
+                mine = np.repeat(np.isin(np.arange(len(who)), at), lengths)
+                start = np.take_along_axis(full[:, at], names, 0) + 0.001
+                pi, found, _ = _fit(like[np.repeat(names, lengths[at], axis=1), np.flatnonzero(mine)], count[mine], lengths[at], start / start.sum(0), gap=gap)
+            else:
+                pi, found = np.take_along_axis(full[:, at], names, 0), log[at]
+            better = found - k * price[at] > best_score[at]
+            best[:, at[better]] = 0
+            best[names[:, better], at[better]] = pi[:, better]
+            best_score[at[better]] = found[better] - k * price[at[better]]
     p[who] = best.T
     return p
 
@@ -142,12 +189,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, floor: float = 0.05) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, floor: float = 0.05, most: int | None = None, gap: float = 0.01) -> DataFrame:
     """The languages of every whole text.
 
     Returns for each row: id_col, lang_pred (the language with the largest proportion; ties go to the
     first by name), score (that proportion), languages (array of lang and share, largest first, of
-    shares of at least `floor`), and the columns named in `carry`.
+    shares of at least `floor`), and the columns named in `carry`. A text may mix all languages of the
+    model, or `most`; estimates go on until log likelihoods are within `gap` of their maxima.
 
     Null text, or a text without a letter: "und", score 0, no languages; so are all texts under a model
     without languages. A text with letters but fewer bytes than a gram takes the first language with
@@ -165,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         model = sent.value
         for whole in batches:
             for batch in slices(whole, "text", 64 << 10):
-                p = mixtures(model, *grams(batch.column("text")), batch.num_rows)
+                p = mixtures(model, *grams(batch.column("text")), batch.num_rows, most, gap)
                 known = _lettered(batch.column("text")) & bool(model.languages)
                 top = p.argmax(1) if model.languages else np.zeros(len(p), np.int64)
                 pred = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(top, known)]

@@ -303,6 +303,35 @@ def test_language_mixtures(spark, edge, empty):
     assert {r["lang_pred"] for r in language.identify(edge, bare).collect()} == {"und"}
 
 
+def test_language_mixtures_of_many(spark):
+    """Six languages in one text are all found, with their shares, and no set is fitted short of its maximum."""
+    rnd = random.Random(5)
+    vocabulary = {lang: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 8))) for _ in range(60)] for lang in "abcdefgh"}
+    rows = [(" ".join(rnd.choices(v, k=200)), lang) for lang, v in vocabulary.items() for _ in range(10)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    docs = [(k, " ".join(w for lang in "abcdefgh"[:k] for w in rnd.choices(vocabulary[lang], k=150))) for k in range(1, 9)]
+    for r in language.identify(spark.createDataFrame(docs, "doc_id long, text string"), model).collect():
+        assert sorted(x["lang"] for x in r["languages"]) == list("abcdefgh"[: r["doc_id"]])
+        assert all(abs(x["share"] - 1 / r["doc_id"]) < 0.05 for x in r["languages"])
+
+
+def test_language_proportions_settle():
+    """Two languages that are nearly alike need far more than twelve rounds."""
+    rng = np.random.default_rng(3)
+    a = rng.dirichlet(np.ones(language.CLASSES))
+    b = a * np.exp(0.4 * rng.standard_normal(language.CLASSES))
+    model = language.LanguageModel(["a", "b"], np.log(np.array([a, b / b.sum()])))
+    like = np.exp(model.log_p)
+    count = rng.multinomial(60_000, 0.85 * like[0] + 0.15 * like[1])
+    cls = np.flatnonzero(count)
+    got = language.mixtures(model, np.zeros(len(cls), np.int64), cls, count[cls], 1)[0]
+    pi = np.full(2, 0.5)
+    for _ in range(3000):
+        joint = like[:, cls] * pi[:, None]
+        pi = (joint / joint.sum(0) * count[cls]).sum(1) / count.sum()
+    assert got == pytest.approx(pi, abs=0.01)
+
+
 def plain_pairs(chosen, rejected):
     frame = lambda t: f"<|im_start|>{t[0]}\n{t[1]}<|im_end|>\n"
 
