@@ -52,7 +52,7 @@ class _Windows:
         self.valid = np.flatnonzero(inside_texts(self.words.first, size))
         self.doc = self.words.text_of_word()[self.valid]
         low, at = _minimisers(self.hash, size)
-        self.low, self.at = low[self.valid], at[self.valid]
+        self.low, self.at = mix(low[self.valid], 13), at[self.valid]  # a minimum is small; mixed again, it is even over the buckets
 
 
 def _ranks(ids: pa.ChunkedArray) -> np.ndarray:
@@ -129,7 +129,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     n_bytes = total_bytes(source, "__text")
     groups = pieces(n_bytes, group_bytes)
-    bits = max(3, (groups - 1).bit_length())
+    bits = max(3, (groups - 1).bit_length() - 1)  # even buckets get something from most groups, so there are fewer
     shift = np.uint64(64 - bits)
     packed = pack(source, ["__id", "__text"], groups)
     order_by = ["__id", "__text"]

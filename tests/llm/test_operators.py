@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,14 @@ def test_equal_windows_compares_words():
     assert group.max() < n and len(set(zip(group.tolist(), keys))) == len(set(keys)) == len(set(group.tolist()))
 
 
+def test_substring_buckets_are_even():
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(400)) for _ in range(60)]
+    low = substring._Windows(pa.table({"text": texts}), "text", 50).low
+    share = np.bincount((low >> np.uint64(61)).astype(np.int64), minlength=8) / len(low)
+    assert share.min() > 0.06 and share.max() < 0.2
+
+
 def test_matroska_round_trip(spark, sf, small):
     rows = {r["doc_id"]: r for r in queries.op7_matroska(spark, sf).collect()}
     docs = pairs_of(small)
