@@ -182,7 +182,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return pa.table({"__id": rows.column("__id"), "n_tokens": pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), "ids": ids})
 
     schema = T.StructType([T.StructField("__id", source.schema["__id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    out = resolve(packed, answer(ask(packed, extract), reply), finish, schema)
+    out = resolve(packed, answer(ask(packed, extract), reply, buckets), finish, schema)
     return out.select(F.col("__id").alias(id_col), "n_tokens", "ids")
 
 

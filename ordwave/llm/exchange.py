@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKED = "grp long, payload binary"
+#: Bytes of a row group in written tables, so that tasks that write long texts hold little.
+ROW_GROUP = 16 << 20
 _ipc = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -48,18 +50,34 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Frozen:
-    """A DataFrame written to the shared folder and read back: its lineage ends here."""
+    """A DataFrame written to the shared folder and read back: its lineage ends here.
 
-    def __init__(self, df: DataFrame):
+    `clean` lets Spark delete the shuffle files that led here, for results of large shuffles. With
+    `bucket` (a column and a number) rows are written by a hash of that column into so many files,
+    and joins on the column need not shuffle this side again.
+    """
+
+    def __init__(self, df: DataFrame, clean: bool = False, bucket: tuple[str, int] | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/ordwave-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.name = f"ordwave_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        self.bucketed = bucket is not None
+        if bucket:
+            column, n = bucket
+            written = df.repartition(n, column).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+            written.bucketBy(n, column).option("path", self.path).format("parquet").saveAsTable(self.name)
+            self.df = self.spark.table(self.name)
+        else:
+            df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(self.path)
+            self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove_at_exit, self.spark, self.path)
         del df
-        release(self.spark)
+        if clean:
+            release(self.spark)
 
     def drop(self) -> None:
+        if self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         remove(self.spark, self.path)
 
 
@@ -92,7 +110,8 @@ def pack(df: DataFrame, key: list[str], groups: int, flush_bytes: int = 24 << 20
     """Rows of df (all columns), dealt to groups by a hash of the key columns, as (grp, payload).
 
     The n-th repetition of a key within a task goes n groups further, so that one repeated row
-    cannot fill a group. Groups depend on the rows alone, so a lost task can be run again.
+    cannot fill a group. Groups depend on the rows alone, so a lost task can be run again. A task
+    remembers one number for each of its keys. Groups are dealt to partitions of a few groups each.
     """
     names = df.columns
     hashed = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in key]))
@@ -112,15 +131,13 @@ def pack(df: DataFrame, key: list[str], groups: int, flush_bytes: int = 24 << 20
 
         for batch in batches:
             keys = batch.column("__key").to_numpy(zero_copy_only=False).astype(np.int64)
-            uniq, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-            order = np.argsort(inverse, kind="stable")
-            nth = np.empty(len(keys), np.int64)
-            nth[order] = np.arange(len(keys)) - np.repeat(np.cumsum(counts) - counts, counts)
-            for j in np.flatnonzero((counts > 1) | np.isin(uniq, np.fromiter(seen, np.int64, len(seen)))):
-                nth[inverse == j] += seen.get(int(uniq[j]), 0)
-                seen[int(uniq[j])] = seen.get(int(uniq[j]), 0) + int(counts[j])
-            for k in uniq[counts == 1]:
-                seen.setdefault(int(k), 1)
+            nth = np.zeros(len(keys), np.int64)
+            for i, k in enumerate(keys.tolist()):
+                n = seen.get(k)
+                if n is None:
+                    seen[k] = 1
+                else:
+                    nth[i], seen[k] = n, n + 1
             grp = ((keys.view(np.uint64) % np.uint64(groups)).astype(np.int64) + nth) % groups
             held.append(pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(grp)], [*names, "__grp"]))
             size += batch.nbytes
@@ -130,7 +147,12 @@ def pack(df: DataFrame, key: list[str], groups: int, flush_bytes: int = 24 << 20
         if held:
             yield from out()
 
-    return hashed.mapInArrow(run, PACKED)
+    return hashed.mapInArrow(run, PACKED).repartition(parts_of(groups), "grp")
+
+
+def parts_of(groups: int) -> int:
+    """Partitions for so many groups: a few groups each, so that a task's share stays as it is at any size."""
+    return groups if groups <= 64 else max(64, groups // 4)
 
 
 def group_rows(table: pa.Table, order_by: list[str]) -> pa.Table:
@@ -148,14 +170,14 @@ def ask(packed: DataFrame, extract: Callable[[pa.Table], list[tuple[int, bytes]]
     return packed.groupBy("grp").applyInArrow(run, "grp long, bucket long, payload binary")
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]], buckets: int) -> DataFrame:
     """Answers a bucket's payloads together, one reply for each: (grp, bucket, payload)."""
 
     def run(table):
         out = reply(table.column("payload").to_pylist())
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, "grp long, bucket long, payload binary")
+    return asked.repartition(parts_of(buckets), "bucket").groupBy("bucket").applyInArrow(run, "grp long, bucket long, payload binary")
 
 
 def resolve(packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema) -> DataFrame:

@@ -292,13 +292,13 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             wholes.append(b"".join(spans).decode())
         return pa.array([x.decode() for x in lines], pa.string()), pa.array(wholes, pa.string())
 
-    shared = answer(ask(packed, ask_minimisers), count_minimisers)
+    shared = answer(ask(packed, ask_minimisers), count_minimisers, 1 << bits)
 
     def route(table, replies):
         return send_windows(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
 
     sent = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(route, "grp long, bucket long, payload binary")
-    judged = answer(sent, judge_windows)
+    judged = answer(sent, judge_windows, 1 << bits)
     both = shared.withColumn("step", F.lit(0)).unionByName(judged.withColumn("step", F.lit(1)))
 
     def last(table, replies):
