@@ -115,18 +115,13 @@ class Parsed:
     whole: bool = True
 
 
-def _children(data: bytes, at: int, end: int, top: bool = False):
+def _children(data: bytes, at: int, end: int):
     """(kind, start, end) of the elements within a range; an element of unknown size ends where the next top element begins."""
     while at < end:
         kind, body = vint(data, at, keep_marker=True)
-        if top and kind in TOP:
-            return
         size, body = vint(data, body)
         if size is None:
-            stop = end if kind == SEGMENT else body
-            if kind != SEGMENT:
-                for _, _, stop in _children(data, body, end, top=True):
-                    pass
+            stop = end if kind == SEGMENT else _unknown_end(data, body, end)
             yield kind, body, stop
         else:
             stop = body + size
@@ -136,8 +131,26 @@ def _children(data: bytes, at: int, end: int, top: bool = False):
         at = stop
 
 
+def _unknown_end(data: bytes, at: int, end: int) -> int:
+    """Where an element of unknown size ends; others of unknown size within it are entered, which takes no stack."""
+    while at < end:
+        kind, body = vint(data, at, keep_marker=True)
+        if kind in TOP:
+            return at
+        size, body = vint(data, body)
+        at = body if size is None else body + size
+    return end
+
+
+def _long(n: int) -> int:
+    """n, if a long holds it."""
+    if not -(2**63) <= n < 2**63:
+        raise ValueError("a number is too large")
+    return n
+
+
 def _number(data: bytes, a: int, b: int) -> int:
-    return int.from_bytes(data[a:b], "big")
+    return _long(int.from_bytes(data[a : min(b, a + 9)], "big"))
 
 
 def _block(data: bytes, a: int, b: int, base: int, out: Parsed, keyframe: bool | None) -> None:
@@ -175,7 +188,7 @@ def _block(data: bytes, a: int, b: int, base: int, out: Parsed, keyframe: bool |
     if min(sizes) < 0 or at + sum(sizes) > b:
         raise ValueError("lacing reaches beyond its block")
     for i, size in enumerate(sizes):  # later frames of a lace follow at the track's frame duration
-        out.packets.append((track, base + delta + i * out.frame_ns.get(track, 0) // out.scale, at, size, key, mode, out.clusters - 1))
+        out.packets.append((track, _long(base + delta + i * out.frame_ns.get(track, 0) // out.scale), at, size, key, mode, out.clusters - 1))
         at += size
 
 
@@ -186,7 +199,7 @@ def parse(data: bytes) -> Parsed:
         for kind, a, b in _children(data, 0, len(data)):
             if kind == SEGMENT:
                 _segment(data, a, b, out)
-    except (ValueError, IndexError, struct.error):
+    except (ValueError, IndexError, struct.error, OverflowError):
         out.whole = False
     return out
 
@@ -213,7 +226,7 @@ def _segment(data: bytes, begin: int, end: int, out: Parsed) -> None:
         elif kind == TRACKS:
             for _, c, d in _children(data, a, b):
                 f = {sub: (e, g) for sub, e, g in _children(data, c, d)}
-                if DEFAULT_DURATION in f:
+                if DEFAULT_DURATION in f and TRACK_NUMBER in f:
                     out.frame_ns[_number(data, *f[TRACK_NUMBER])] = _number(data, *f[DEFAULT_DURATION])
                 out.tracks.append((_number(data, *f.get(TRACK_NUMBER, (0, 0))), _number(data, *f.get(TRACK_TYPE, (0, 0))), data[slice(*f.get(CODEC_ID, (0, 0)))].decode("latin-1")))
         elif kind == CUES:
@@ -224,7 +237,7 @@ def _segment(data: bytes, begin: int, end: int, out: Parsed) -> None:
                         time = _number(data, e, f)
                     elif sub == CUE_TRACK_POSITIONS:
                         places.append({k: _number(data, g, h) for k, g, h in _children(data, e, f)})
-                out.cues += [(time, p.get(CUE_TRACK, 0), begin + p.get(CUE_CLUSTER_POSITION, 0)) for p in places]
+                out.cues += [(time, p.get(CUE_TRACK, 0), _long(begin + p.get(CUE_CLUSTER_POSITION, 0))) for p in places]
 
 
 PACKET = T.StructType([T.StructField("track", T.LongType()), T.StructField("timestamp", T.LongType()), T.StructField("start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keyframe", T.BooleanType()), T.StructField("lacing", T.StringType()), T.StructField("cluster", T.LongType())])

@@ -4,7 +4,8 @@ Which piece goes where depends on lengths alone, so the plan is made for the his
 which has at most `capacity` entries at any scale. A segment tree over remaining capacities finds
 the tightest open bin class for each length in logarithmic time; a class holds runs of bins, so many
 equal pieces are placed in one step. Pieces are then numbered within their length, in parallel
-by salted groups, and look up their place.
+by salted groups whose number follows the number of pieces, and look up their place. A piece that
+fills a sequence needs no number.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .exchange import Frozen
+from .text import mix, slices
 from .word_bpe import word_ids
 
-#: Groups into which the pieces of one length are dealt to be numbered.
-SALTS = 64
+#: About so many pieces of one length are numbered in one group.
+GROUP_ROWS = 250_000
 
 
 class CapacityTree:
@@ -96,34 +98,30 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, salt) of each document's ids, then end_id, cut at `capacity`."""
+    """(id, piece, start, length, ids_crc32, salt) of each document's ids, then end_id, cut at `capacity`; salt is a number below 2 ** 40 that spreads the copies of a text."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         coder = word_ids(tokenizer_path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(coder.encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                for j, at in enumerate(range(0, n, capacity)):
-                    part = memoryview(ids)[4 * at : 4 * (at + capacity)]
-                    row.append(i)
-                    piece.append(j)
-                    start.append(at)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            ids_of = batch.column("id").take(pa.array(row, pa.int64()))
-            salt = [(c + p) % SALTS for c, p in zip(crc, piece)]
-            seen: dict = {}
-            for k, c in enumerate(crc):  # copies of one text go to all salts in turn
-                seen[c] = seen.get(c, row[k]) + 1
-                salt[k] = (salt[k] + seen[c]) % SALTS
-            yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int32())], names=schema.names)
-
-    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("salt", T.IntegerType())])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                row, piece, start, length, crc = [], [], [], [], []
+                for i, ids in enumerate(coder.encode(batch.column("text").to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for j, at in enumerate(range(0, n, capacity)):
+                        part = memoryview(ids)[4 * at : 4 * (at + capacity)]
+                        row.append(i)
+                        piece.append(j)
+                        start.append(at)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                ids_of = batch.column("id").take(pa.array(row, pa.int64()))
+                salt = (mix(np.array(crc, np.uint64) + np.array(row, np.uint64), 3) >> np.uint64(24)).astype(np.int64)  # copies of one text differ in their row
+                yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt)], names=schema.names)
+
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("salt", T.LongType())])
     return source.mapInArrow(run, schema)
 
 
@@ -140,17 +138,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     found = Frozen(token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)).df
-    counts = found.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
-    histogram: dict[int, int] = {}
-    before = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        before[r["length"], r["salt"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = before[r["length"], r["salt"]] + r["count"]
+    histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most capacity rows
+    full = histogram.pop(capacity, 0)
+    groups = np.ones(capacity + 1, np.int64)  # for each length; in all at most capacity and one for GROUP_ROWS pieces
+    for length, n in histogram.items():
+        groups[length] = -(-n // GROUP_ROWS)
+    dealt = found.where(F.col("length") < capacity).withColumn("salt", F.col("salt") % F.element_at(F.lit(groups[1:].tolist()), F.col("length").cast("int")))
+    before, last = {}, dict.fromkeys(histogram, 0)
+    for r in sorted(dealt.groupBy("length", "salt").count().collect(), key=lambda r: (r["length"], r["salt"])):
+        before[r["length"], r["salt"]] = last[r["length"]]
+        last[r["length"]] += r["count"]
     plan = np.array(best_fit_plan(histogram, capacity), np.int64).reshape(-1, 6)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     shared = spark.sparkContext.broadcast((plan, before, np.searchsorted(plan[:, 0], np.arange(capacity + 2))))
     order = [F.col("id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
-    ranked = found.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
 
     def place(batches):
         plan, before, begin = shared.value
@@ -169,4 +171,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     schema = T.StructType([f for f in found.schema if f.name not in ("salt",)] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     out = ranked.select("id", "piece", "start", "length", "ids_crc32", "salt", F.col("nth").cast("long").alias("nth")).mapInArrow(place, schema)
+    if full:  # a sequence each; their numbers are negative
+        alone = found.where(F.col("length") == capacity).drop("salt")
+        out = out.unionByName(alone.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
     return out.withColumnRenamed("id", id_col)

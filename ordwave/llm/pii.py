@@ -1,4 +1,8 @@
-"""Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score."""
+"""Personal data and secrets: patterns propose spans, checksums confirm them, nearby words adjust their score.
+
+A span whose kind has a validator (card, iban, routing, ssn) and that fails it is never reported,
+whatever stands near it.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ from pyspark.sql import types as T
 from .text import slices
 
 #: Kinds in the order in which equal starts are listed; the first four are kept whatever their score.
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "routing", "key", "secret"]
 BASE = 4
 
 _DIGIT = re.compile(r"[0-9]")
@@ -22,12 +26,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_ROUTING = re.compile(r"(?<![0-9-])[0-9]{9}(?![0-9-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9])A(?:KI|SI)A[0-9A-Z]{16}(?![A-Za-z0-9])")
+# Long unbroken strings with digits and letters; a run is looked at once, where it begins.
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+")
 
 #: Score of a span by its pattern alone and with its checksum, and what a context word adds.
-PATTERN_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3}
-CHECKSUM_SCORE = {"card": 0.4, "iban": 0.6}
+PATTERN_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3, "routing": 0.1, "key": 0.9, "secret": 0.3}
+CHECKSUM_SCORE = {"card": 0.4, "iban": 0.6, "routing": 0.2}
 CONTEXT_SCORE, REACH = 0.3, 48
 CONTEXT = {
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write)\b"),
@@ -36,6 +44,9 @@ CONTEXT = {
     "phone": re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|bank|account|konto|compte|cuenta)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security)\b"),
+    "routing": re.compile(r"(?i)\b(?:routing|aba)\b"),
+    "key": re.compile(r"(?i)\b(?:aws|access|key)\b"),
+    "secret": re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|credential)s?(?![a-z])"),
 }
 
 
@@ -53,6 +64,23 @@ def mod97(code: str) -> bool:
     return value == 1
 
 
+def routing_check(digits: str) -> bool:
+    """The check digit of bank routing numbers: digits weighted 3, 7, 1 by turns add up to a multiple of 10."""
+    return sum(int(d) * (3, 7, 1)[i % 3] for i, d in enumerate(digits)) % 10 == 0 and digits != "000000000"
+
+
+def _ibans(text: str):
+    """Runs that pass mod-97; of a run's ends before something that is no letter or digit, the first that passes counts."""
+    m = _IBAN.search(text)
+    while m:
+        a, z = m.span()
+        ends = [i for i in range(a + 15, z + 1) if (i == len(text) or not (text[i].isascii() and text[i].isalnum())) and text[i - 1] != " "]
+        end = next((i for i in ends if len(code := text[a:i].replace(" ", "")) >= 15 and mod97(code)), None)
+        if end:
+            yield a, end
+        m = _IBAN.search(text, end or a + 1)
+
+
 def _emails(text: str):
     end, at = 0, text.find("@")
     while at >= 0:
@@ -71,30 +99,33 @@ def find_spans(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, f
 
     Offsets are code points, end exclusive. Spans of one kind do not overlap; of different kinds they may.
     """
-    found: list[tuple[str, int, int, bool]] = []
+    found: list[tuple[str, int, int]] = []
     if "@" in text:
-        found += [("email", a, b, False) for a, b in _emails(text)]
+        found += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in m[0].split("."))):
-                found.append(("ip", *m.span(), False))
+                found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(digits) <= 19 and luhn(digits):
-                    found.append(("card", *m.span(), True))
+                    found.append(("card", *m.span()))
         if "+" in text:
             for m in _PHONE.finditer(text):
                 if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
-                    found.append(("phone", *m.span(), False))
-        for m in _IBAN.finditer(text):
-            found.append(("iban", *m.span(), mod97(m[0].replace(" ", ""))))
+                    found.append(("phone", *m.span()))
+        found += [("iban", a, b) for a, b in _ibans(text)]
         if "-" in text:
-            found += [("ssn", *m.span(), False) for m in _SSN.finditer(text)]
+            found += [("ssn", *m.span()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
+        found += [("routing", *m.span()) for m in _ROUTING.finditer(text) if routing_check(m[0])]
+        if "AKIA" in text or "ASIA" in text:
+            found += [("key", *m.span()) for m in _KEY.finditer(text)]
+        found += [("secret", *m.span()) for m in _SECRET.finditer(text)]
     out = []
-    for kind, a, b, confirmed in found:
+    for kind, a, b in found:
         near = CONTEXT[kind].search(text[max(0, a - REACH) : a]) or CONTEXT[kind].search(text[b : b + REACH])
-        score = PATTERN_SCORE[kind] + CHECKSUM_SCORE.get(kind, 0) * confirmed + CONTEXT_SCORE * bool(near)
+        score = PATTERN_SCORE[kind] + CHECKSUM_SCORE.get(kind, 0) + CONTEXT_SCORE * bool(near)
         if KINDS.index(kind) < BASE or score >= threshold:
             out.append((kind, a, b, round(min(1.0, score), 3)))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

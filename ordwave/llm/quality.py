@@ -154,42 +154,76 @@ def fit_votes(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, strength
     return model
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """id, the STATISTICS of each row's text, and the carried columns as c0, c1, ..."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_id: bool = True, text_at: int | None = None) -> DataFrame:
+    """id, the STATISTICS of each row's text, and the carried columns as c0, c1, ...
+
+    Where the text itself is carried, `text_at` names its place among them and it is sent to Python once.
+    """
     carry = carry or []
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
-    schema = T.StructType([source.schema["id"], *[T.StructField(s, T.LongType()) for s in STATISTICS], *[source.schema[f"c{i}"] for i in range(len(carry))]])
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    name = "text" if text_at is None else f"c{text_at}"
+    source = docs.select(*[F.col(f"`{id_col}`").alias("id")] * keep_id, *[text] * (text_at is None), *columns)
+    first = ["id"] * keep_id
+    schema = T.StructType([*[source.schema[c] for c in first], *[T.StructField(s, T.LongType()) for s in STATISTICS], *[source.schema[f"c{i}"] for i in range(len(carry))]])
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
-                found = text_statistics(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(found[s].astype(np.int64)) for s in STATISTICS], *[batch.column(f"c{i}") for i in range(len(carry))]], names=schema.names)
+            for batch in slices(whole, name):
+                found = text_statistics(batch.column(name))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in first], *[pa.array(found[s].astype(np.int64)) for s in STATISTICS], *[batch.column(f"c{i}") for i in range(len(carry))]], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rules: list[Rule] | None = None, carry: list[str] | None = None) -> DataFrame:
+def _votes(rules: list[Rule]) -> Column:
+    return F.array(*[F.when(r.bad(), 0).when(r.good(), 1).otherwise(-1) for r in rules])
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _fitted(counted: DataFrame, rules: list[Rule]) -> VoteModel:
+    patterns = counted.where(~_failed()).groupBy(_votes(rules).alias("__votes")).count().collect()  # at most 3 ** len(rules) rows
+    votes = np.array([r["__votes"] for r in patterns], np.int64).reshape(-1, len(rules))
+    return fit_votes(votes, np.array([r["count"] for r in patterns], np.float64))
+
+
+def _judged(counted: DataFrame, rules: list[Rule], model: VoteModel, threshold: float) -> DataFrame:
+    """counted with base_failed, p_good and kept."""
+    start, add = model.weights()
+    log = F.lit(start)
+    for j, r in enumerate(rules):
+        log = log + F.when(r.bad(), float(add[j, 0])).when(r.good(), float(add[j, 1])).otherwise(float(add[j, 2]))
+    out = counted.withColumn("p_good", 1 / (1 + F.exp(-log))).withColumn("base_failed", _failed())
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rules: list[Rule] | None = None) -> DataFrame:
     """The posterior probability that each document is good, by rules whose accuracy is estimated from all of them.
 
     Returns for each row: id_col, the STATISTICS, base_failed (fewer than 50 words, or more than half
-    of its words in repeated 3-word windows), p_good, kept (not base_failed, and p_good >= threshold),
-    and the columns named in `carry`.
+    of its words in repeated 3-word windows), p_good, kept (not base_failed, and p_good >= threshold).
 
     Null or empty text: all statistics 0, base_failed. Null, tied or repeated ids: each row is judged
     by itself. Votes that all abstain: the estimated share of good documents decides. An empty table
-    gives an empty one. Columns that are not carried are ignored, whatever their names.
+    gives an empty one. Other columns are ignored, whatever their names.
     """
-    rules, carry = rules or RULES, carry or []
-    vote = F.array(*[F.when(r.bad(), 0).when(r.good(), 1).otherwise(-1) for r in rules])
-    counted = Frozen(with_statistics(docs, id_col, text_col, carry).withColumn("__votes", vote))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    patterns = counted.df.where(~failed).groupBy("__votes").count().collect()  # at most 3 ** len(rules) rows
-    votes = np.array([r["__votes"] for r in patterns], np.int64).reshape(-1, len(rules))
-    model = fit_votes(votes, np.array([r["count"] for r in patterns], np.float64))
-    start, add = model.weights()
-    log = F.lit(start)
-    for j in range(len(rules)):
-        log = log + F.when(F.col("__votes")[j] == 0, float(add[j, 0])).when(F.col("__votes")[j] == 1, float(add[j, 1])).otherwise(float(add[j, 2]))
-    out = counted.df.withColumn("p_good", 1 / (1 + F.exp(-log))).withColumn("base_failed", failed)
-    return out.select(F.col("id").alias(id_col), *STATISTICS, "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    rules = rules or RULES
+    counted = Frozen(with_statistics(docs, id_col, text_col)).df
+    out = _judged(counted, rules, _fitted(counted, rules), threshold)
+    return out.select(F.col("id").alias(id_col), *STATISTICS, "base_failed", "p_good", "kept")
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of docs that quality() keeps, with all columns, whatever their names.
+
+    Texts are read twice, first to count votes and then to judge, so that nothing but the result is
+    written. The cases of quality() hold: null and empty texts go, each row is judged by itself.
+    """
+    rules = rules or RULES
+    model = _fitted(with_statistics(docs, text_col, text_col, keep_id=False), rules)
+    text = docs.columns.index(text_col)
+    counted = with_statistics(docs, text_col, text_col, docs.columns, keep_id=False, text_at=text)
+    return _judged(counted, rules, model, threshold).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

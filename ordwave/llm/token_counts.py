@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .exchange import Frozen
 from .text import slices
 from .word_bpe import word_ids
 
@@ -40,6 +41,7 @@ def context_table(histogram: DataFrame) -> DataFrame:
     at the limit; lost_tokens: the rest. share_fit: the share of documents that fit, so the smallest
     limit with share_fit >= q is the q-quantile of length.
     """
+    histogram = Frozen(histogram).df  # a row for each length; it is used twice, texts are encoded once
     h = histogram.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 Such a tokenizer treats what stands between ASCII white space independently, so a text's ids are
 those of its words in a row. Each Python worker keeps the ids of words it has seen, up to a bound.
+Texts that hold an added token of the tokenizer are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(added.items()) if t.special)
         self.stops = self.mark[0].encode()
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -50,11 +51,12 @@ class WordIds(dict):
             for w, ids in zip(lot, found):
                 self[w] = self._pack(ids)
         for w in alone:
-            self[w] = self._pack(self.plain.encode(w.decode(), add_special_tokens=False).ids)
+            self[w] = self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; null counts as empty, special tokens in texts are ordinary text."""
-        split = [(t or "").encode().split() for t in texts]
+        """Packed ids of each text as the tokenizer gives them without special tokens of its own; null counts as empty."""
+        whole = {i: self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        split = [[] if i in whole else (t or "").encode().split() for i, t in enumerate(texts)]
         new: set[bytes] = set()
         for words in split:
             new.update(words)
@@ -64,7 +66,7 @@ class WordIds(dict):
                 self.clear()
                 new = {w for words in split for w in words}
             self.learn(list(new))
-        return [b"".join([self[w] for w in words]) for words in split]
+        return [whole[i] if i in whole else b"".join([self[w] for w in words]) for i, words in enumerate(split)]
 
 
 @functools.lru_cache(maxsize=2)
