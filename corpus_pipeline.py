@@ -18,15 +18,12 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.quality(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), carry=["__row"])
-    return judged.where("kept").select("__row.*")
+    return quality.kept_documents(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    groups = ngram_join.jaccard_components(docs)
-    lost = groups.where("component_id != doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__lost"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Exactly one row of each group of near copies: one with the smallest doc_id, null ids last. Rows without words stay."""
+    return ngram_join.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
