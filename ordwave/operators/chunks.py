@@ -41,3 +41,31 @@ def write_chunks(placed: DataFrame, seq: str, gap: int, path: str) -> None:
     """Writes Parquet folders by chunk; a chunk that is written again replaces its folder alone."""
     out = placed.withColumn("chunk_id", F.floor(F.col("pos") / gap))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+
+
+def index_metadata(docs: DataFrame, text: str, times: int) -> DataFrame:
+    """The scenes of metadata documents, each `times` times: idx counts from 0 in the order of their numbers, entry is the scene as a map.
+
+    `text` is JSON with a list SceneInfo whose entries have a SceneFrameIndex, a number or its text;
+    numbers are compared as numbers. Absent and malformed documents have no scenes. One document's
+    scenes are one array, as they are in its file. The other columns of docs are kept.
+    """
+    keep = [c for c in docs.columns if c != text]
+    parsed = docs.select(*keep, F.from_json(text, "SceneInfo array<map<string,string>>")["SceneInfo"].alias("__s"))
+    number = lambda e: e["SceneFrameIndex"].try_cast("bigint")
+    ordered = F.transform(F.array_sort(F.transform("__s", lambda e, i: F.struct(number(e).alias("n"), i.alias("i")))), lambda x: F.element_at("__s", x["i"] + 1))
+    rows = parsed.select(*keep, F.posexplode(ordered).alias("__i", "entry")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return rows.select(*keep, (F.col("__i").cast("long") * times + F.col("copy")).alias("idx"), "entry")
+
+
+def metadata_slice(indexed: DataFrame, starts: DataFrame, doc: str, gap: int, fields: list[str]) -> DataFrame:
+    """For each start(doc, start), the JSON list of the entries from start to start + gap - 1, each with its own idx as SceneFrameIndex.
+
+    A start below 0 or past the end has an empty text; a start just at the end has an empty list.
+    """
+    ends = indexed.groupBy(doc).agg(F.count("*").alias("__n"))
+    item = F.struct(F.col("idx").alias("SceneFrameIndex"), *[F.col("entry")[f].alias(f) for f in fields])
+    wanted = starts.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("start") + gap - 1)))
+    found = wanted.join(indexed, [doc, "idx"], "left").groupBy(doc, "start").agg(F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), item))).alias("__l"))
+    text = F.when((F.col("start") < 0) | F.col("__n").isNull() | (F.col("start") > F.col("__n")), "").otherwise(F.to_json("__l"))
+    return found.join(ends, doc, "left").select(doc, "start", text.alias("slice"))

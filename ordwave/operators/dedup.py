@@ -10,16 +10,19 @@ from pyspark.sql import types as T
 from .sequences import BLOCK, block_window, carry_state, in_blocks
 
 
-def dedup_anchor(placed: DataFrame, seq: str, value: str, threshold: float, cap: int, keep: list[str], rows: int = BLOCK) -> DataFrame:
+def dedup_anchor(placed: DataFrame, seq: str, value: str, threshold: float, cap: int, keep: list[str], rows: int = BLOCK, scene: str | None = None) -> DataFrame:
     """Each row's distance in rows from its run's anchor: `absorbed`, 0 on anchors, which are the rows kept.
 
     A row joins the run while it differs from the anchor by less than the threshold and the run has
     absorbed fewer than `cap` rows; else it is the next anchor. The anchor lies at most `cap` rows
     back, so a sequence is a machine with cap + 1 states and needs no pass over it in one task.
-    A null value equals nothing. Returns seq, pos, the columns in `keep`, absorbed and kept.
+    A null value equals nothing. Where a `scene` column is true a run ends whatever the distance, and
+    the row is an anchor. Returns seq, pos, the columns in `keep`, absorbed and kept.
     """
     w = block_window(seq)
     near = [F.coalesce(F.abs(F.col(value) - F.lag(value, k + 1).over(w)) < threshold, F.lit(False)) for k in range(cap)]
+    if scene:  # a run that reaches back across a scene's first row has ended there already
+        near = [n & ~F.coalesce(F.col(scene), F.lit(False)) for n in near]
     after = F.array(*[F.when(n, k + 1).otherwise(0) for k, n in enumerate(near)], F.lit(0))
     seen = in_blocks(placed, before=cap, rows=rows).withColumn("__next", after).where("own")
     return carry_state(seen, seq, cap + 1, F.col("__next"), keep).withColumn("absorbed", F.col("state")).withColumn("kept", F.col("state") == 0).drop("entry", "state")
@@ -58,11 +61,12 @@ def dropped_in_batch(values: list[float], scenes: list[bool], mode: int) -> list
     return [i in gone and not scenes[i] and i not in (0, n - 1) for i in range(n)]
 
 
-def dedup_held(placed: DataFrame, seq: str, value: str, scene: str, mode: int = 2, batch: int = 200) -> DataFrame:
-    """seq, pos, value and kept: held drawings are searched in batches of `batch` rows of a sequence.
+def dedup_held(placed: DataFrame, seq: str, value: str, scene: str, mode: int = 2, queue: int = 18, batch: int | None = None) -> DataFrame:
+    """seq, pos, value and kept: held drawings are searched in batches of a sequence, of `batch` or else max(queue, 200) rows.
 
     A batch's first and last row and scene rows stay; windows do not cross batches.
     """
+    batch = batch or max(queue, 200)
     schema = T.StructType([placed.schema[seq], T.StructField("pos", T.LongType()), T.StructField(value, T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

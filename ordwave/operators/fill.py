@@ -49,14 +49,14 @@ def bisect_times(n: int) -> list[float]:
     return [t / 2 for t in half] + [0.5] * (n % 2) + [0.5 + t / 2 for t in half]
 
 
-def fill(placed: DataFrame, seq: str, value: str, n: Column, blend: Callable[[Column, Column, Column], Column] = linear, times: list[list[float]] | None = None) -> DataFrame:
+def fill(placed: DataFrame, seq: str, value: str, n: Column, blend: Callable[[Column, Column, Column], Column] = linear, times: list[list[float]] | None = None, pure: Column | None = None, long: int = 20) -> DataFrame:
     """Each row (sub_no 0), then n rows between it and the next (sub_no 1 to n): value at time t.
 
     t is sub_no / (n + 1), or the times listed for each n. The last row of a sequence has no next;
     its value is repeated. Rows come to 1 + n for every row. `blend` may be any function of columns,
-    so also a pandas UDF over a model.
+    so also a pandas UDF over a model. Where more than `long` rows follow a `pure` one, they repeat it.
     """
-    ahead = with_neighbour(placed.withColumn("__n", n.cast("int")), seq, value, "__next", step=1).withColumn("__next", F.coalesce("__next", value))
+    ahead = with_neighbour(placed.withColumn("__n", n.cast("int")).withColumn("__same", F.lit(False) if pure is None else (F.col("__n") > long) & F.coalesce(pure, F.lit(False))), seq, value, "__next", step=1).withColumn("__next", F.coalesce("__next", value))
     rows = ahead.withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("__n"))))
     if times is None:
         t = F.col("sub_no") / (F.col("__n") + 1)
@@ -64,4 +64,23 @@ def fill(placed: DataFrame, seq: str, value: str, n: Column, blend: Callable[[Co
         table = F.array(*[F.array(*[F.lit(x) for x in (0.0, *ts)]) for ts in times])
         t = F.element_at(F.element_at(table, F.col("__n") + 1), F.col("sub_no") + 1)
     filled = rows.withColumn("t", t.cast("double"))
-    return filled.withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(blend(F.col(value), F.col("__next"), F.col("t")))).drop("__n", "__next")
+    return filled.withColumn(value, F.when((F.col("sub_no") == 0) | F.col("__same"), F.col(value)).otherwise(blend(F.col(value), F.col("__next"), F.col("t")))).drop("__n", "__next", "__same")
+
+
+def fill_scenes(runs: DataFrame, seq: str, value: str, mix: bool = False, blend: Callable[[Column, Column, Column], Column] = linear) -> DataFrame:
+    """Fills the gaps of runs(seq, pos, run, n, last, value), as many rows out as the runs had, without blending across scenes.
+
+    A run has its anchor's value, the n rows that it absorbed, and last: the value of its last row; its
+    rows lie at run .. run + n. Rows between two anchors of one scene are blended. A run before a
+    scene (the next run's `scene` is true) ends on its own last row instead: the rows between are
+    blended from its anchor to that row, which is repeated as it is; with `mix` they fade into the
+    scene's first row. The last run of a sequence ends like a run before a scene.
+    """
+    ahead = with_neighbour(with_neighbour(runs, seq, value, "__next", step=1), seq, "scene", "__cut", step=1)
+    rows = ahead.withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
+    cut = F.coalesce("__cut", F.lit(True))
+    inner = F.when(cut & ~(F.lit(mix) & F.col("__next").isNotNull()), F.col("last")).otherwise(F.col("__next"))
+    steps = F.when(cut & ~(F.lit(mix) & F.col("__next").isNotNull()), F.greatest("n", F.lit(1))).otherwise(F.col("n") + 1)
+    made = blend(F.col(value), F.col("__target"), F.col("sub_no") / F.col("__steps"))
+    filled = rows.withColumn("__target", inner).withColumn("__steps", steps.cast("double")).withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(made))
+    return filled.drop("__next", "__cut", "__target", "__steps")

@@ -87,15 +87,17 @@ def _ggd_shape(rho: pd.Series) -> pd.Series:
     return pd.Series(g[len(g) - 1 - _nearest((1 / ratio)[::-1], x)])
 
 
-@F.pandas_udf(T.DoubleType())
-def _aggd_shape(r: pd.Series) -> pd.Series:
-    g, ratio = shape_table()
-    return pd.Series(g[_nearest(ratio, np.where(np.isfinite(r), r, np.inf))])
+@functools.lru_cache(maxsize=1)
+def _gammas() -> np.ndarray:
+    """Γ(k / g) for k = 1, 2, 3 at each shape of the table."""
+    return np.array([[math.gamma(k / x) for x in shape_table()[0]] for k in (1, 2, 3)])
 
 
-@F.pandas_udf(T.DoubleType())
-def _gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.gamma)
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("alpha", "g1", "g2", "g3")]))
+def _aggd_shape(r: pd.Series) -> pd.DataFrame:
+    g, ratio = shape_table()
+    at = _nearest(ratio, np.where(np.isfinite(r), r, np.inf))
+    return pd.DataFrame({"alpha": g[at], **{f"g{k + 1}": row[at] for k, row in enumerate(_gammas())}})
 
 
 def ggd_fit(df: DataFrame, px: str) -> DataFrame:
@@ -113,9 +115,32 @@ def aggd_fit(df: DataFrame, px: str) -> DataFrame:
     g = F.col("left_rms") / F.nullif(F.col("right_rms"), F.lit(0.0))
     r = F.pow(total(F.transform(a, F.abs)) / F.size(a), F.lit(2.0)) / F.nullif(mean(F.transform(a, lambda x: x * x)), F.lit(0.0))
     norm = r * (F.pow(g, F.lit(3.0)) + 1) * (g + 1) / F.pow(g * g + 1, F.lit(2.0))
-    out = out.withColumn("alpha", _aggd_shape(F.coalesce(norm, F.lit(float("inf")))))
-    gam = lambda k: _gamma(F.lit(float(k)) / F.col("alpha"))
-    out = out.withColumn("__g1", gam(1)).withColumn("__g2", gam(2)).withColumn("__g3", gam(3))
-    scale = F.sqrt("__g1") / F.sqrt("__g3")
+    out = out.withColumn("__f", _aggd_shape(F.coalesce(norm, F.lit(float("inf"))))).withColumn("alpha", F.col("__f.alpha"))
+    scale = F.sqrt("__f.g1") / F.sqrt("__f.g3")
     out = out.withColumn("left", scale * F.col("left_rms")).withColumn("right", scale * F.col("right_rms"))
-    return out.withColumn("bias", (F.col("right") - F.col("left")) * F.col("__g2") / F.col("__g1")).drop("__g1", "__g2", "__g3")
+    return out.withColumn("bias", (F.col("right") - F.col("left")) * F.col("__f.g2") / F.col("__f.g1")).drop("__f")
+
+
+def luma_proxy(h: int, w: int, most: int = 300, levels: int = 256):
+    """A pandas UDF of a frame of levels (0 to levels - 1): every 2nd pixel of both axes (4th above 1000 rows), at most `most` of each, equalised."""
+    stride = 4 if h > 1000 else 2
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def proxy(px: pd.Series) -> pd.Series:
+        out = []
+        for v in px:
+            if v is None:
+                out.append(None)
+                continue
+            part = np.asarray(v).reshape(h, w)[::stride, ::stride][:most, :most]
+            cdf = np.bincount(part.ravel(), minlength=levels).cumsum()
+            low, size = cdf[cdf > 0][0], part.size
+            out.append((part if size == low else np.floor((cdf[part] - low) * (levels - 1) / (size - low) + 0.5)).astype(int).ravel().tolist())
+        return pd.Series(out)
+
+    return proxy
+
+
+def proxy_distance(a, b) -> Column:
+    """Mean absolute difference of two proxies; 0 at once where all their samples are equal."""
+    return F.when(a == b, 0.0).otherwise(mean(F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))))

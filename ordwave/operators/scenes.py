@@ -16,9 +16,12 @@ from .sequences import BLOCK, block_window, carry_state, in_blocks, positions, r
 EQUAL, HARD, BORN = 0.001, 80.0, 2.0
 
 
-def pair_distance(df: DataFrame, seq: str, order: str, value: str, distance, out: str = "diff", rows: int = BLOCK) -> DataFrame:
-    """Adds pos, prev (the value of the row before) and out, their distance; both null on a sequence's first row."""
-    placed = with_neighbour(positions(df, seq, order), seq, value, "prev", rows=rows)
+def pair_distance(df: DataFrame, seq: str, order: str | list[str], value: str, distance, out: str = "diff", rows: int = BLOCK, width: int = BLOCK) -> DataFrame:
+    """Adds pos, prev (the value of the row before) and out, their distance; both null on a sequence's first row.
+
+    `order` and `width` are those of positions().
+    """
+    placed = with_neighbour(positions(df, seq, order, width), seq, value, "prev", rows=rows)
     return placed.withColumn(out, F.when(F.col("prev").isNotNull(), distance(F.col("prev"), F.col(value))))
 
 
@@ -38,10 +41,15 @@ def scene_score(measured: DataFrame, seq: str, diff: str, length: int, rows: int
 
 @dataclass
 class SceneState:
-    """The adaptive labeller of one sequence: its last distances, and whether a black run is pending."""
+    """The labeller of one sequence: its last distances, and whether a black run is pending.
+
+    `fixed` makes it label by that distance alone, `disabled` label nothing.
+    """
 
     length: int
     threshold: float
+    fixed: float | None = None
+    disabled: bool = False
     black: bool = False
     diffs: deque = field(default_factory=deque)
 
@@ -55,8 +63,16 @@ class SceneState:
         sxx = n * (n * n - 1) / 12
         return (syy / n * (1 + (sxy * sxy / (sxx * syy) if syy else 0.0))) ** 0.65
 
-    def step(self, diff: float, pure: bool) -> bool:
-        """Whether a scene begins with a row at this distance from the one before."""
+    def step(self, diff: float | None, pure: bool, only_learn: bool = False, replace_last: bool = False) -> bool:
+        """Whether a scene begins with a row at this distance from the one before; none does at an unknown distance.
+
+        `only_learn` takes the distance into the queue without judging it, though hard cuts and ends of
+        black runs count; `replace_last` judges it in place of the last one in a full queue.
+        """
+        if self.disabled or diff is None:
+            return False
+        if self.fixed is not None:
+            return diff >= self.fixed
         if diff < EQUAL:
             self.black |= pure
             return False
@@ -66,13 +82,18 @@ class SceneState:
         if diff > HARD:
             self.diffs.clear()
             return True
-        if len(self.diffs) < self.length:
+        if len(self.diffs) < self.length or only_learn:
             if diff not in self.diffs:
                 self.diffs.append(diff)
             return False
+        if replace_last:
+            self.diffs.pop()
+            if not self.diffs:
+                return False
         before = self.spread()
         self.diffs.append(diff)
-        self.diffs.popleft()
+        while len(self.diffs) > self.length:
+            self.diffs.popleft()
         if self.spread() - before > self.threshold and diff > BORN:
             self.diffs.clear()
             return True
@@ -101,7 +122,7 @@ def scene_adaptive(measured: DataFrame, seq: str, diff: str, pure: Column, lengt
             for key, segment, d, kind, entry in zip(b[seq], b["segment"], b["diff"], b["kind"], b["entry"]):
                 if (key, segment) != at:
                     at, state = (key, segment), SceneState(length, threshold, black=bool(entry))
-                out.append(False if pd.isna(d) else state.step(d, kind == 1))
+                out.append(state.step(None if pd.isna(d) else d, kind == 1))
             yield pd.DataFrame({seq: b[seq], "pos": b["pos"], "diff": b["diff"], "is_scene": out})
 
     tasks = tasks or int(measured.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -12,21 +12,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Rows in a block of windows, and rows or blocks whose state maps are composed in one array.
 BLOCK, FAN = 1 << 16, 256
 
 
-def positions(df: DataFrame, seq: str, order: str, width: int = BLOCK) -> DataFrame:
+def positions(df: DataFrame, seq: str, order: str | list[str], width: int = BLOCK) -> DataFrame:
     """Adds pos, the place of each row in its sequence from 0.
 
-    Rows are numbered within slices of `width` order values; the rows of earlier slices are added
-    from a table with one row per slice. Rows with a null key or order are left out; ties of order
-    are broken at random, so order values should be distinct within a sequence.
+    `order` is an integer column, or a list of one and of columns that break its ties; together they
+    should tell all rows of a sequence apart, so that places are the same whenever they are computed.
+    Rows are numbered within slices of `width` values of the integer, which should hold many rows
+    each; the rows of earlier slices are added from a table with one row per slice. Rows with a null
+    key or integer are left out.
     """
-    sliced = df.where(F.col(seq).isNotNull() & F.col(order).isNotNull()).withColumn("__slice", F.floor(F.col(order) / width))
+    first, *ties = [order] if isinstance(order, str) else order
+    sliced = df.where(F.col(seq).isNotNull() & F.col(first).isNotNull()).withColumn("__slice", F.floor(F.col(first) / width))
     earlier = Window.partitionBy(seq).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy(seq, "__slice").agg(F.count("*").alias("n")).select(seq, "__slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(seq, "__slice").orderBy(order)) - 1
+    nth = F.row_number().over(Window.partitionBy(seq, "__slice").orderBy(first, *ties)) - 1
     return sliced.withColumn("__nth", nth).join(before, [seq, "__slice"]).withColumn("pos", F.col("__before") + F.col("__nth")).drop("__slice", "__nth", "__before")
 
 
@@ -72,7 +77,7 @@ def _scan(maps: DataFrame, seq: str, states: int, most: int) -> DataFrame:
     else:
         identity = F.array(*[F.lit(s) for s in range(states)])
         composed = groups.select(seq, F.col("up").alias("at"), F.aggregate("items", identity, lambda m, x: F.transform(m, lambda s: F.element_at(x["next"], s + 1))).alias("next"))
-        above = _scan(composed, seq, states, most // FAN).select(seq, F.col("at").alias("up"), "entry")
+        above = _scan(written(composed) if most // FAN >= FAN else composed, seq, states, most // FAN).select(seq, F.col("at").alias("up"), "entry")
         entered = groups.join(above, [seq, "up"])
     step = lambda acc, x: F.concat(acc, F.array(F.element_at(x["next"], F.element_at(acc, -1) + 1)))
     passed = entered.withColumn("entries", F.aggregate("items", F.array("entry"), step))
@@ -87,5 +92,6 @@ def carry_state(placed: DataFrame, seq: str, states: int, next_state: Column, ke
     most are gathered in an array, then FAN of their composed maps, and so on; nothing gathers a sequence.
     """
     maps = placed.select(seq, F.col("pos").alias("at"), next_state.alias("next"), *keep)
-    most = placed.agg(F.max("pos")).first()[0] or 0  # how many levels it takes
+    maps = written(maps)  # it is read on the way up and down, and for the number of levels
+    most = maps.agg(F.max("at")).first()[0] or 0
     return _scan(maps, seq, states, most).select(seq, F.col("at").alias("pos"), *keep, "entry", F.element_at("next", F.col("entry") + 1).alias("state"))

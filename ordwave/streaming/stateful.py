@@ -26,17 +26,20 @@ def stream_scenes(df: DataFrame, seq: str, order: str, value: str, length: int =
     """seq, order, value, is_scene: the adaptive labeller on distances of neighbours, batch after batch.
 
     Rows of a micro-batch are taken in order; a later micro-batch must not hold earlier rows of a sequence.
+    A null value begins no scene, nor does the row after it. A task holds one sequence's rows of a
+    micro-batch, so sources should bound their micro-batches (maxFilesPerTrigger, maxOffsetsPerTrigger).
     """
-    state_type = "seen boolean, last double, black boolean, diffs array<double>"
+    state_type = "last double, black boolean, diffs array<double>"
 
     def step(key, parts, state):
-        seen, last, black, diffs = state.get if state.exists else (False, 0.0, False, [])
-        labeller, out = SceneState(length, threshold, black, deque(diffs)), []
+        last, black, diffs = state.get if state.exists else (None, False, [])
+        labeller, out = SceneState(length, threshold, black=black, diffs=deque(diffs)), []
         rows = _in_order(parts, order)
         for v in rows[value]:
-            out.append(seen and labeller.step(abs(v - last), False))
-            seen, last = True, float(v)
-        state.update((seen, last, labeller.black, list(labeller.diffs)))
+            v = None if pd.isna(v) else float(v)
+            out.append(labeller.step(None if v is None or last is None else abs(v - last), False))
+            last = v
+        state.update((last, labeller.black, list(labeller.diffs)))
         yield rows[[seq, order, value]].assign(is_scene=out)
 
     return df.groupBy(seq).applyInPandasWithState(step, _schema(df, seq, order, value, "is_scene"), state_type, "append", _NEVER)
@@ -49,10 +52,11 @@ def stream_dedup(df: DataFrame, seq: str, order: str, value: str, threshold: flo
         anchor, absorbed = state.get if state.exists else (None, 0)
         rows, out = _in_order(parts, order), []
         for v in rows[value]:
-            if anchor is not None and abs(v - anchor) < threshold and absorbed < cap:
+            v = None if pd.isna(v) else float(v)
+            if anchor is not None and v is not None and abs(v - anchor) < threshold and absorbed < cap:
                 absorbed += 1
             else:
-                anchor, absorbed = float(v), 0
+                anchor, absorbed = v, 0
             out.append(absorbed == 0)
         state.update((anchor, absorbed))
         yield rows[[seq, order, value]].assign(kept=out)

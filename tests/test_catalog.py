@@ -7,10 +7,10 @@ import pytest
 
 from ordwave.operators.dedup import dropped_in_batch
 from ordwave.operators.scenes import SceneState
-from ordwave.plans import catalog
+from ordwave.plans import catalog, media, pictures  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-TABLES = ["events", "embeddings", "part"]
+TABLES = ["events", "embeddings", "part", "lineitem"]
 
 
 @pytest.fixture(scope="module")

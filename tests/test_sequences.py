@@ -91,6 +91,125 @@ def test_image_folder_and_raw_frames(spark, tmp_path):
     assert [bytes(r["frame"]) for r in probe.raw_frames(raw, "content", 2, 2).orderBy("frame_no").collect()] == [bytes(range(12)), bytes(range(12, 24))]
 
 
+def test_scene_aware_dedup_and_fill(placed, rows, monkeypatch):
+    """Runs end at scenes; as many rows come out as went in, and none is blended across a scene."""
+    monkeypatch.setattr(sequences, "FAN", 5)
+    flagged = placed.withColumn("scene", F.col("v") > 100)
+    runs = dedup.dedup_anchor(flagged, "s", "v", 1.5, 4, ["v", "scene"], rows=9, scene="scene")
+    want = {}
+    for s, vs in by_sequence(rows).items():
+        anchor, n = None, 0
+        for i, v in enumerate(vs):
+            anchor, n = (anchor, n + 1) if anchor is not None and v <= 100 and abs(v - anchor) < 1.5 and n < 4 else (v, 0)
+            want[s, i] = n
+    assert {(r["s"], r["pos"]): r["absorbed"] for r in runs.collect()} == want
+    size = runs.withColumn("run", F.col("pos") - F.col("absorbed")).groupBy("s", "run").agg(F.max("absorbed").cast("int").alias("n"), F.max_by("v", "absorbed").alias("last"), F.min_by("v", "absorbed").alias("v"), F.min_by("scene", "absorbed").alias("scene"))
+    for mix in (False, True):
+        made = fill.fill_scenes(sequences.positions(size, "s", "run"), "s", "v", mix=mix).collect()
+        assert sorted((r["s"], r["run"] + r["sub_no"]) for r in made) == sorted(want)
+        kept = {(r["s"], r["run"]): r["v"] for r in made if r["sub_no"] == 0}
+        assert all(kept[k] == by_sequence(rows)[k[0]][k[1]] for k in kept)
+
+
+def test_labeller_branches():
+    state = lambda **k: scenes.SceneState(3, 1.0, **k)
+    assert [state(fixed=50.0).step(d, False) for d in (49.9, 50.0, 0.0)] == [False, True, False]
+    assert not any(state(disabled=True).step(d, True) for d in (0.0, 500.0))
+    s = state()
+    assert not s.step(None, False) and not s.diffs
+    assert [s.step(d, False, only_learn=True) for d in (1.0, 2.0, 3.0, 4.0, 4.0)] == [False] * 5 and list(s.diffs) == [1.0, 2.0, 3.0, 4.0]
+    assert s.step(81.0, False, only_learn=True) and not s.diffs
+    for d in (3.0, 3.5, 4.0):
+        s.step(d, False)
+    assert s.step(60.0, False, replace_last=True) and not s.diffs
+    one = scenes.SceneState(1, 1.0)
+    one.step(3.0, False)
+    assert not one.step(60.0, False, replace_last=True) and not one.diffs
+    black = state()
+    assert [black.step(d, p) for d, p in ((0.0, True), (0.0, False), (5.0, False), (5.0, False))] == [False, False, True, False]
+
+
+def test_streams_with_nulls(spark, tmp_path):
+    from ordwave.streaming import stateful
+
+    values = [1.0, None, 2.0, 200.0, 201.0, None, 3.0, 3.0]
+    spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "s int, o long, v double").write.parquet(str(tmp_path / "in"))
+    for name, build in (("scene", lambda d: stateful.stream_scenes(d, "s", "o", "v", 3, 1.0)), ("dedup", lambda d: stateful.stream_dedup(d, "s", "o", "v", 1.5, 4))):
+        source = spark.readStream.schema("s int, o long, v double").parquet(str(tmp_path / "in"))
+        build(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start(str(tmp_path / name)).awaitTermination()
+    flags = [r["is_scene"] for r in spark.read.parquet(str(tmp_path / "scene")).orderBy("o").collect()]
+    placed = sequences.positions(spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "s int, o long, v double"), "s", "o")
+    measured = sequences.with_neighbour(placed, "s", "v", "p").withColumn("d", F.abs(F.col("v") - F.col("p")))
+    assert flags == [r["is_scene"] for r in scenes.scene_adaptive(measured, "s", "d", F.lit(False), 3, 1.0).orderBy("pos").collect()]
+    assert flags == [False, False, False, True, False, False, False, False]
+    batch = dedup.dedup_anchor(placed, "s", "v", 1.5, 4, []).orderBy("pos").collect()
+    assert [r["kept"] for r in spark.read.parquet(str(tmp_path / "dedup")).orderBy("o").collect()] == [r["kept"] for r in batch]
+
+
+def test_ties_of_order(spark):
+    rows = [(1, 5, "b"), (1, 5, "a"), (1, 4, "z"), (2, 5, "q")]
+    got = sequences.positions(spark.createDataFrame(rows, "s int, o long, name string"), "s", ["o", "name"]).collect()
+    assert {(r["s"], r["name"]): r["pos"] for r in got} == {(1, "z"): 0, (1, "a"): 1, (1, "b"): 2, (2, "q"): 0}
+
+
+def test_fill_takes_a_pandas_udf(placed, rows):
+    """A model in place of the linear blend: it sees both ends and the time, in Arrow batches."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def model(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+        return a + 10 * b + 100 * t
+
+    got = {(r["s"], r["pos"], r["sub_no"]): r["v"] for r in fill.fill(placed, "s", "v", F.lit(1), blend=model).collect()}
+    for s, vs in by_sequence(rows).items():
+        for i, v in enumerate(vs):
+            assert got[s, i, 0] == v and got[s, i, 1] == pytest.approx(v + 10 * (vs[i + 1] if i + 1 < len(vs) else v) + 50)
+
+
+def test_written_chunks_replace_their_own_folder(spark, placed, tmp_path):
+    chunks.write_chunks(placed.where("s = 1"), "s", 100, str(tmp_path / "c"))
+    chunks.write_chunks(placed.where("s = 1 and pos >= 600").withColumn("v", F.lit(-1.0)), "s", 100, str(tmp_path / "c"))
+    got = spark.read.parquet(str(tmp_path / "c"))
+    assert got.count() == 700 and got.where("v = -1").count() == 100 and got.where("v = -1").agg(F.min("pos")).first()[0] == 600
+
+
+def test_written_images(spark, tmp_path):
+    df = spark.createDataFrame([(7, b"abc"), (123456789, b"")], "n long, data binary")
+    got = {(r["name"], r["size"]) for r in probe.write_images(df, f"file://{tmp_path}/out", "n", "data").collect()}
+    assert got == {("00000007.png", 3), ("123456789.png", 0)} and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["00000007.png", "123456789.png"]
+
+
+def test_canny():
+    import numpy as np
+
+    from ordwave.functions.grids import canny_edges
+
+    px = np.full((12, 12), 10.0)
+    px[:, 6:] = 60.0
+    edges = canny_edges(px)
+    assert edges[:, 5:7].any(1).all() and not edges[:, :4].any() and not edges[:, 8:].any()
+    assert not canny_edges(np.full((6, 6), 3.0)).any()
+
+
+def test_mirrored_indexes(spark):
+    import numpy as np
+
+    from ordwave.functions import grids
+
+    px = [float(i) for i in range(12)]
+    df = spark.createDataFrame([(px,)], "px array<double>")
+    got = df.select(grids.pad_reflect(F.col("px"), 3, 4, 2, 3, 1, 2).alias("p")).first()["p"]
+    assert got == np.pad(np.reshape(px, (3, 4)), ((2, 1), (3, 2)), mode="reflect").ravel().tolist()
+
+
+def test_options_on_odd_texts(spark):
+    from ordwave.functions import rules
+
+    texts = ["", None, "-a", "a||b", "-a||-b||c||-a||d", "\\-x\\||\\'q\\'"]
+    got = [{p["flag"]: p["value"] for p in r["o"] or []} for r in spark.createDataFrame([(t,) for t in texts], "t string").select(rules.command_options(F.col("t")).alias("o")).collect()]
+    assert got == [{"": ""}, {}, {"-a": ""}, {"": "b"}, {"-a": "d", "-b": "c"}, {"-x": "'q'"}]
+
+
 def test_empty(spark):
     none = sequences.positions(spark.createDataFrame([], "s int, o long, v double"), "s", "o")
     assert dedup.dedup_anchor(none, "s", "v", 1.0, 3, []).count() == fill.fill(none, "s", "v", F.lit(2)).count() == 0
