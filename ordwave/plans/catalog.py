@@ -191,10 +191,19 @@ def probe_first_stream(spark, sf_dir):
     return probe.streams_json(docs, "t").where("codec_type = 'video'").select("id", width, height, F.round(rate, 6).alias("rate"), count)
 
 
-@query()
+_XML = '<ffprobe><streams><stream codec_type="video" codec_name="h264" width="1920" height="1080" r_frame_rate="30/1"/><stream codec_type="video" codec_name="mjpeg" width="10" height="20" r_frame_rate="0/0"><tag key="rotate" value="90"/></stream><stream codec_type="audio" codec_name="aac"/></streams></ffprobe>'
+
+
+def xml_sql(table: str) -> str:
+    """Streams of XML documents (id, t) by patterns, as the tables docs, e, a and k: the last stream of each kind, and how many there are."""
+    return f"""docs(id, t) AS ({table}), e AS (SELECT id, unnest(regexp_extract_all(t, '<stream [^>]*>')) AS s, generate_subscripts(regexp_extract_all(t, '<stream [^>]*>'), 1) AS place FROM docs),
+a AS (SELECT id, place, regexp_extract(s, 'codec_type="([^"]*)"', 1) AS codec_type, regexp_extract(s, 'codec_name="([^"]*)"', 1) AS codec_name, nullif(regexp_extract(s, 'width="([^"]*)"', 1), '')::BIGINT AS width FROM e),
+k AS (SELECT id, codec_type, arg_max(codec_name, place) AS codec_name, last(width ORDER BY place) AS width, count(*) AS n FROM a GROUP BY id, codec_type)"""
+
+
+@query(f"WITH {xml_sql(f"SELECT 0, '{_XML}'")} SELECT id, codec_type, codec_name, width FROM k")
 def probe_xml_last(spark, sf_dir):
-    text = '<ffprobe><streams><stream codec_type="video" codec_name="h264" width="1920" height="1080" r_frame_rate="30/1"/><stream codec_type="video" codec_name="mjpeg" width="10" height="20" r_frame_rate="0/0"><tag key="rotate" value="90"/></stream><stream codec_type="audio" codec_name="aac"/></streams></ffprobe>'
-    docs = spark.sql(f"SELECT 0 AS id, '{text}' AS t")
+    docs = spark.sql(f"SELECT 0 AS id, '{_XML}' AS t")
     return probe.streams_xml(docs, "t").select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
 
 
@@ -336,7 +345,22 @@ def keep_minus_marked(spark, sf_dir):
     return found.select(*keys).join(real, keys, "left_anti").unionByName(ends).distinct()
 
 
-@query()
+def _spread(q: str) -> str:
+    """The score of a full queue of distances, as scene_score has it."""
+    var, along = f"list_aggregate({q}, 'var_pop')", f"list_sum(list_transform(range(1, {LENGTH + 1}), lambda i: (i - {(LENGTH + 1) / 2}) * {q}[i]))"
+    return f"(CASE WHEN {var} = 0 THEN 0 ELSE pow({var} * (1 + {along} ** 2 / ({LENGTH * (LENGTH**2 - 1) / 12} * {LENGTH} * {var})), 0.65) END)"
+
+
+_NEXT = "(r.queue[2:] || [e.diff])"
+_SOFT = f"({_spread(_NEXT)} - {_spread('r.queue')} > 12 AND e.diff > {scenes.BORN})"
+_LABELLED = f"""{_MEASURED}, labelled AS (SELECT user_id, event_id, value, pos, diff, []::DOUBLE[] AS queue, false AS is_scene FROM measured WHERE pos = 0
+  UNION ALL SELECT e.user_id, e.event_id, e.value, e.pos, e.diff,
+    CASE WHEN e.diff < {scenes.EQUAL} THEN r.queue WHEN e.diff > {scenes.HARD} THEN [] WHEN len(r.queue) < {LENGTH} THEN CASE WHEN list_contains(r.queue, e.diff) THEN r.queue ELSE r.queue || [e.diff] END WHEN {_SOFT} THEN [] ELSE {_NEXT} END,
+    CASE WHEN e.diff < {scenes.EQUAL} THEN false WHEN e.diff > {scenes.HARD} THEN true WHEN len(r.queue) < {LENGTH} THEN false ELSE {_SOFT} END
+  FROM labelled r JOIN measured e ON e.user_id = r.user_id AND e.pos = r.pos + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LABELLED} SELECT user_id, pos, diff, is_scene FROM labelled")
 def scene_adaptive(spark, sf_dir):
     return scenes.scene_adaptive(_measured(spark, sf_dir), "user_id", "diff", F.lit(False), LENGTH, 12.0)
 
@@ -386,7 +410,7 @@ def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query()
+@query(f"WITH RECURSIVE {_LABELLED} SELECT user_id, event_id, value, is_scene FROM labelled")
 def stream_scene(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: stateful.stream_scenes(s, "user_id", "event_id", "value", LENGTH, 12.0))
 

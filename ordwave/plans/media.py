@@ -9,7 +9,7 @@ from ..operators import chunks, dedup, fill, relate, scenes
 from ..operators.sequences import positions, with_neighbour
 from ..sources import probe
 from ..sources.scratch import scratch_dir, written
-from .catalog import CUT, GAP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query
+from .catalog import CUT, GAP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, xml_sql
 
 
 
@@ -124,9 +124,7 @@ _XML_DOCS = [
     '<ffprobe><streams><stream codec_type="video" codec_name="hevc" width="640" height="480" r_frame_rate="24/1"/><stream codec_type="audio" codec_name="ac3"/></streams></ffprobe>', "<broken",
 ]
 _XML_TABLE = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_XML_DOCS))
-_XML_SQL = f"""docs(id, t) AS (VALUES {_XML_TABLE}), e AS (SELECT id, unnest(regexp_extract_all(t, '<stream [^>]*>')) AS s, generate_subscripts(regexp_extract_all(t, '<stream [^>]*>'), 1) AS place FROM docs),
-a AS (SELECT id, place, regexp_extract(s, 'codec_type="([^"]*)"', 1) AS codec_type, regexp_extract(s, 'codec_name="([^"]*)"', 1) AS codec_name, nullif(regexp_extract(s, 'width="([^"]*)"', 1), '')::BIGINT AS width FROM e),
-k AS (SELECT id, codec_type, arg_max(codec_name, place) AS codec_name, last(width ORDER BY place) AS width, count(*) AS n FROM a GROUP BY id, codec_type)"""
+_XML_SQL = xml_sql(f"VALUES {_XML_TABLE}")
 
 
 def _xml(spark):
