@@ -8,9 +8,7 @@ A frequent thing is asked once per group, so no bucket grows with the copies of
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,36 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove, remove_at_exit, shared_dir
+from .text import give_back
+
 PACKED = "grp long, payload binary"
 #: Bytes of a row group in written tables, so that tasks that write long texts hold little.
 ROW_GROUP = 16 << 20
 _ipc = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables; one of our own only where none is set and all is local."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='ordwave-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session has ended; the folder's owner clears it
-        pass
-
-
 class Frozen:
     """A DataFrame written to the shared folder and read back: its lineage ends here.
 
@@ -70,7 +47,7 @@ class Frozen:
         else:
             df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(self.path)
             self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_remove_at_exit, self.spark, self.path)
+        remove_at_exit(self.spark, self.path)
         del df
         if clean:
             release(self.spark)
@@ -144,8 +121,11 @@ def pack(df: DataFrame, key: list[str], groups: int, flush_bytes: int = 24 << 20
             if size >= flush_bytes:
                 yield from out()
                 held, size = [], 0
+                give_back()
         if held:
             yield from out()
+        held = []
+        give_back()
 
     return hashed.mapInArrow(run, PACKED).repartition(parts_of(groups), "grp")
 
@@ -165,6 +145,7 @@ def ask(packed: DataFrame, extract: Callable[[pa.Table], list[tuple[int, bytes]]
 
     def run(key, table):
         found = extract(table)
+        give_back()
         return pa.table({"grp": pa.array([key[0].as_py()] * len(found), pa.int64()), "bucket": pa.array([b for b, _ in found], pa.int64()), "payload": pa.array([p for _, p in found], pa.binary())})
 
     return packed.groupBy("grp").applyInArrow(run, "grp long, bucket long, payload binary")
@@ -175,6 +156,7 @@ def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]], bucket
 
     def run(table):
         out = reply(table.column("payload").to_pylist())
+        give_back()
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
 
     return asked.repartition(parts_of(buckets), "bucket").groupBy("bucket").applyInArrow(run, "grp long, bucket long, payload binary")
@@ -184,7 +166,9 @@ def resolve(packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, d
     """Brings the answers back to their group: finish(table of the group, payload by bucket)."""
 
     def run(table, replies):
-        return finish(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
+        out = finish(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
+        give_back()
+        return out
 
     return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 

@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
     def run(batches):
         coder = word_ids(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(coder.encode(batch.column("text").to_pylist())):
                     ids += end

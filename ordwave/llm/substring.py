@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import answer, ask, from_ipc, group_rows, pack, pieces, resolve, squeeze, to_ipc, total_bytes, unsqueeze
-from .text import Words, inside_texts, mix, utf8, window_hashes
+from .text import Words, give_back, inside_texts, mix, utf8, window_hashes
 
 #: Words in the runs among which a window's minimiser is chosen.
 RUN = 5
@@ -295,7 +295,9 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = answer(ask(packed, ask_minimisers), count_minimisers, 1 << bits)
 
     def route(table, replies):
-        return send_windows(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
+        out = send_windows(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
+        give_back()
+        return out
 
     sent = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(route, "grp long, bucket long, payload binary")
     judged = answer(sent, judge_windows, 1 << bits)
@@ -303,7 +305,9 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def last(table, replies):
         keys = zip(replies.column("bucket").to_pylist(), replies.column("step").to_pylist())
-        return finish(table, dict(zip(keys, replies.column("payload").to_pylist())))
+        out = finish(table, dict(zip(keys, replies.column("payload").to_pylist())))
+        give_back()
+        return out
 
     schema = T.StructType([T.StructField("__id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("kept_text", T.StringType())] + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)])
     done = packed.groupBy("grp").cogroup(both.groupBy("grp")).applyInArrow(last, schema)

@@ -6,6 +6,8 @@ the bytes alone, so they agree between tasks, executors and runs.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -159,6 +161,16 @@ def shingles(words: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return rows, keys
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: a worker outlives its tasks and should not keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = 4 << 20):
     """The batch in runs of rows with about `size` bytes of text each (one row at least)."""
     length = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -169,3 +181,4 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 4 << 20):
         upto = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
         yield batch.slice(at, upto - at)
         at = upto
+    give_back()

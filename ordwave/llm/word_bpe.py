@@ -12,9 +12,13 @@ import os
 
 
 class WordIds(dict):
-    """Packed ids (little-endian unsigned 32-bit) of each word."""
+    """Packed ids (little-endian unsigned 32-bit) of each word.
 
-    BOUND = 1_000_000
+    When there are BOUND of them, they become the older ones, which replace the former older ones; a
+    word among those that occurs again is kept. So words that keep occurring stay, in bounded memory.
+    """
+
+    BOUND = 150_000
     LOT = 200
 
     def __init__(self, path: str):
@@ -26,14 +30,13 @@ class WordIds(dict):
         self.added = [t.content for t in added.values()]
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(added.items()) if t.special)
         self.stops = self.mark[0].encode()
+        self.older: dict[bytes, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes words in lots, parted by a special token; words with that token's first byte go alone."""
-        if len(self) + len(words) > self.BOUND:
-            self.clear()
         alone = [w for w in words if self.stops in w]
         rest = [w for w in words if self.stops not in w]
         lots = [rest[i : i + self.LOT] for i in range(0, len(rest), self.LOT)]
@@ -61,11 +64,13 @@ class WordIds(dict):
         for words in split:
             new.update(words)
         new = {w for w in new if w not in self}
-        if new:
-            if len(self) + len(new) > self.BOUND:
-                self.clear()
-                new = {w for words in split for w in words}
-            self.learn(list(new))
+        if len(self) + len(new) > self.BOUND:
+            self.older = dict(self)
+            self.clear()
+            new = {w for words in split for w in words}
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.update(again)
+        self.learn([w for w in new if w not in again])
         return [whole[i] if i in whole else b"".join([self[w] for w in words]) for i, words in enumerate(split)]
 
 
