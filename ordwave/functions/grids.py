@@ -188,3 +188,21 @@ def canny(h: int, w: int):
         return pd.Series([canny_edges(np.asarray(v).reshape(h, w)).astype(int).ravel().tolist() for v in px])
 
     return edges
+
+
+def area_weights(n: int, m: int) -> np.ndarray:
+    """How much of each of n pixels each of m pixels over the same length covers; rows add up to 1."""
+    lo, hi = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+    pixel = np.arange(n)[None, :]
+    return np.clip(np.minimum(hi, pixel + 1) - np.maximum(lo, pixel), 0, None) * m / n
+
+
+def resize_area(h: int, w: int, to_h: int, to_w: int):
+    """A pandas UDF of a frame: resized, each new pixel the mean of the area it covers."""
+    rows, columns = area_weights(h, to_h), area_weights(w, to_w)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def resized(px: pd.Series) -> pd.Series:
+        return pd.Series([(rows @ np.asarray(v, float).reshape(h, w) @ columns.T).ravel().tolist() for v in px])
+
+    return resized

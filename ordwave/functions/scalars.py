@@ -49,3 +49,48 @@ def chunk_name(number: Column, first: Column, last: Column) -> Column:
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.expr(f"(datediff(to_date({ts}), DATE'1970-01-01') * 86400L + hour({ts}) * 3600 + minute({ts}) * 60) * 1000000L + cast(date_part('SECOND', {ts}) * 1000000 AS BIGINT)")
+
+
+def basename(path: Column) -> Column:
+    """What follows the last slash of either kind."""
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def stem(path: Column) -> Column:
+    """The basename without its last extension; a name that only begins with a dot keeps it."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def quoted(text: Column) -> Column:
+    """The text in double quotes, once."""
+    return F.when(F.startswith(text, F.lit('"')) & F.endswith(text, F.lit('"')) & (F.length(text) > 1), text).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+def has_non_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
+def frame_seconds(frame: Column, rate: Column) -> Column:
+    """When a frame begins, in seconds with three decimals (ties to even), as text."""
+    return F.format_string("%.3f", F.bround((frame / rate).cast("double"), 3))
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    return F.bround(x, digits)
+
+
+def scale_factor(target: Column, source: Column) -> Column:
+    """The least whole factor of both sides that makes an area of `source` reach `target`."""
+    return F.ceil(F.sqrt(target / source))
+
+
+def ceil_to(n: Column, multiple: int) -> Column:
+    return F.ceil(n / multiple) * multiple
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))

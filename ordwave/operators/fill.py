@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .sequences import with_neighbour
 
@@ -67,6 +70,29 @@ def fill(placed: DataFrame, seq: str, value: str, n: Column, blend: Callable[[Co
     return filled.withColumn(value, F.when((F.col("sub_no") == 0) | F.col("__same"), F.col(value)).otherwise(blend(F.col(value), F.col("__next"), F.col("t")))).drop("__n", "__next", "__same")
 
 
+def fill_with(placed: DataFrame, seq: str, value: str, n: Column, generate: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
+    """As fill, with a model that makes all rows between two at once: generate(a, b, n) gives n rows for each pair of a batch.
+
+    a and b hold the values of the batch's pairs with this n, one pair a row (numbers, or arrays as
+    a second axis); the result has an axis of n after that of the pairs. It runs in Arrow batches
+    inside tasks, and is loaded there. Returns seq, pos, sub_no, value.
+    """
+    kind = placed.schema[value].dataType
+    ahead = with_neighbour(placed.select(seq, "pos", value, n.cast("int").alias("__n")), seq, value, "__next", step=1).withColumn("__next", F.coalesce("__next", value))
+    schema = T.StructType([placed.schema[seq], T.StructField("pos", T.LongType()), T.StructField("sub_no", T.IntegerType()), T.StructField(value, kind)])
+
+    def run(batches):
+        for batch in batches:
+            parts = [batch[[seq, "pos", value]].assign(sub_no=0)]
+            for count, rows in batch[batch["__n"] > 0].groupby("__n"):
+                made = np.asarray(generate(np.array(rows[value].tolist()), np.array(rows["__next"].tolist()), int(count)))
+                for k in range(int(count)):
+                    parts.append(rows[[seq, "pos"]].assign(**{value: list(made[:, k]), "sub_no": k + 1}))
+            yield pd.concat(parts)[[seq, "pos", "sub_no", value]]
+
+    return ahead.mapInPandas(run, schema)
+
+
 def fill_scenes(runs: DataFrame, seq: str, value: str, mix: bool = False, blend: Callable[[Column, Column, Column], Column] = linear) -> DataFrame:
     """Fills the gaps of runs(seq, pos, run, n, last, value), as many rows out as the runs had, without blending across scenes.
 

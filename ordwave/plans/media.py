@@ -256,6 +256,39 @@ def fill_pure_runs(spark, sf_dir):
     return fill.fill(_placed(spark, sf_dir), "user_id", "value", F.col("event_id") % 25, pure=F.col("value") < 40).select("user_id", "event_id", "sub_no", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {_PLACED}, ahead AS (SELECT *, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY pos), value) AS nxt FROM placed) SELECT user_id, pos, k AS sub_no, round(CASE WHEN k = 0 THEN value ELSE value * (1 - k / (event_id % 4 + 1)) + nxt * (k / (event_id % 4 + 1)) END, 6) AS value FROM (SELECT *, unnest(range(event_id % 4 + 1))::INT AS k FROM ahead)")
+def fill_model(spark, sf_dir):
+    """Rows between two made by a model over batches of pairs; here it is a linear one."""
+
+    def linear_model(a, b, n):
+        import numpy as np
+
+        t = np.arange(1, n + 1) / (n + 1)
+        return a[:, None] * (1 - t) + b[:, None] * t
+
+    return fill.fill_with(_placed(spark, sf_dir), "user_id", "value", F.col("event_id") % 4, linear_model).withColumn("value", F.round("value", 6))
+
+
+@query(f"""SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN '.tar.gz' ELSE '' END AS base, p_name || CASE WHEN p_size % 2 = 0 THEN '.tar' ELSE '' END AS stem, chr(34) || p_name || chr(34) AS quoted, md5(p_name) AS digest,
+  strlen(p_name || CASE WHEN p_size % 3 = 0 THEN 'é' ELSE '' END) <> length(p_name || CASE WHEN p_size % 3 = 0 THEN 'é' ELSE '' END) AS other, printf('%.3f', p_size / 32.0::DOUBLE) AS seconds, round_even(p_size / 2.0, 0)::DOUBLE AS even_half,
+  ceil(sqrt(p_size / 3.0))::BIGINT AS factor, (p_size + (32 - p_size % 32) % 32)::BIGINT AS padded, least(greatest(p_size / 10.0, 1.5), 4.0)::DOUBLE AS clamped, round(1 / (1 + exp(-p_size / 10.0::DOUBLE)), 9) AS sigmoid FROM part""")
+def scalar_functions(spark, sf_dir):
+    size, name = F.col("p_size"), F.col("p_name")
+    path = F.concat(F.lit("/data/"), F.col("p_type"), F.lit(".d\\"), name, F.when(size % 2 == 0, ".tar.gz").otherwise(""))
+    return _parts(spark, sf_dir).select(
+        "p_partkey", scalars.basename(path).alias("base"), scalars.stem(path).alias("stem"), scalars.quoted(F.when(size % 2 == 0, scalars.quoted(name)).otherwise(name)).alias("quoted"), F.md5(name).alias("digest"),
+        scalars.has_non_ascii(F.concat(name, F.when(size % 3 == 0, "é").otherwise(""))).alias("other"), scalars.frame_seconds(size, F.lit(32.0)).alias("seconds"), scalars.half_even(size / 2).alias("even_half"),
+        scalars.scale_factor(size.cast("double"), F.lit(3.0)).alias("factor"), scalars.ceil_to(size, 32).alias("padded"), scalars.clamp(size / 10, 1.5, 4.0).alias("clamped"), F.round(scalars.sigmoid(size / 10), 9).alias("sigmoid"),
+    )
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def xml_round_trip(spark, sf_dir):
+    """Rows dumped as XML texts and parsed again."""
+    dumped = _parts(spark, sf_dir).select("p_partkey", F.to_xml(F.struct("p_name", "p_size"), {"rowTag": "part"}).alias("t"))
+    return dumped.select("p_partkey", F.from_xml("t", "p_name string, p_size int", {"rowTag": "part"}).alias("x")).select("p_partkey", "x.p_name", "x.p_size")
+
+
 def _scene_runs(spark, sf_dir):
     """Runs of the resampled sequences that end at the cap, at a far row or at a scene's first row."""
     grid = written(positions(_resampled(spark, sf_dir).where("value is not null").withColumn("t", F.col("t").cast("long")), "user_id", "t", width=6 * 3600 * 1_000_000 * 4096))

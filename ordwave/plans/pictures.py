@@ -134,6 +134,16 @@ def tile_roundtrip(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", _px().alias("px")).join(sewn, "vec_id").select("vec_id", (F.col("sewn") == F.col("px")).alias("same"))
 
 
+_COVER = "greatest(0, least((o + 1) * 8 / {m}.0, {i} + 1) - greatest(o * 8 / {m}.0, {i})) * {m} / 8.0"
+
+
+@query(f"""WITH {_PIXELS}, r AS (SELECT o, i, {_COVER.format(m=5, i='i')} AS wt FROM range(5) a(o), range(8) b(i)), c AS (SELECT o, i, {_COVER.format(m=3, i='i')} AS wt FROM range(3) a(o), range(8) b(i))
+SELECT vec_id, round(sum(v * r.wt::DOUBLE * c.wt::DOUBLE * (r.o * 3 + c.o + 1)), 5) AS weighted FROM pixels p JOIN r ON r.i = p.y JOIN c ON c.i = p.x GROUP BY vec_id""")
+def area_resize(spark, sf_dir):
+    made = _vectors(spark, sf_dir).select("vec_id", grids.resize_area(8, 8, 5, 3)(_px()).alias("px"))
+    return made.select("vec_id", F.round(arrays.weighted("px"), 5).alias("weighted"))
+
+
 @query()
 def canny_edges(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", grids.canny(8, 8)(_px()).alias("edges"))
