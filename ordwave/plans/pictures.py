@@ -147,3 +147,8 @@ def area_resize(spark, sf_dir):
 @query()
 def canny_edges(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", grids.canny(8, 8)(_px()).alias("edges"))
+
+
+@query()
+def flow_distance(spark, sf_dir):
+    return _pairs(spark, sf_dir, _px()).select("vec_id", F.round(grids.flow_distance(8, 8)("px", "prev"), 6).alias("distance"))
