@@ -377,7 +377,21 @@ def dedup_anchor(spark, sf_dir):
     return dedup.dedup_anchor(_placed(spark, sf_dir), "user_id", "value", NEAR, CAP, ["event_id"]).select("user_id", "event_id", "absorbed", "kept")
 
 
-@query()
+def _held_sql(mode: int, batch: int) -> str:
+    """SQL of held drawings: windows of q rows by leads, taken from left to right, and the rows that they drop, by growing q."""
+    parts, gone = [], "SELECT NULL::BIGINT AS user_id, NULL::BIGINT AS batch, NULL::BIGINT AS i WHERE false"
+    for q in range(4, mode + 3):
+        at = ["value", *[f"lead(value, {k}) OVER w" for k in range(1, q)]]
+        near = [f"abs({at[a]} - {at[b]}) < least(abs({at[0]} - {at[a]}), abs({at[b]} - {at[q - 1]}))" for a in range(1, q - 2) for b in range(a + 1, q - 1)]
+        parts.append(f"hit{q} AS (SELECT user_id, batch, i, i >= 1 AND i + {q} <= n AND coalesce({' AND '.join(near)}, false) AS hit FROM rows_ WINDOW w AS (PARTITION BY user_id, batch ORDER BY i))")
+        parts.append(f"took{q} AS (SELECT user_id, batch, i, 1::BIGINT AS free, false AS took FROM hit{q} WHERE i = 0 UNION ALL SELECT h.user_id, h.batch, h.i, CASE WHEN h.hit AND h.i >= t.free THEN h.i + {q - 2} ELSE t.free END, h.hit AND h.i >= t.free FROM took{q} t JOIN hit{q} h ON h.user_id = t.user_id AND h.batch = t.batch AND h.i = t.i + 1)")
+        parts.append(f"gone{q} AS ({gone} UNION ALL SELECT user_id, batch, i + k FROM took{q} t, range(1, {q - 2}) r(k) WHERE took AND NOT EXISTS (SELECT 1 FROM ({gone}) g WHERE g.user_id = t.user_id AND g.batch = t.batch AND g.i = t.i))")
+        gone = f"SELECT user_id, batch, i FROM gone{q}"
+    rows = f"rows_ AS (SELECT user_id, pos, value, pos // {batch} AS batch, pos % {batch} AS i, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) > {CUT}, false) AS scene, count(*) OVER (PARTITION BY user_id, pos // {batch}) AS n FROM placed)"
+    return f"WITH RECURSIVE {_PLACED}, {rows}, {', '.join(parts)} SELECT user_id, pos, value, NOT (EXISTS ({gone} g WHERE g.user_id = r.user_id AND g.batch = r.batch AND g.i = r.i) AND NOT scene AND i NOT IN (0, n - 1)) AS kept FROM rows_ r"
+
+
+@query(_held_sql(4, 200))
 def dedup_qframe(spark, sf_dir):
     placed = with_neighbour(_placed(spark, sf_dir), "user_id", "value", "prev")
     scene = F.coalesce(F.abs(F.col("value") - F.col("prev")) > CUT, F.lit(False))
