@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import answer, ask, group_rows, pack, pieces, resolve, squeeze, total_bytes, unsqueeze
+from .exchange import Routes, group_rows, pack, pieces, squeeze, total_bytes, unsqueeze
 from .text import slices
 
 #: Ids that are decoded at a time.
@@ -182,7 +182,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         return pa.table({"__id": rows.column("__id"), "n_tokens": pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), "ids": ids})
 
     schema = T.StructType([T.StructField("__id", source.schema["__id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    out = resolve(packed, answer(ask(packed, extract), reply, buckets), finish, schema)
+    routes = Routes(groups, buckets)
+    out = routes.resolve(packed, routes.answer(routes.ask(packed, extract), reply), finish, schema)
     return out.select(F.col("__id").alias(id_col), "n_tokens", "ids")
 
 

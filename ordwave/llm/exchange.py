@@ -4,11 +4,17 @@ Documents are dealt to groups by a hash of their content, packed and compressed,
 Each group asks questions about distinct things (words, shingles, minimisers); the questions are
 dealt by a hash of the thing to buckets that answer them; answers travel back to the group.
 A frequent thing is asked once per group, so no bucket grows with the copies of one thing.
+
+Up to DIRECT groups each group sends each bucket a message. With more, messages go over relays: a
+relay takes what about sqrt(groups) groups have for about sqrt(groups) buckets, and passes it on as
+one message to each bucket. So messages grow with the power 1.5 of the groups and hold many
+questions at any size, and a relay holds no more than a group does.
 """
 
 from __future__ import annotations
 
 import gc
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,6 +29,9 @@ from .text import give_back
 PACKED = "grp long, payload binary"
 #: Bytes of a row group in written tables, so that tasks that write long texts hold little.
 ROW_GROUP = 16 << 20
+#: Groups up to which messages go straight to their buckets.
+DIRECT = 4096
+_MESSAGE = "grp long, bucket long, payload binary"
 _ipc = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
@@ -140,37 +149,112 @@ def group_rows(table: pa.Table, order_by: list[str]) -> pa.Table:
     return from_ipc(table.column("payload").to_pylist()).sort_by([(c, "ascending") for c in order_by])
 
 
-def ask(packed: DataFrame, extract: Callable[[pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
-    """(grp, bucket, payload) for each bucket that a group has questions for."""
+def _bundle(keys, payloads: list[bytes]) -> bytes:
+    return to_ipc(pa.table({"key": pa.array(keys, pa.int64()), "payload": pa.array(payloads, pa.binary())}))
 
-    def run(key, table):
-        found = extract(table)
-        give_back()
-        return pa.table({"grp": pa.array([key[0].as_py()] * len(found), pa.int64()), "bucket": pa.array([b for b, _ in found], pa.int64()), "payload": pa.array([p for _, p in found], pa.binary())})
 
-    return packed.groupBy("grp").applyInArrow(run, "grp long, bucket long, payload binary")
+def _unbundle(bundle: bytes) -> tuple[list[int], list[bytes]]:
+    table = from_ipc([bundle])
+    return table.column("key").to_pylist(), table.column("payload").to_pylist()
 
 
-def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]], buckets: int) -> DataFrame:
-    """Answers a bucket's payloads together, one reply for each: (grp, bucket, payload)."""
+def _rows(names: list[str], rows: list[tuple]) -> pa.Table:
+    """A table of rows whose last column is binary and whose others are long."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.table({n: pa.array(c, pa.binary() if n == "payload" else pa.int64()) for n, c in zip(names, columns)})
 
-    def run(table):
-        out = reply(table.column("payload").to_pylist())
-        give_back()
-        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
 
-    return asked.repartition(parts_of(buckets), "bucket").groupBy("bucket").applyInArrow(run, "grp long, bucket long, payload binary")
+def _turned(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Of (outer key, bundle of inner keys), the same payloads as (inner key, bundle of outer keys)."""
+    by: dict[int, tuple[list, list]] = {}
+    for outer, bundle in rows:
+        for inner, payload in zip(*_unbundle(bundle)):
+            keys, payloads = by.setdefault(inner, ([], []))
+            keys.append(outer)
+            payloads.append(payload)
+    return [(inner, _bundle(*by[inner])) for inner in sorted(by)]
 
 
-def resolve(packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema) -> DataFrame:
-    """Brings the answers back to their group: finish(table of the group, payload by bucket)."""
+class Routes:
+    """How the questions of `groups` groups reach `buckets` buckets, and the answers their groups."""
 
-    def run(table, replies):
-        out = finish(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
-        give_back()
-        return out
+    def __init__(self, groups: int, buckets: int):
+        self.groups, self.buckets = groups, buckets
+        self.fan = math.isqrt(groups - 1) + 1 if groups > DIRECT else 0
+        self.span = -(-buckets // self.fan) if self.fan else 1
+
+    def messages(self, grp: int, found: list[tuple[int, bytes]]) -> pa.Table:
+        """A group's payloads for buckets as rows to send."""
+        if self.fan:
+            bundles: dict[int, tuple[list, list]] = {}
+            for bucket, payload in found:
+                keys, payloads = bundles.setdefault(bucket // self.span, ([], []))
+                keys.append(bucket)
+                payloads.append(payload)
+            found = [(relay, _bundle(*b)) for relay, b in bundles.items()]
+        return _rows(["grp", "bucket", "payload"], [(grp, *x) for x in found])
 
-    return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
+    def ask(self, packed: DataFrame, extract: Callable[[pa.Table], list[tuple[int, bytes]]]) -> DataFrame:
+        """What each group has to ask of which bucket."""
+
+        def run(key, table):
+            found = extract(table)
+            give_back()
+            return self.messages(key[0].as_py(), found)
+
+        return packed.groupBy("grp").applyInArrow(run, _MESSAGE)
+
+    def answer(self, asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+        """Answers a bucket's payloads together, one reply for each."""
+        if not self.fan:
+
+            def run(table):
+                out = reply(table.column("payload").to_pylist())
+                give_back()
+                return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
+
+            return asked.repartition(parts_of(self.buckets), "bucket").groupBy("bucket").applyInArrow(run, _MESSAGE)
+
+        fan = self.fan
+
+        def forward(table):
+            block, relay = table.column("block")[0].as_py(), table.column("bucket")[0].as_py()
+            out = _turned(list(zip(table.column("grp").to_pylist(), table.column("payload").to_pylist())))
+            give_back()
+            return _rows(["block", "relay", "bucket", "payload"], [(block, relay, *x) for x in out])
+
+        def judge(table):
+            opened = [_unbundle(p) for p in table.column("payload").to_pylist()]
+            replies = iter(reply([p for _, payloads in opened for p in payloads]))
+            out = [_bundle(grps, [next(replies) for _ in grps]) for grps, _ in opened]
+            give_back()
+            return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(out, pa.binary()))
+
+        def backward(table):
+            relay = table.column("relay")[0].as_py()
+            out = _turned(list(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist())))
+            give_back()
+            return _rows(["grp", "bucket", "payload"], [(grp, relay, bundle) for grp, bundle in out])
+
+        kind, parts = "block long, relay long, bucket long, payload binary", parts_of(self.groups)
+        sent = asked.withColumn("block", F.floor(F.col("grp") / fan)).repartition(parts, "block", "bucket").groupBy("block", "bucket").applyInArrow(forward, kind)
+        judged = sent.repartition(parts_of(self.buckets), "bucket").groupBy("bucket").applyInArrow(judge, kind)
+        return judged.repartition(parts, "block", "relay").groupBy("block", "relay").applyInArrow(backward, _MESSAGE)
+
+    def opened(self, replies: pa.Table) -> dict[int, bytes]:
+        """A group's replies by bucket."""
+        buckets, payloads = replies.column("bucket").to_pylist(), replies.column("payload").to_pylist()
+        return {b: p for bundle in payloads for b, p in zip(*_unbundle(bundle))} if self.fan else dict(zip(buckets, payloads))
+
+    def resolve(self, packed: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema) -> DataFrame:
+        """Brings the answers back to their group: finish(table of the group, payload by bucket)."""
+
+        def run(table, replies):
+            out = finish(table, self.opened(replies))
+            give_back()
+            return out
+
+        return packed.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(run, schema)
 
 
 def squeeze(a: np.ndarray) -> bytes:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .exchange import answer, ask, from_ipc, group_rows, pack, pieces, resolve, squeeze, to_ipc, total_bytes, unsqueeze
+from .exchange import Routes, from_ipc, group_rows, pack, pieces, squeeze, to_ipc, total_bytes, unsqueeze
 from .text import Words, give_back, inside_texts, mix, utf8, window_hashes
 
 #: Words in the runs among which a window's minimiser is chosen.
@@ -131,6 +131,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = pieces(n_bytes, group_bytes)
     bits = max(3, (groups - 1).bit_length() - 1)  # even buckets get something from most groups, so there are fewer
     shift = np.uint64(64 - bits)
+    routes = Routes(groups, 1 << bits)
     packed = pack(source, ["__id", "__text"], groups)
     order_by = ["__id", "__text"]
     kind = source.schema["__id"].dataType
@@ -214,17 +215,16 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         _, go = travelling(w, rank, shared_of(w, rank, answers))
         bucket, begin, length = routed(w, go)
         ids = rows.column("__id").combine_chunks()
-        found = {"grp": [], "bucket": [], "payload": []}
+        found = []
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, z in zip(cut, [*cut[1:], len(bucket)]):
             b, n = begin[a:z], length[a:z]
             spelt = _spell(w.words, ranges(w.valid[go[b]], n + size - 1))
             head = pa.table({"id": ids.take(pa.array(w.doc[go[b]])), "n": pa.array(n.astype(np.int32))})
             head = to_ipc(head)
-            found["bucket"].append(int(bucket[a]))
-            found["payload"].append(len(head).to_bytes(8, "little") + head + squeeze(spelt))
-        found["grp"] = [table.column("grp")[0].as_py()] * len(found["bucket"])
-        return pa.table({"grp": pa.array(found["grp"], pa.int64()), "bucket": pa.array(found["bucket"], pa.int64()), "payload": pa.array(found["payload"], pa.binary())})
+            found.append((int(bucket[a]), len(head).to_bytes(8, "little") + head + squeeze(spelt)))
+        give_back()
+        return routes.messages(table.column("grp")[0].as_py(), found)
 
     def judge_windows(payloads):
         heads, texts, sizes = [], [], []
@@ -245,9 +245,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         later = rank > low[group]
         return [squeeze(np.packbits(x)) for x in np.split(later, np.cumsum(sizes)[:-1])]
 
-    def finish(table, replies):
-        first = {b[0]: p for b, p in replies.items() if b[1] == 0}
-        second = {b[0]: p for b, p in replies.items() if b[1] == 1}
+    def finish(table, first, second):
         rows, w, rank = rows_of(table)
         marked, go = travelling(w, rank, shared_of(w, rank, first))
         bucket, begin, length = routed(w, go)
@@ -292,20 +290,14 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             wholes.append(b"".join(spans).decode())
         return pa.array([x.decode() for x in lines], pa.string()), pa.array(wholes, pa.string())
 
-    shared = answer(ask(packed, ask_minimisers), count_minimisers, 1 << bits)
-
-    def route(table, replies):
-        out = send_windows(table, dict(zip(replies.column("bucket").to_pylist(), replies.column("payload").to_pylist())))
-        give_back()
-        return out
-
-    sent = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(route, "grp long, bucket long, payload binary")
-    judged = answer(sent, judge_windows, 1 << bits)
+    shared = routes.answer(routes.ask(packed, ask_minimisers), count_minimisers)
+    sent = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda table, replies: send_windows(table, routes.opened(replies)), "grp long, bucket long, payload binary")
+    judged = routes.answer(sent, judge_windows)
     both = shared.withColumn("step", F.lit(0)).unionByName(judged.withColumn("step", F.lit(1)))
 
     def last(table, replies):
-        keys = zip(replies.column("bucket").to_pylist(), replies.column("step").to_pylist())
-        out = finish(table, dict(zip(keys, replies.column("payload").to_pylist())))
+        first, second = (routes.opened(replies.filter(pc.equal(replies.column("step"), step))) for step in (0, 1))
+        out = finish(table, first, second)
         give_back()
         return out
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ordwave.llm import byte_bpe, chat, language, matroska, ngram_join, packing, pii, quality, queries, substring, token_counts
+from ordwave.llm import byte_bpe, chat, exchange, language, matroska, ngram_join, packing, pii, quality, queries, substring, token_counts
 from ordwave.llm.word_bpe import WordIds
 from tokenizers import Tokenizer
 
@@ -266,6 +266,19 @@ def test_substring_words_with_one_32_bit_code(spark, group_bytes):
     assert got == want and sum(n for _, _, n, _ in want) == 0
 
 
+def test_relays(edge, monkeypatch):
+    """Messages over relays, as between very many groups, bring the same results."""
+    monkeypatch.setattr(exchange, "DIRECT", 2)
+    docs = pairs_of(edge)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(edge, group_bytes=20_000).collect())
+    assert got == Counter(brute.components(docs))
+    got, want = substring_result(edge, docs, group_bytes=20_000)
+    assert got == want
+    encoder = byte_bpe._encoder(RANKS, public_tokenizers.PATTERN)
+    got = Counter((r["doc_id"], bytes(r["ids"])) for r in byte_bpe.encode(edge, RANKS, public_tokenizers.PATTERN, group_bytes=20_000).collect())
+    assert got == Counter((d, struct.pack(f"<{len(ids)}I", *ids)) for d, ids in ((d, encoder.encode_ordinary(t or "")) for d, t in docs))
+
+
 def test_equal_windows_compares_words():
     """Hashes without any use: all windows are proposed as equal, and words decide."""
     rnd = random.Random(4)
