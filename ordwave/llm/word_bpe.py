@@ -18,7 +18,7 @@ class WordIds(dict):
     word among those that occurs again is kept. So words that keep occurring stay, in bounded memory.
     """
 
-    BOUND = 600_000
+    BOUND = 1_000_000
     LOT = 200
 
     def __init__(self, path: str):
