@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, language, matroska, ngram_join, packing, pii, quality, substring, token_counts
+from . import byte_bpe, chat, fill_middle, language, matroska, ngram_join, packing, pii, quality, substring, token_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -104,6 +104,29 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prompt_turns", "prompt", "chosen", "rejected", ranges("chosen_mask"), ranges("rejected_mask"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+_OP13 = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS lines, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+drawn AS (
+  SELECT *, len(lines) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM units),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM formed)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut
+"""
+
 _OP10 = """
 WITH base AS (SELECT conv_id, turn, role, text FROM conversations),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM base),
@@ -138,9 +161,9 @@ FROM made m WHERE m.conv_id IN (SELECT conv_id FROM rej)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_substring_dedup, op7_matroska, op8_token_counts, op9_language_id, op10_preference_format)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_substring_dedup, op7_matroska, op8_token_counts, op9_language_id, op10_preference_format, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query over whole tables; the others are tested against brute force."""
-    return {"op10_preference_format": _OP10}
+    return {"op10_preference_format": _OP10, "op13_fill_in_middle": _OP13}
