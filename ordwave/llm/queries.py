@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, fill_middle, language, matroska, ngram_join, packing, pii, quality, secrets, substring, token_counts
+from . import byte_bpe, chat, fill_middle, language, matroska, ngram_join, packing, pii, quality, secrets, spelling, substring, token_counts
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -104,6 +104,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prompt_turns", "prompt", "chosen", "rejected", ranges("chosen_mask"), ranges("rejected_mask"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_documents(spark, sf_dir), drop_every=97))
+
+
 def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_documents(spark, sf_dir))
     names = [r.kind for r in secrets.BASE_RULES]
@@ -169,7 +173,7 @@ FROM made m WHERE m.conv_id IN (SELECT conv_id FROM rej)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_substring_dedup, op7_matroska, op8_token_counts, op9_language_id, op10_preference_format, op12_secret_scans, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_substring_dedup, op7_matroska, op8_token_counts, op9_language_id, op10_preference_format, op11_spelling_variants, op12_secret_scans, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
