@@ -19,7 +19,7 @@ from .exchange import Frozen
 from .text import give_back
 
 #: Words of a shard, about: what one automaton holds.
-SHARD = 100_000
+SHARD = 20_000
 LETTERS = "[A-Za-zÀ-ÿ]+"
 _LAST = chr(0x10FFFF)
 
@@ -144,6 +144,8 @@ class _Side:
         def build(table: pa.Table) -> pa.Table:
             rows = sorted(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
             made = pickle.dumps((Automaton([w for w, _ in rows]), np.array([n for _, n in rows], np.int64)))
+            del rows
+            give_back()
             return pa.table({"shard": table.column("shard")[:1], "automaton": pa.array([pa.compress(made, codec="zstd", asbytes=True)], pa.binary()), "size": pa.array([len(made)], pa.int64())})
 
         return self.words.groupBy("shard").applyInArrow(build, "shard long, automaton binary, size long")
@@ -162,6 +164,7 @@ class _Side:
                 at = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 rows = pa.array(np.repeat(np.arange(len(words)), times))
                 yield pa.RecordBatch.from_arrays([pa.array(shards[at]), batch.column("shard").take(rows), batch.column("word").take(rows)], ["shard", "source", "word"])
+            give_back()
 
         return self.words.select("word", "shard").mapInArrow(run, "shard long, source long, word string")
 
@@ -178,6 +181,7 @@ class _Side:
         def match(words: pa.Table, automata: pa.Table) -> pa.Table:
             payload = pa.decompress(automata.column("automaton")[0].as_py(), decompressed_size=automata.column("size")[0].as_py(), codec="zstd", asbytes=True)
             automaton, counts = pickle.loads(payload)
+            del payload
             out = []
             for word in words.column("word").to_pylist():
                 near = automaton.near(word, _exact(word, backward))
@@ -188,6 +192,7 @@ class _Side:
                 if near:
                     n, best = min((-int(counts[k]), v) for k, v in near.items())
                     out.append((word, len(near), -n, best))
+            del automaton, counts
             give_back()
             return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "n_near", "near_n", "near"])
 

@@ -66,7 +66,7 @@ def shards(request):
     spelling.SHARD = old
 
 
-@pytest.mark.parametrize("shards", [100_000, 300], indirect=True)
+@pytest.mark.parametrize("shards", [20_000, 300], indirect=True)
 def test_variants_of_the_table(spark, sf, shards):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = variants_of(queries.op11_spelling_variants(spark, sf))
@@ -84,7 +84,7 @@ def test_word_counts_on_edge_cases(spark, edge, empty):  # noqa: F811
     assert spelling.word_counts(empty).count() == 0
 
 
-@pytest.mark.parametrize("shards", [100_000, 7], indirect=True)
+@pytest.mark.parametrize("shards", [20_000, 7], indirect=True)
 def test_variants_with_shared_halves(spark, empty, shards):  # noqa: F811
     """Every word shares its halves with many: hot beginnings and ends over all shards, doubled letters, ties, long chains."""
     rnd = random.Random(1)
