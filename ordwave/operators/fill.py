@@ -94,19 +94,19 @@ def fill_with(placed: DataFrame, seq: str, value: str, n: Column, generate: Call
 
 
 def fill_scenes(runs: DataFrame, seq: str, value: str, mix: bool = False, blend: Callable[[Column, Column, Column], Column] = linear) -> DataFrame:
-    """Fills the gaps of runs(seq, pos, run, n, last, value), as many rows out as the runs had, without blending across scenes.
+    """Fills the gaps of runs(seq, pos, run, n, first, last, value, scene), as many rows out as the runs had, without blending across scenes.
 
-    A run has its anchor's value, the n rows that it absorbed, and last: the value of its last row; its
-    rows lie at run .. run + n. Rows between two anchors of one scene are blended. A run before a
-    scene (the next run's `scene` is true) ends on its own last row instead: the rows between are
-    blended from its anchor to that row, which is repeated as it is; with `mix` they fade into the
-    scene's first row. The last run of a sequence ends like a run before a scene.
+    A run has its anchor's value, the n rows that it absorbed, and the values of the first and last of
+    them; its rows lie at run .. run + n. Rows between two anchors of one scene are blended. A run
+    before a scene (the next run's `scene` is true) ends on its first absorbed row instead: the rows
+    between are blended from its anchor to that row, which is repeated as it is; with `mix` they fade
+    into the scene's first row. The last run of a sequence leads to its last absorbed row.
     """
     ahead = with_neighbour(with_neighbour(runs, seq, value, "__next", step=1), seq, "scene", "__cut", step=1)
     rows = ahead.withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
-    cut = F.coalesce("__cut", F.lit(True))
-    inner = F.when(cut & ~(F.lit(mix) & F.col("__next").isNotNull()), F.col("last")).otherwise(F.col("__next"))
-    steps = F.when(cut & ~(F.lit(mix) & F.col("__next").isNotNull()), F.greatest("n", F.lit(1))).otherwise(F.col("n") + 1)
+    held = F.coalesce("__cut", F.lit(False)) & F.lit(not mix)
+    target = F.when(F.col("__next").isNull(), F.col("last")).when(held, F.col("first")).otherwise(F.col("__next"))
+    steps = F.when(F.col("__next").isNotNull() & held, F.greatest("n", F.lit(1))).otherwise(F.col("n") + 1)
     made = blend(F.col(value), F.col("__target"), F.col("sub_no") / F.col("__steps"))
-    filled = rows.withColumn("__target", inner).withColumn("__steps", steps.cast("double")).withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(made))
+    filled = rows.withColumn("__target", target).withColumn("__steps", steps.cast("double")).withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(made))
     return filled.drop("__next", "__cut", "__target", "__steps")

@@ -100,13 +100,18 @@ class SceneState:
         return False
 
 
-def scene_adaptive(measured: DataFrame, seq: str, diff: str, pure: Column, length: int = 18, threshold: float = 12.0, tasks: int | None = None) -> DataFrame:
+def scene_adaptive(measured: DataFrame, seq: str, diff: str, pure: Column, length: int = 18, threshold: float = 12.0, tasks: int | None = None, fixed: float | None = None, disabled: bool = False) -> DataFrame:
     """seq, pos, diff and is_scene by the adaptive labeller; a first row (null distance) begins no scene.
 
+    `fixed` labels by that distance alone, `disabled` labels nothing; neither looks back.
+
     Every hard cut outside a pending black run empties the labeller, so a sequence is dealt to
     tasks in segments between such cuts. Tasks read their segments as streams and hold `length`
     distances. A sequence without hard cuts is one segment: its labels depend on all rows before.
     """
+    if disabled or fixed is not None:
+        flag = F.lit(False) if disabled else F.coalesce(F.col(diff) >= fixed, F.lit(False))
+        return measured.select(seq, "pos", F.col(diff).cast("double").alias("diff"), flag.alias("is_scene"))
     known = F.coalesce(F.col(diff), F.lit(0.0))
     rows = measured.select(seq, "pos", F.col(diff).alias("diff"), F.when(F.col(diff).isNull(), 2).when(known < EQUAL, F.when(pure, 1).otherwise(2)).otherwise(0).alias("kind"))
     # state: a black run is pending. kind 1 makes it so, 2 leaves it, 0 ends it

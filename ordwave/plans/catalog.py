@@ -15,8 +15,6 @@ from ..functions import arrays, scalars
 from ..operators import chunks, dedup, fill, frames, scenes
 from ..operators.sequences import positions, with_neighbour
 from ..sources import probe
-from ..sources.scratch import scratch_dir
-from ..streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -345,21 +343,27 @@ def keep_minus_marked(spark, sf_dir):
     return found.select(*keys).join(real, keys, "left_anti").unionByName(ends).distinct()
 
 
-def _spread(q: str) -> str:
+def _spread(q: str, length: int) -> str:
     """The score of a full queue of distances, as scene_score has it."""
-    var, along = f"list_aggregate({q}, 'var_pop')", f"list_sum(list_transform(range(1, {LENGTH + 1}), lambda i: (i - {(LENGTH + 1) / 2}) * {q}[i]))"
-    return f"(CASE WHEN {var} = 0 THEN 0 ELSE pow({var} * (1 + {along} ** 2 / ({LENGTH * (LENGTH**2 - 1) / 12} * {LENGTH} * {var})), 0.65) END)"
+    var, along = f"list_aggregate({q}, 'var_pop')", f"list_sum(list_transform(range(1, {length + 1}), lambda i: (i - {(length + 1) / 2}) * {q}[i]))"
+    return f"(CASE WHEN {var} = 0 THEN 0 ELSE pow({var} * (1 + {along} ** 2 / ({length * (length**2 - 1) / 12} * {length} * {var})), 0.65) END)"
 
 
-_NEXT = "(r.queue[2:] || [e.diff])"
-_SOFT = f"({_spread(_NEXT)} - {_spread('r.queue')} > 12 AND e.diff > {scenes.BORN})"
-_LABELLED = f"""{_MEASURED}, labelled AS (SELECT user_id, event_id, value, pos, diff, []::DOUBLE[] AS queue, false AS is_scene FROM measured WHERE pos = 0
+def labelled_sql(measured: str, pure: str = "false", length: int = LENGTH) -> str:
+    """Recursive SQL for the scene labeller over (user_id, event_id, value, pos, diff) rows named measured; `pure` is an expression of a row e."""
+    later = "(r.queue[2:] || [e.diff])"
+    soft = f"({_spread(later, length)} - {_spread('r.queue', length)} > 12 AND e.diff > {scenes.BORN})"
+    return f"""{measured}, labelled AS (SELECT user_id, event_id, value, pos, diff, []::DOUBLE[] AS queue, false AS black, false AS is_scene FROM measured WHERE pos = 0
   UNION ALL SELECT e.user_id, e.event_id, e.value, e.pos, e.diff,
-    CASE WHEN e.diff < {scenes.EQUAL} THEN r.queue WHEN e.diff > {scenes.HARD} THEN [] WHEN len(r.queue) < {LENGTH} THEN CASE WHEN list_contains(r.queue, e.diff) THEN r.queue ELSE r.queue || [e.diff] END WHEN {_SOFT} THEN [] ELSE {_NEXT} END,
-    CASE WHEN e.diff < {scenes.EQUAL} THEN false WHEN e.diff > {scenes.HARD} THEN true WHEN len(r.queue) < {LENGTH} THEN false ELSE {_SOFT} END
+    CASE WHEN e.diff < {scenes.EQUAL} OR r.black THEN r.queue WHEN e.diff > {scenes.HARD} THEN [] WHEN len(r.queue) < {length} THEN CASE WHEN list_contains(r.queue, e.diff) THEN r.queue ELSE r.queue || [e.diff] END WHEN {soft} THEN [] ELSE {later} END,
+    e.diff < {scenes.EQUAL} AND (r.black OR {pure}),
+    CASE WHEN e.diff < {scenes.EQUAL} THEN false WHEN r.black OR e.diff > {scenes.HARD} THEN true WHEN len(r.queue) < {length} THEN false ELSE {soft} END
   FROM labelled r JOIN measured e ON e.user_id = r.user_id AND e.pos = r.pos + 1)"""
 
 
+_LABELLED = labelled_sql(_MEASURED)
+
+
 @query(f"WITH RECURSIVE {_LABELLED} SELECT user_id, pos, diff, is_scene FROM labelled")
 def scene_adaptive(spark, sf_dir):
     return scenes.scene_adaptive(_measured(spark, sf_dir), "user_id", "diff", F.lit(False), LENGTH, 12.0)
@@ -412,23 +416,3 @@ def interp_pipeline(spark, sf_dir):
     made = fill.fill(anchors, "user_id", "value", F.col("n"))
     pos = (F.col("run") + F.col("sub_no")).alias("pos")
     return made.select("user_id", pos, "sub_no", F.floor(pos / GAP).alias("chunk_id"), F.round("value", 6).alias("value"))
-
-
-def _streamed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Runs a stream over the events' file to its end and reads what it wrote."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = scratch_dir(spark)
-    run = build(source).writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start(out)
-    run.awaitTermination()
-    return spark.read.parquet(out)
-
-
-@query(f"WITH RECURSIVE {_LABELLED} SELECT user_id, event_id, value, is_scene FROM labelled")
-def stream_scene(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: stateful.stream_scenes(s, "user_id", "event_id", "value", LENGTH, 12.0))
-
-
-@query(f"WITH RECURSIVE {_PLACED.replace('placed AS', 'src AS')}, {_folded('value', 'event_id', NEAR, CAP)} SELECT user_id, event_id, value, absorbed = 0 AS kept FROM folded")
-def stream_dedup(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda s: stateful.stream_dedup(s, "user_id", "event_id", "value", NEAR, CAP))

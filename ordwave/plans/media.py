@@ -9,7 +9,7 @@ from ..operators import chunks, dedup, fill, relate, scenes
 from ..operators.sequences import positions, with_neighbour
 from ..sources import probe
 from ..sources.scratch import scratch_dir, written
-from .catalog import CUT, GAP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, xml_sql
+from .catalog import CUT, GAP, STEP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, xml_sql
 
 
 
@@ -289,12 +289,17 @@ def xml_round_trip(spark, sf_dir):
     return dumped.select("p_partkey", F.from_xml("t", "p_name string, p_size int", {"rowTag": "part"}).alias("x")).select("p_partkey", "x.p_name", "x.p_size")
 
 
+def known_grid(spark, sf_dir):
+    """The resampled sequences' rows that have a value."""
+    return _resampled(spark, sf_dir).where("value is not null").withColumn("t", F.col("t").cast("long"))
+
+
 def _scene_runs(spark, sf_dir):
     """Runs of the resampled sequences that end at the cap, at a far row or at a scene's first row."""
-    grid = written(positions(_resampled(spark, sf_dir).where("value is not null").withColumn("t", F.col("t").cast("long")), "user_id", "t", width=6 * 3600 * 1_000_000 * 4096))
+    grid = written(positions(known_grid(spark, sf_dir), "user_id", "t", width=STEP * 4096))
     rows = with_neighbour(grid, "user_id", "value", "prev").withColumn("scene", F.coalesce(F.abs(F.col("value") - F.col("prev")) > CUT, F.lit(False)))
     runs = dedup.dedup_anchor(rows, "user_id", "value", 30.0, 8, ["value", "scene"], scene="scene").withColumn("run", F.col("pos") - F.col("absorbed"))
-    size = runs.groupBy("user_id", "run").agg(F.max("absorbed").cast("int").alias("n"), F.max_by("value", "absorbed").alias("last"), F.min_by("value", "absorbed").alias("value"), F.min_by("scene", "absorbed").alias("scene"))
+    size = runs.groupBy("user_id", "run").agg(F.max("absorbed").cast("int").alias("n"), F.min_by("value", F.when(F.col("absorbed") > 0, F.col("absorbed"))).alias("first"), F.max_by("value", "absorbed").alias("last"), F.min_by("value", "absorbed").alias("value"), F.min_by("scene", "absorbed").alias("scene"))
     return positions(written(size), "user_id", "run")
 
 
@@ -302,19 +307,19 @@ _RUNS = f"""{_GRID}, base AS (SELECT user_id, t, value, row_number() OVER (PARTI
 src AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) > {CUT}, false) AS scene FROM base),
 folded AS (SELECT user_id, value, pos, scene, value AS anchor, 0 AS absorbed FROM src WHERE pos = 0
   UNION ALL SELECT e.user_id, e.value, e.pos, e.scene, CASE WHEN NOT e.scene AND abs(e.value - r.anchor) < 30 AND r.absorbed < 8 THEN r.anchor ELSE e.value END, CASE WHEN NOT e.scene AND abs(e.value - r.anchor) < 30 AND r.absorbed < 8 THEN r.absorbed + 1 ELSE 0 END FROM folded r JOIN src e ON e.user_id = r.user_id AND e.pos = r.pos + 1),
-runs AS (SELECT user_id, pos - absorbed AS run, max(absorbed) AS n, arg_max(value, absorbed) AS last, arg_min(value, absorbed) AS value, arg_min(scene, absorbed) AS scene FROM folded GROUP BY ALL),
+runs AS (SELECT user_id, pos - absorbed AS run, max(absorbed) AS n, arg_min(value, absorbed) FILTER (absorbed > 0) AS first, arg_max(value, absorbed) AS last, arg_min(value, absorbed) AS value, arg_min(scene, absorbed) AS scene FROM folded GROUP BY ALL),
 ahead AS (SELECT *, lead(value) OVER w AS nxt, coalesce(lead(scene) OVER w, true) AS cut FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run))"""
 _FILLED = "SELECT user_id, (run + k)::BIGINT AS pos, k AS sub_no, round(CASE WHEN k = 0 THEN value ELSE value * (1 - k / s) + target * (k / s) END, 6) AS value FROM (SELECT *, unnest(range(n + 1))::INT AS k FROM targets)"
 
 
-@query(f"WITH RECURSIVE {_RUNS}, targets AS (SELECT *, CASE WHEN cut THEN last ELSE nxt END AS target, CASE WHEN cut THEN greatest(n, 1) ELSE n + 1 END AS s FROM ahead) {_FILLED}")
+@query(f"WITH RECURSIVE {_RUNS}, targets AS (SELECT *, CASE WHEN nxt IS NULL THEN last WHEN cut THEN first ELSE nxt END AS target, CASE WHEN nxt IS NOT NULL AND cut THEN greatest(n, 1) ELSE n + 1 END AS s FROM ahead) {_FILLED}")
 def interp_scene_pipeline(spark, sf_dir):
     """Resample, drop near-equal runs within scenes, fill the gaps without blending across scenes; rows out as rows in."""
     made = fill.fill_scenes(_scene_runs(spark, sf_dir), "user_id", "value")
     return made.select("user_id", (F.col("run") + F.col("sub_no")).alias("pos"), "sub_no", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH RECURSIVE {_RUNS}, targets AS (SELECT *, CASE WHEN cut AND nxt IS NULL THEN last ELSE nxt END AS target, CASE WHEN cut AND nxt IS NULL THEN greatest(n, 1) ELSE n + 1 END AS s FROM ahead) {_FILLED}")
+@query(f"WITH RECURSIVE {_RUNS}, targets AS (SELECT *, coalesce(nxt, last) AS target, n + 1 AS s FROM ahead) {_FILLED}")
 def interp_scene_mix(spark, sf_dir):
     """As interp_scene_pipeline, with fades into the first row of a scene."""
     made = fill.fill_scenes(_scene_runs(spark, sf_dir), "user_id", "value", mix=True)

@@ -1,48 +1,83 @@
-"""Scene labels and anchor dedup over streams, with one small state per sequence."""
+"""Sequences over streams: scene labels, anchor dedup, interpolation and overdue tasks, with a small state for each sequence.
+
+Rows of a micro-batch are taken in order; a later micro-batch must not hold earlier rows of a
+sequence. A task holds the order, time, value and flag of one sequence's rows of a micro-batch, some
+40 bytes a row, so sources bound their micro-batches (maxFilesPerTrigger, maxOffsetsPerTrigger). The
+processors keep typed state in RocksDB, which `with_state` names as the session's state store.
+"""
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.scenes import SceneState
 
 _NEVER = GroupStateTimeout.NoTimeout
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_state(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: T.StructType, timers: str = "none") -> DataFrame:
+    """df through the processor, with the state store that typed state needs."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", timers)
 
 
-def _schema(df: DataFrame, seq: str, order: str, value: str, flag: str) -> T.StructType:
-    return T.StructType([df.schema[seq], df.schema[order], T.StructField(value, T.DoubleType()), T.StructField(flag, T.BooleanType())])
+def _number(v) -> float | None:
+    return None if pd.isna(v) else float(v)
 
 
 def _in_order(parts, order: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(order)
+    return pd.concat(list(parts)).sort_values(order, kind="stable")
 
 
-def stream_scenes(df: DataFrame, seq: str, order: str, value: str, length: int = 18, threshold: float = 12.0) -> DataFrame:
-    """seq, order, value, is_scene: the adaptive labeller on distances of neighbours, batch after batch.
+class _Scenes(StatefulProcessor):
+    """State: the last value, whether a row was seen and whether a black run is pending; and the labeller's distances, as a list."""
 
-    Rows of a micro-batch are taken in order; a later micro-batch must not hold earlier rows of a sequence.
-    A null value begins no scene, nor does the row after it. A task holds one sequence's rows of a
-    micro-batch, so sources should bound their micro-batches (maxFilesPerTrigger, maxOffsetsPerTrigger).
-    """
-    state_type = "last double, black boolean, diffs array<double>"
+    def __init__(self, names: tuple[str, str, str, str | None], **rules):
+        self.names, self.rules = names, rules
 
-    def step(key, parts, state):
-        last, black, diffs = state.get if state.exists else (None, False, [])
-        labeller, out = SceneState(length, threshold, black=black, diffs=deque(diffs)), []
-        rows = _in_order(parts, order)
-        for v in rows[value]:
-            v = None if pd.isna(v) else float(v)
-            out.append(labeller.step(None if v is None or last is None else abs(v - last), False))
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "value double, black boolean")
+        self.diffs = handle.getListState("diffs", "diff double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        seq, order, value, pure = self.names
+        last, black = self.last.get() if self.last.exists() else (None, False)
+        before = [d for (d,) in self.diffs.get()]
+        labeller, out = SceneState(black=bool(black), diffs=deque(before), **self.rules), []
+        table = _in_order(rows, order)
+        for v, dark in zip(map(_number, table[value]), table[pure] if pure else [False] * len(table)):
+            out.append(labeller.step(None if v is None or last is None else abs(v - last), bool(dark)))
             last = v
-        state.update((last, labeller.black, list(labeller.diffs)))
-        yield rows[[seq, order, value]].assign(is_scene=out)
+        self.last.update((last, labeller.black))
+        after = list(labeller.diffs)
+        if after != before:
+            self.diffs.put([(d,) for d in after]) if after else self.diffs.clear()
+        yield table[[seq, order, value]].assign(is_scene=out)
 
-    return df.groupBy(seq).applyInPandasWithState(step, _schema(df, seq, order, value, "is_scene"), state_type, "append", _NEVER)
+    def close(self) -> None:
+        pass
+
+
+def stream_scenes(df: DataFrame, seq: str, order: str, value: str, length: int = 18, threshold: float = 12.0, fixed: float | None = None, disabled: bool = False, pure: str | None = None) -> DataFrame:
+    """seq, order, value, is_scene: the scene labeller on distances of neighbours, batch after batch and over restarts.
+
+    `fixed` labels by that distance alone, `disabled` labels nothing, `pure` names a boolean column of
+    rows that begin or continue a black run where they equal the row before. A null value begins no
+    scene, nor does the row after it.
+    """
+    rows = df.select(seq, order, F.col(value).cast("double").alias(value), *([F.coalesce(F.col(pure), F.lit(False)).alias("pure_")] if pure else []))
+    schema = T.StructType([df.schema[seq], df.schema[order], T.StructField(value, T.DoubleType()), T.StructField("is_scene", T.BooleanType())])
+    return with_state(rows, [seq], _Scenes((seq, order, value, "pure_" if pure else None), length=length, threshold=threshold, fixed=fixed, disabled=disabled), schema)
 
 
 def stream_dedup(df: DataFrame, seq: str, order: str, value: str, threshold: float, cap: int) -> DataFrame:
@@ -51,8 +86,7 @@ def stream_dedup(df: DataFrame, seq: str, order: str, value: str, threshold: flo
     def step(key, parts, state):
         anchor, absorbed = state.get if state.exists else (None, 0)
         rows, out = _in_order(parts, order), []
-        for v in rows[value]:
-            v = None if pd.isna(v) else float(v)
+        for v in map(_number, rows[value]):
             if anchor is not None and v is not None and abs(v - anchor) < threshold and absorbed < cap:
                 absorbed += 1
             else:
@@ -61,4 +95,178 @@ def stream_dedup(df: DataFrame, seq: str, order: str, value: str, threshold: flo
         state.update((anchor, absorbed))
         yield rows[[seq, order, value]].assign(kept=out)
 
-    return df.groupBy(seq).applyInPandasWithState(step, _schema(df, seq, order, value, "kept"), "anchor double, absorbed int", "append", _NEVER)
+    schema = T.StructType([df.schema[seq], df.schema[order], T.StructField(value, T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    return df.groupBy(seq).applyInPandasWithState(step, schema, "anchor double, absorbed int", "append", _NEVER)
+
+
+def linear(a: float, b: float, t: np.ndarray) -> np.ndarray:
+    return a * (1 - t) + b * t
+
+
+class _Interpolation(StatefulProcessor):
+    """State: the open run's anchor and place, the last row's value and time; and the values that the run absorbed, as a list.
+
+    A timer closes the run of a sequence that has ended: nothing came for `idle` microseconds of event time.
+    """
+
+    def __init__(self, names: tuple[str, str, str], threshold: float, cap: int, cut: float, mix: bool, idle: int, blend: Callable):
+        self.names, self.threshold, self.cap, self.cut, self.mix, self.idle, self.blend = names, threshold, cap, cut, mix, idle, blend
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "anchor double, pos long, last double, time long")
+        self.absorbed = handle.getListState("absorbed", "value double")
+
+    def _closed(self, out: list, pos: int, anchor: float, absorbed: list[float], following: float | None, scene: bool) -> None:
+        """The run's rows: its anchor, and as many as it absorbed, blended towards what follows.
+
+        Before a scene they end on the first absorbed row, repeated as it is, or with `mix` fade into
+        the scene; at a sequence's end they lead to the last absorbed row.
+        """
+        n = len(absorbed)
+        out.append((pos, 0, anchor))
+        if not n:
+            return
+        if following is None:
+            target, steps = absorbed[-1], n + 1
+        elif scene and not self.mix:
+            target, steps = absorbed[0], n
+        else:
+            target, steps = following, n + 1
+        made = self.blend(anchor, target, np.arange(1, n + 1) / steps)
+        out.extend((pos + k + 1, k + 1, float(v)) for k, v in enumerate(made))
+
+    def _table(self, key, out: list) -> pd.DataFrame:
+        pos, sub, value = zip(*out)
+        return pd.DataFrame({self.names[0]: [key[0]] * len(out), "pos": np.array(pos, np.int64), "sub_no": np.array(sub, np.int32), self.names[2]: np.array(value, float)})
+
+    def handleInputRows(self, key, rows, timerValues):
+        if pd.isna(key[0]):  # a heartbeat: its time alone counts
+            for _ in rows:
+                pass
+            return
+        seq, time, value = self.names
+        table = _in_order(rows, time)
+        state = self.run.get() if self.run.exists() else None
+        held = [v for (v,) in self.absorbed.get()] if state else []
+        out: list = []
+        for t, v in zip(table["micros_"].tolist(), table[value].tolist()):
+            if state is None:
+                state, held = (v, 0, v, t), []
+                continue
+            anchor, pos, last, before = state
+            scene = abs(v - last) > self.cut
+            if t - before > self.idle:  # the timer's work, where the next rows came before it could fire
+                self._closed(out, pos, anchor, held, None, False)
+                state, held = (v, pos + len(held) + 1, v, t), []
+            elif not scene and abs(v - anchor) < self.threshold and len(held) < self.cap:
+                held.append(v)
+                state = anchor, pos, v, t
+            else:
+                self._closed(out, pos, anchor, held, v, scene)
+                state, held = (v, pos + len(held) + 1, v, t), []
+        self.run.update(state)
+        self.absorbed.put([(v,) for v in held]) if held else self.absorbed.clear()
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(state[3] + self.idle) // 1000))
+        if out:
+            yield self._table(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        anchor, pos, _, _ = self.run.get()
+        out: list = []
+        self._closed(out, pos, anchor, [v for (v,) in self.absorbed.get()], None, False)
+        self.run.clear()
+        self.absorbed.clear()
+        if out:
+            yield self._table(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_interpolate(df: DataFrame, seq: str, time: str, value: str, threshold: float, cap: int, cut: float, idle: int, mix: bool = False, blend: Callable[[float, float, np.ndarray], np.ndarray] = linear) -> DataFrame:
+    """seq, pos, sub_no, value: anchor dedup within scenes and the filling of its gaps, batch after batch; rows out as rows in.
+
+    A row joins the open run while it differs from the anchor by less than `threshold`, the run has
+    absorbed fewer than `cap` rows, and no scene begins with it (a difference of more than `cut` from
+    the row before). A run that closes gives its anchor (sub_no 0) and a blended row for each that it
+    absorbed. `time` is a timestamp with a watermark: a sequence to which nothing came for `idle`
+    microseconds has ended, its run closes, and a later row begins a new sequence at pos 0 or, if it
+    came before the watermark showed the end, at the next pos. Rows with a null sequence are
+    heartbeats, which move the watermark and give nothing; rows with a null value or time are left out.
+    `blend(a, b, times)` gives the values between two; it is loaded where it runs.
+    """
+    rows = df.where(F.col(time).isNotNull() & (F.col(value).isNotNull() | F.col(seq).isNull()))
+    rows = rows.select(seq, time, F.unix_micros(time).alias("micros_"), F.col(value).cast("double").alias(value))
+    schema = T.StructType([df.schema[seq], T.StructField("pos", T.LongType()), T.StructField("sub_no", T.IntegerType()), T.StructField(value, T.DoubleType())])
+    return with_state(rows, [seq], _Interpolation((seq, time, value), threshold, cap, cut, mix, idle, blend), schema, "eventTime")
+
+
+class _Overdue(StatefulProcessor):
+    """State: the open task's name and start, and how many of its intervals were reported. One timer stands, at the next interval's end."""
+
+    def __init__(self, names: tuple[str, str, str], name_type: T.StructField, interval: int, some: bool):
+        self.names, self.name_type, self.interval, self.some = names, name_type, interval, some
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        fields = [T.StructField("name", self.name_type.dataType), T.StructField("start", T.LongType()), T.StructField("told", T.LongType())]
+        self.task = handle.getValueState("task", T.StructType(fields))
+
+    def _late(self, out: list, task: tuple, now: int) -> tuple:
+        """Reports each interval that has passed by now and was not reported; the task after that."""
+        name, start, told = task
+        passed = (now - start) // self.interval
+        out.extend((name, k, start + k * self.interval) for k in range(told + 1, passed + 1))
+        return name, start, max(told, passed)
+
+    def _table(self, key, out: list) -> pd.DataFrame:
+        name, k, at = zip(*out)
+        return pd.DataFrame({self.names[0]: pd.Series([key[0]] * len(out)), self.names[1]: pd.Series(name), "n_overdue": np.array(k, np.int64), "at": pd.to_datetime(np.array(at, np.int64), unit="us", utc=True)})
+
+    def _wait(self, task: tuple) -> None:
+        self.task.update(task)
+        self.handle.registerTimer(-(-(task[1] + (task[2] + 1) * self.interval) // 1000))
+
+    def handleInputRows(self, key, rows, timerValues):
+        table, out = _in_order(rows, "micros_"), []
+        task = self.task.get() if self.task.exists() else None
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        begins = table["begins_"].tolist() if self.some else [True] * len(table)
+        for name, us, again in zip(table[self.names[1]].tolist(), table["micros_"].tolist(), begins):
+            if task is not None:
+                self._late(out, task, us)
+            task = (name, us, 0) if again else None
+        if task is None:
+            self.task.clear()
+        else:
+            self._wait(task)
+        if out:
+            yield self._table(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out: list = []
+        self._wait(self._late(out, self.task.get(), timerValues.getCurrentWatermarkInMs() * 1000))
+        if out:
+            yield self._table(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_overdue(df: DataFrame, worker: str, name: str, time: str, interval: int, begins: str | None = None) -> DataFrame:
+    """worker, name, n_overdue, at: a row for each interval (in microseconds) that a task has run without being done.
+
+    Each row of a worker ends its open task and, unless the boolean column `begins` is false, begins
+    the task `name`. `time` is a timestamp with a watermark. A timer fires when the watermark passes
+    an interval's end, registers the next, and is deleted when the task is done; an end that comes
+    with the watermark still behind reports what the timer had no chance to. Rows with a null worker
+    or time are left out.
+    """
+    flag = [F.coalesce(F.col(begins), F.lit(False)).alias("begins_")] if begins else []
+    rows = df.where(F.col(worker).isNotNull() & F.col(time).isNotNull()).select(worker, name, time, F.unix_micros(time).alias("micros_"), *flag)
+    schema = T.StructType([df.schema[worker], df.schema[name], T.StructField("n_overdue", T.LongType()), T.StructField("at", T.TimestampType())])
+    return with_state(rows, [worker], _Overdue((worker, name, time), df.schema[name], interval, begins is not None), schema, "eventTime")
