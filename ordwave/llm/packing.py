@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
         for whole in batches:
             for batch in slices(whole, "text"):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(coder.encode(batch.column("text").to_pylist())):
+                for i, ids in enumerate(coder.encode(batch.column("text"))):
                     ids += end
                     n = len(ids) // 4
                     for j, at in enumerate(range(0, n, capacity)):

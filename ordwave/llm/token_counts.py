@@ -28,7 +28,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str, text_col: str = "text
         coder = word_ids(tokenizer_path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in coder.encode(batch.column("text").to_pylist())], pa.int64())], names=["n_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in coder.encode(batch.column("text"))], pa.int64())], names=["n_tokens"])
 
     return source.mapInArrow(run, "n_tokens long").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 

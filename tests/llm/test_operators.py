@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ordwave.llm import byte_bpe, chat, exchange, language, matroska, ngram_join, packing, pii, quality, queries, substring, token_counts
+from ordwave.llm import byte_bpe, chat, exchange, language, matroska, ngram_join, packing, pii, quality, queries, substring, token_counts, word_bpe
 from ordwave.llm.word_bpe import WordIds
 from tokenizers import Tokenizer
 
@@ -132,9 +132,22 @@ def tokenizer():
 def test_word_ids_equal_the_tokenizer(tokenizer):
     coder = WordIds(WORDS)
     texts = [t for _, t in edge_rows()] + ["<|endoftext|> hello", "a<|startoftext|>b", "x <|endoftext|", "it's o'clock 12th c++   x\x85y \x1c z", "É é ﬁ İ ǅ", "a­b ​ 　 c"]
-    for text, ids in zip(texts, coder.encode(texts)):
-        want = tokenizer.encode(text or "", add_special_tokens=False).ids
-        assert ids == struct.pack(f"<{len(want)}I", *want), text
+    wanted = [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for bound in (WordIds.BOUND, 50, 0):  # also while words go from the newer part to the older and out
+        coder.BOUND = bound
+        for some in (texts, texts[::-1], texts[::2], [], texts):
+            for text, ids in zip(some, coder.encode(pa.array(some, pa.string()))):
+                want = wanted[texts.index(text)]
+                assert ids == struct.pack(f"<{len(want)}I", *want), text
+        assert len(coder) <= WordIds.BOUND and all((np.diff(k.hashes.astype(object)) >= 0).all() for k in coder.newer)
+
+
+def test_word_ids_with_equal_hashes(tokenizer, monkeypatch):
+    """Equal hashes only propose: with one hash for all words the ids are the same."""
+    monkeypatch.setattr(word_bpe, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    coder = WordIds(WORDS)
+    for texts in (["one two three", "two one"], ["three four two", "one"]):
+        assert coder.encode(pa.array(texts)) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 @pytest.mark.parametrize("which", ["edge", "small"])
