@@ -37,12 +37,6 @@ def replicate(placed: DataFrame, times: int) -> DataFrame:
     return placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("idx", F.col("pos") * times + F.col("copy"))
 
 
-def write_chunks(placed: DataFrame, seq: str, gap: int, path: str) -> None:
-    """Writes Parquet folders by chunk; a chunk that is written again replaces its folder alone."""
-    out = placed.withColumn("chunk_id", F.floor(F.col("pos") / gap))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
-
-
 def index_metadata(docs: DataFrame, text: str, times: int) -> DataFrame:
     """The scenes of metadata documents, each `times` times: idx counts from 0 in the order of their numbers, entry is the scene as a map.
 

@@ -20,6 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def filesystem(path: str):
+    """(pyarrow's file system, path in it) of a path or URI; for Python tasks that read or write files by themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new name in the shared folder."""
     return f"{shared_dir(spark)}/ordwave-{uuid.uuid4().hex}"

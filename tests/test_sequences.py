@@ -166,13 +166,6 @@ def test_fill_takes_a_pandas_udf(placed, rows):
             assert got[s, i, 0] == v and got[s, i, 1] == pytest.approx(v + 10 * (vs[i + 1] if i + 1 < len(vs) else v) + 50)
 
 
-def test_written_chunks_replace_their_own_folder(spark, placed, tmp_path):
-    chunks.write_chunks(placed.where("s = 1"), "s", 100, str(tmp_path / "c"))
-    chunks.write_chunks(placed.where("s = 1 and pos >= 600").withColumn("v", F.lit(-1.0)), "s", 100, str(tmp_path / "c"))
-    got = spark.read.parquet(str(tmp_path / "c"))
-    assert got.count() == 700 and got.where("v = -1").count() == 100 and got.where("v = -1").agg(F.min("pos")).first()[0] == 600
-
-
 def test_written_images(spark, tmp_path):
     df = spark.createDataFrame([(7, b"abc"), (123456789, b"")], "n long, data binary")
     got = {(r["name"], r["size"]) for r in probe.write_images(df, f"file://{tmp_path}/out", "n", "data").collect()}
