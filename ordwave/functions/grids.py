@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import let, mean
+from .motion import flat, stack
 
 # Fixed values of the library's rules: grey weights, tile margin, the area of reference and the flow that it allows.
 GREY = (0.2989, 0.5870, 0.1140)
@@ -190,38 +191,6 @@ def canny(h: int, w: int):
     return edges
 
 
-def block_flow(a: np.ndarray, b: np.ndarray, reach: int = 2, half: int = 1) -> np.ndarray:
-    """(dy, dx) of each pixel of a: where its neighbourhood is found in b, within `reach`; of equal matches the nearest."""
-    h, w = a.shape
-    grown = np.pad(b, reach + half, mode="edge")
-    own = np.pad(a, half, mode="edge")
-    steps = sorted(((dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)), key=lambda s: (s[0] ** 2 + s[1] ** 2, s))
-    costs = []
-    for dy, dx in steps:
-        there = grown[reach + dy : reach + dy + h + 2 * half, reach + dx : reach + dx + w + 2 * half]
-        costs.append(sum(np.abs(own - there)[i : i + h, j : j + w] for i in range(2 * half + 1) for j in range(2 * half + 1)))
-    return np.array(steps)[np.argmin(np.round(costs, 9), axis=0)]
-
-
-def flow_distance(h: int, w: int, estimate=block_flow):
-    """A pandas UDF of two frames: how far pixels move between them, the same in both orders.
-
-    The flow is the mean of the flow forward and of the negated flow backward; the distance is the
-    sum of the lengths of its vertical and of its horizontal part. `estimate` may be any dense flow.
-    """
-
-    @F.pandas_udf(T.DoubleType())
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(a, b):
-            p, q = (np.asarray(v, float).reshape(h, w) for v in (p, q))
-            flow = (estimate(p, q) - estimate(q, p)) / 2
-            out.append(float(np.linalg.norm(flow[..., 0]) + np.linalg.norm(flow[..., 1])))
-        return pd.Series(out, dtype=float)
-
-    return distance
-
-
 def area_weights(n: int, m: int) -> np.ndarray:
     """How much of each of n pixels each of m pixels over the same length covers; rows add up to 1."""
     lo, hi = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
@@ -235,6 +204,6 @@ def resize_area(h: int, w: int, to_h: int, to_w: int):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def resized(px: pd.Series) -> pd.Series:
-        return pd.Series([(rows @ np.asarray(v, float).reshape(h, w) @ columns.T).ravel().tolist() for v in px])
+        return flat(rows @ stack(px, h, w) @ columns.T)
 
     return resized

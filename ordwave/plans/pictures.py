@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, grids
+from ..functions import arrays, grids, motion
 from ..operators import frames, relate
 from ..operators.sequences import positions, with_neighbour
 from .catalog import _FRAMES, _PIXELS, _px, _vectors, query
@@ -151,4 +151,4 @@ def canny_edges(spark, sf_dir):
 
 @query()
 def flow_distance(spark, sf_dir):
-    return _pairs(spark, sf_dir, _px()).select("vec_id", F.round(grids.flow_distance(8, 8)("px", "prev"), 6).alias("distance"))
+    return _pairs(spark, sf_dir, _px()).select("vec_id", F.round(motion.flow_distance(8, 8)("px", "prev"), 6).alias("distance"))

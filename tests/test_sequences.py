@@ -184,19 +184,6 @@ def test_canny():
     assert not canny_edges(np.full((6, 6), 3.0)).any()
 
 
-def test_flow_distance(spark):
-    import numpy as np
-
-    from ordwave.functions import grids
-
-    a = np.random.default_rng(2).normal(size=(9, 9))
-    b = np.roll(a, (1, -2), (0, 1))
-    assert (grids.block_flow(a, b)[3:6, 3:6] == (1, -2)).all() and not grids.block_flow(a, a).any()
-    rows = [(x.ravel().tolist(), y.ravel().tolist()) for x, y in ((a, b), (b, a), (a, a))]
-    got = [r["d"] for r in spark.createDataFrame(rows, "x array<double>, y array<double>").select(grids.flow_distance(9, 9)("x", "y").alias("d")).collect()]
-    assert got[0] == pytest.approx(got[1]) and got[0] > 9 and got[2] == 0
-
-
 def test_mirrored_indexes(spark):
     import numpy as np
 
