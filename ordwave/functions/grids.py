@@ -86,17 +86,11 @@ def largest(a) -> Column:
     return F.array_max(F.transform(a, F.abs))
 
 
-def stencil(a, h: int, w: int, taps: dict[tuple[int, int], float]) -> Column:
-    """Each pixel's sum of neighbours (dy, dx) times their taps; edges are mirrored."""
-
-    def pixel(v, i):
-        y, x = F.floor(i / w), F.pmod(i, F.lit(w))
-        out = F.lit(0.0)
-        for (dy, dx), tap in taps.items():
-            out = out + F.element_at(v, (mirrored(y + dy, h) * w + mirrored(x + dx, w) + 1).cast("int")) * tap
-        return out
-
-    return let(a, lambda v: F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: pixel(v, i)))
+def stencil(frames: np.ndarray, taps: dict[tuple[int, int], float]) -> np.ndarray:
+    """Of (n, h, w): each pixel's sum of neighbours (dy, dx, within 1) times their taps; edges are mirrored."""
+    _, h, w = frames.shape
+    grown = np.pad(frames, ((0, 0), (1, 1), (1, 1)), mode="reflect")
+    return sum(tap * grown[:, 1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for (dy, dx), tap in taps.items())
 
 
 def _outer(col: list[float], row: list[float]) -> dict[tuple[int, int], float]:
@@ -106,14 +100,30 @@ def _outer(col: list[float], row: list[float]) -> dict[tuple[int, int], float]:
 SMOOTH, SOBEL_X, SOBEL_Y = _outer([0.25, 0.5, 0.25], [0.25, 0.5, 0.25]), _outer([1, 2, 1], [-1, 0, 1]), _outer([-1, 0, 1], [1, 2, 1])
 
 
-def gradient(a, h: int, w: int, smooth: bool = True) -> Column:
-    """Half the absolute Sobel slopes along both axes, of the smoothed frame."""
-    return let(stencil(a, h, w, SMOOTH) if smooth else a, lambda v: F.zip_with(stencil(v, h, w, SOBEL_X), stencil(v, h, w, SOBEL_Y), lambda x, y: (F.abs(x) + F.abs(y)) / 2))
+def slopes(frames: np.ndarray, smooth: bool = True) -> np.ndarray:
+    """Half the absolute Sobel slopes along both axes, of the smoothed frames."""
+    base = stencil(frames, SMOOTH) if smooth else frames
+    return (np.abs(stencil(base, SOBEL_X)) + np.abs(stencil(base, SOBEL_Y))) / 2
+
+
+def gradient(h: int, w: int, smooth: bool = True):
+    """A pandas UDF of a frame: its slopes."""
 
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sloped(px: pd.Series) -> pd.Series:
+        return flat(slopes(stack(px, h, w), smooth))
+
+    return sloped
 
-def edge_density(a, h: int, w: int, threshold: float) -> Column:
-    """The share of pixels whose gradient reaches the threshold."""
-    return mean(F.transform(gradient(a, h, w), lambda g: F.when(g >= threshold, 1.0).otherwise(0.0)))
+
+def edge_density(h: int, w: int, threshold: float):
+    """A pandas UDF of a frame: the share of pixels whose slopes reach the threshold."""
+
+    @F.pandas_udf(T.DoubleType())
+    def density(px: pd.Series) -> pd.Series:
+        return pd.Series((slopes(stack(px, h, w)) >= threshold).mean((1, 2)))
+
+    return density
 
 
 def end_point_error(a, b, epsilon: float = 1e-6) -> Column:
@@ -121,10 +131,15 @@ def end_point_error(a, b, epsilon: float = 1e-6) -> Column:
     return mean(F.zip_with(a, b, lambda p, q: F.sqrt((p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]) + epsilon)))
 
 
-def sobel_loss(a, b, h: int, w: int) -> Column:
-    """Mean absolute difference of the Sobel slopes of two frames, along both axes."""
-    d = F.zip_with(a, b, lambda x, y: x - y)
-    return let(d, lambda v: mean(F.concat(F.transform(stencil(v, h, w, SOBEL_X), F.abs), F.transform(stencil(v, h, w, SOBEL_Y), F.abs))))
+def sobel_loss(h: int, w: int):
+    """A pandas UDF of two frames: the mean absolute difference of their Sobel slopes, along both axes."""
+
+    @F.pandas_udf(T.DoubleType())
+    def loss(a: pd.Series, b: pd.Series) -> pd.Series:
+        d = stack(a, h, w) - stack(b, h, w)
+        return pd.Series((np.abs(stencil(d, SOBEL_X)).mean((1, 2)) + np.abs(stencil(d, SOBEL_Y)).mean((1, 2))) / 2)
+
+    return loss
 
 
 def windows(a, h: int, w: int, k: int) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 # What a lower-case model path must hold, in order of precedence, and its family.
 MODEL_FAMILIES = [
     (["abme_best"], "abme"), (["anytime"], "any_time"), (["anime", "sharp"], "v2"), (["anime", "smooth"], "v2"), (["anime"], "v6"), (["official", "2."], "v2"),
@@ -64,16 +69,19 @@ def command_options(text: Column) -> Column:
     empty flag. Of equal flags the last one counts. Escaped quotes lose their backslash.
     """
     clean = lambda x: F.regexp_replace(F.replace(F.replace(F.trim(x), F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')), r"^\\+|\\+$", "")
-    parts = F.transform(F.split(text, r"\|\|"), clean)
     flag = lambda x: F.startswith(x, F.lit("-"))
-    at = lambda i: F.get(parts, i)
 
-    def pair(x, i):
-        after, before = at(i + 1), at(i - 1)
-        return F.when(flag(x), F.struct(x.alias("flag"), F.when(after.isNull() | flag(after), "").otherwise(after).alias("value"))).when(before.isNull() | ~flag(before), F.struct(F.lit("").alias("flag"), x.alias("value")))
+    def pairs(parts: Column) -> Column:
+        def pair(x, i):
+            after, before = F.get(parts, i + 1), F.get(parts, i - 1)
+            return F.when(flag(x), F.struct(x.alias("flag"), F.when(after.isNull() | flag(after), "").otherwise(after).alias("value"))).when(before.isNull() | ~flag(before), F.struct(F.lit("").alias("flag"), x.alias("value")))
+
+        return F.filter(F.transform(parts, pair), lambda p: p.isNotNull())
 
-    pairs = F.filter(F.transform(parts, pair), lambda p: p.isNotNull())
-    return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["flag"] == p["flag"]))
+    def last_ones(found: Column) -> Column:
+        return F.filter(found, lambda p, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda q: q["flag"] == p["flag"]))
+
+    return let(F.transform(F.split(text, r"\|\|"), clean), lambda parts: let(pairs(parts), last_ones))
 
 
 def output_name(stem: Column, tags: list[tuple[Column, Column]], extension: Column) -> Column:
@@ -94,25 +102,24 @@ def plan_options(requests: DataFrame, rules: DataFrame, keys: list[str], id_col:
     """Each request with the options of the first rule (by priority) that fits it; a null key of a rule fits anything.
 
     rules has the keys, priority and options. A request looks up each combination of its keys and
-    nulls, 2 ** len(keys) at most, so rules are joined by equality whatever their number. Requests
-    that no rule fits have null options.
+    nulls but that of nulls alone, so rules are joined by equality whatever their number; the first of
+    the rules that fit anything, a single row, stands beside all. Requests that no rule fits have null options.
     """
-    wild = [F.struct(*[(F.col(k) if mask >> i & 1 else F.lit(None)).cast("string").alias(k) for i, k in enumerate(keys)]) for mask in range(2 ** len(keys))]
+    wild = [F.struct(*[(F.col(k) if mask >> i & 1 else F.lit(None)).cast("string").alias(k) for i, k in enumerate(keys)]) for mask in range(1, 2 ** len(keys))]
     tried = requests.withColumn("__k", F.explode(F.array(*wild)))
     ready = rules.select(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]).alias("__r"), "priority", "options")
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"__k.{k}").eqNullSafe(F.col(f"__r.{k}"))
-    found = tried.join(ready, on).groupBy(id_col).agg(F.min_by("options", "priority").alias("options"))
-    return requests.join(found, id_col, "left")
+    first = lambda name: F.struct(F.min("priority").alias("p"), F.min_by("options", "priority").alias("o")).alias(name)
+    found = tried.join(ready, on).groupBy(id_col).agg(first("__own"))
+    anything = ready.where(reduce(and_, [F.col(f"__r.{k}").isNull() for k in keys])).agg(first("__any"))
+    beside = requests.join(found, id_col, "left").join(F.broadcast(anything))  # one row
+    own = F.col("__own.p").isNotNull() & ~F.coalesce(F.col("__any.p") < F.col("__own.p"), F.lit(False))
+    return beside.withColumn("options", F.when(own, F.col("__own.o")).otherwise(F.col("__any.o"))).drop("__own", "__any")
 
 
 def progress(done: Column, total: Column, least: float = 0.8) -> tuple[Column, Column]:
     """The share that is done, and whether it is less than it should be at the end."""
     share = done / F.nullif(total, F.lit(0))
     return share, F.coalesce(share < least, F.lit(True))
-
-
-def first_known(value: Column, fallback: Column) -> Column:
-    """The value, or the fallback where it is null or 0."""
-    return F.coalesce(F.nullif(value, F.lit(0)), fallback)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chunk_name
+from .sequences import positions, running_sum
 
 
 def chunk_table(placed: DataFrame, seq: str, gap: int) -> DataFrame:
@@ -26,6 +27,16 @@ def resume_point(written: DataFrame, seq: str) -> DataFrame:
     return parse_names(written).groupBy(seq).agg((F.max("number") + 1).alias("next_chunk"), (F.max_by("last", "number") + 1).alias("next_pos"))
 
 
+def merge_order(names: DataFrame, seq: str) -> DataFrame:
+    """Adds place and first_row to names(seq, name): the chunk's place in its sequence by its first position as a number, and the rows before it.
+
+    Rows before are the chunk's place among those of slices of positions, and sums over earlier slices: no sequence's chunks meet in a task.
+    """
+    parsed = parse_names(names)
+    placed = positions(parsed, seq, "first", width=1 << 22)
+    return running_sum(placed, seq, F.col("last") - F.col("first") + 1, "first_row").withColumnRenamed("pos", "place").drop("number", "first", "last")
+
+
 def remaining(placed: DataFrame, written: DataFrame, seq: str) -> DataFrame:
     """The rows that no written chunk has; sequences without chunks are whole."""
     points = resume_point(written, seq)

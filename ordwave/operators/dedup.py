@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,33 +46,72 @@ def held_windows(placed: DataFrame, seq: str, value: str, q: int, rows: int = BL
     return found.where("own").drop("block", "own")
 
 
-def dropped_in_batch(values: list[float], scenes: list[bool], mode: int) -> list[bool]:
-    """Which rows of a batch the held-drawing rule drops, for windows of 4 to mode + 2 rows."""
-    n, gone = len(values), set()
+def held_hits(x: np.ndarray, end: np.ndarray, q: int) -> np.ndarray:
+    """Places at which q values, all before their batch's end, look like one drawing held between two others."""
+    if len(x) < q:
+        return np.zeros(0, np.int64)
+    at = np.lib.stride_tricks.sliding_window_view(x, q).T
+    hit = np.arange(len(x) - q + 1) + q <= end[: len(x) - q + 1]
+    for i in range(1, q - 2):
+        for j in range(i + 1, q - 1):
+            d = np.abs(at[i] - at[j])
+            hit &= (d < np.abs(at[0] - at[i])) & (d < np.abs(at[j] - at[q - 1]))
+    return np.flatnonzero(hit)
+
+
+def dropped_in_batches(x: np.ndarray, scene: np.ndarray, begin: np.ndarray, mode: int) -> np.ndarray:
+    """Which rows the held-drawing rule drops, for windows of 4 to mode + 2 rows; `begin` has the first place of each row's batch.
+
+    Windows of one length are taken from left to right, past those that they hit; a window that begins
+    on a row that a shorter one dropped drops nothing.
+    """
+    n = len(x)
+    starts = np.flatnonzero(np.r_[True, begin[1:] != begin[:-1]]) if n else np.zeros(0, np.int64)
+    end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n])) if n else begin
+    gone = np.zeros(n, bool)
     for q in range(4, mode + 3):
-        i, hits = 1, []
-        while i + q <= n:
-            x = values[i : i + q]
-            inner = [(a, b) for a in range(1, q - 2) for b in range(a + 1, q - 1)]
-            if all(abs(x[a] - x[b]) < min(abs(x[0] - x[a]), abs(x[b] - x[-1])) for a, b in inner):
-                hits.append(i)
-                i += q - 3
-            i += 1
-        gone |= {h + t for h in hits if h not in gone for t in range(1, q - 2)}
-    return [i in gone and not scenes[i] and i not in (0, n - 1) for i in range(n)]
-
-
-def dedup_held(placed: DataFrame, seq: str, value: str, scene: str, mode: int = 2, queue: int = 18, batch: int | None = None) -> DataFrame:
+        free, taken = -1, []
+        for h in held_hits(x, end, q).tolist():
+            if h > begin[h] and h >= free:  # hits of one batch never bar those of the next: windows end in their batch
+                free = h + q - 2
+                if not gone[h]:
+                    taken.append(h)
+        for h in taken:
+            gone[h + 1 : h + q - 2] = True
+    return gone & ~scene & (np.arange(n) != begin) & (np.arange(n) != end - 1)
+
+
+def dedup_held(placed: DataFrame, seq: str, value: str, scene: str, mode: int = 2, queue: int = 18, batch: int | None = None, tasks: int | None = None) -> DataFrame:
     """seq, pos, value and kept: held drawings are searched in batches of a sequence, of `batch` or else max(queue, 200) rows.
 
-    A batch's first and last row and scene rows stay; windows do not cross batches.
+    A batch's first and last row and scene rows stay; windows do not cross batches. Tasks hold many
+    batches in order and work on all of an Arrow batch at once; a window with a null value is no hit.
     """
     batch = batch or max(queue, 200)
     schema = T.StructType([placed.schema[seq], T.StructField("pos", T.LongType()), T.StructField(value, T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        gone = dropped_in_batch(rows[value].tolist(), rows[scene].tolist(), mode)
-        return rows[[seq, "pos", value]].assign(kept=[not g for g in gone])
-
-    return placed.select(seq, "pos", F.col(value).cast("double").alias(value), scene, F.floor(F.col("pos") / batch).alias("batch")).groupBy(seq, "batch").applyInPandas(run, schema)
+    def run(parts):
+        held = None  # the last batch so far: more of its rows may follow
+        for part in _then_none(parts):
+            if part is None:
+                rows = held
+            else:
+                rows = part if held is None else pd.concat([held, part], ignore_index=True)
+                last = (rows[seq] == rows[seq].iloc[-1]) & (rows["batch"] == rows["batch"].iloc[-1])
+                held, rows = rows[last], rows[~last]
+            if rows is None or not len(rows):
+                continue
+            names = pd.factorize(rows[seq])[0]
+            new = np.r_[True, (names[1:] != names[:-1]) | (rows["batch"].to_numpy()[1:] != rows["batch"].to_numpy()[:-1])]
+            begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+            gone = dropped_in_batches(rows[value].to_numpy(float), rows[scene].to_numpy(bool), begin, mode)
+            yield rows[[seq, "pos", value]].assign(kept=~gone)
+
+    tasks = tasks or int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.select(seq, "pos", F.col(value).cast("double").alias(value), F.coalesce(F.col(scene), F.lit(False)).alias(scene), F.floor(F.col("pos") / batch).alias("batch"))
+    return rows.repartition(tasks, seq, "batch").sortWithinPartitions(seq, "batch", "pos").mapInPandas(run, schema)
+
+
+def _then_none(parts):
+    yield from parts
+    yield None

@@ -54,13 +54,34 @@ def with_neighbour(placed: DataFrame, seq: str, value: str, out: str, step: int
     return found.where("own").drop("block", "own")
 
 
+def running_sum(placed: DataFrame, seq: str, value: Column, out: str, rows: int = BLOCK) -> DataFrame:
+    """Adds out: the sum of `value` over the rows before this one in the sequence; nulls add nothing."""
+    b = in_blocks(placed.withColumn("__value", F.coalesce(value.cast("long"), F.lit(0).cast("long"))), rows=rows)
+    earlier = Window.partitionBy(seq).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(seq, "block").agg(F.sum("__value").alias("n")).select(seq, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__value").over(block_window(seq).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return b.withColumn("__inside", inside).join(sums, [seq, "block"]).withColumn(out, F.col("__before") + F.col("__inside")).drop("block", "own", "__value", "__inside", "__before")
+
+
 def running_count(placed: DataFrame, seq: str, flag: Column, out: str, rows: int = BLOCK) -> DataFrame:
     """Adds out: how many rows before this one in the sequence have the flag."""
-    b = in_blocks(placed.withColumn("__flag", F.coalesce(flag, F.lit(False)).cast("long")), rows=rows)
-    earlier = Window.partitionBy(seq).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = b.groupBy(seq, "block").agg(F.sum("__flag").alias("n")).select(seq, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum("__flag").over(block_window(seq).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return b.withColumn("__inside", inside).join(sums, [seq, "block"]).withColumn(out, F.col("__before") + F.col("__inside")).drop("block", "own", "__flag", "__inside", "__before")
+    return running_sum(placed, seq, F.coalesce(flag, F.lit(False)), out, rows)
+
+
+def slice_width(df: DataFrame, order: str, rows: int = BLOCK) -> int:
+    """How many values of the integer `order` hold about `rows` rows of the table: a width for positions() where values are not dense."""
+    n, low, high = df.agg(F.count(order), F.min(order), F.max(order)).first()
+    return max(1, (int(high) - int(low) + 1) * rows // n) if n else rows
+
+
+def value_at(placed: DataFrame, seq: str, value: str, share: float) -> DataFrame:
+    """seq and value: the exact `share` quantile of the values of placed(seq, pos in the order of the values), between two by linear weights."""
+    n = placed.groupBy(seq).agg(F.count("*").alias("__n"))
+    at = (F.col("__n") - 1) * F.lit(float(share))
+    near = placed.join(n, seq).where(F.col("pos").between(F.floor(at), F.ceil(at)))
+    part = at - F.floor(at)
+    low, high = F.min_by(value, "pos"), F.max_by(value, "pos")
+    return near.groupBy(seq).agg((low * (1 - F.first(part)) + high * F.first(part)).alias(value))
 
 
 def _gathered(maps: DataFrame, seq: str) -> DataFrame:

@@ -146,11 +146,11 @@ def chunk_resume(spark, sf_dir):
     return chunks.remaining(placed, written, "user_id").select("user_id", "event_id", "pos")
 
 
-@query(f"WITH {_CHUNKS} SELECT user_id, string_agg(name, '|' ORDER BY first_pos) AS merged, count(*) AS n_chunks, sum(last_pos - first_pos + 1)::BIGINT AS n_rows FROM named GROUP BY user_id")
+@query(f"WITH {_CHUNKS} SELECT user_id, name, row_number() OVER w - 1 AS place, coalesce(sum(last_pos - first_pos + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_row FROM named WINDOW w AS (PARTITION BY user_id ORDER BY first_pos)")
 def chunk_merge_order(spark, sf_dir):
-    found = chunks.parse_names(chunks.chunk_table(_placed(spark, sf_dir), "user_id", GAP).select("user_id", "name"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "name"))), lambda s: s["name"]), "|")
-    return found.groupBy("user_id").agg(listed.alias("merged"), F.count("*").alias("n_chunks"), F.sum(F.col("last") - F.col("first") + 1).alias("n_rows"))
+    """Where each chunk goes when a sequence's chunks are merged: its place, and the rows before it."""
+    named = chunks.chunk_table(_placed(spark, sf_dir), "user_id", GAP).select("user_id", "name")
+    return chunks.merge_order(named, "user_id").select("user_id", "name", "place", "first_row")
 
 
 @query(f"WITH {_PLACED} SELECT user_id, event_id, copy, row_number() OVER (PARTITION BY user_id ORDER BY pos, copy) - 1 AS idx FROM (SELECT *, unnest(range(3))::INT AS copy FROM placed)")
@@ -338,7 +338,8 @@ UNION SELECT user_id, a FROM ends UNION SELECT user_id, z FROM ends""")
 def keep_minus_marked(spark, sf_dir):
     found, keys = _measured(spark, sf_dir), ["user_id", "event_id"]
     marked = found.where("diff < 20").select(*keys)
-    real = marked.join(found.where(f"diff > {CUT} or event_id % 10 = 0").select(*keys), keys, "left_anti")
+    scene = marked.join(found.where(f"diff > {CUT} or event_id % 10 = 0").select(*keys), keys, "left_semi")
+    real = marked.join(scene, keys, "left_anti")
     ends = found.groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z")).select("user_id", F.explode(F.array("a", "z")).alias("event_id"))
     return found.select(*keys).join(real, keys, "left_anti").unionByName(ends).distinct()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, rules, scalars
 from ..operators import chunks, dedup, fill, relate, scenes
-from ..operators.sequences import positions, with_neighbour
+from ..operators.sequences import positions, slice_width, value_at, with_neighbour
 from ..sources import probe
 from ..sources.scratch import scratch_dir, written
 from .catalog import CUT, GAP, STEP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, xml_sql
@@ -246,9 +246,24 @@ def rolling_emptiness(spark, sf_dir):
 
 @query(f"WITH {_MEASURED} SELECT user_id, round(median(diff), 6) AS median, round(regr_slope(diff, pos), 6) AS slope, round(regr_intercept(diff, pos), 5) AS intercept FROM measured GROUP BY user_id")
 def distance_trend(spark, sf_dir):
-    measured = scenes.pair_distance(_events(spark, sf_dir), "user_id", "event_id", "value", lambda a, b: F.abs(a - b))
+    """The median distance of each sequence, found by places in the order of the distances, and the line through them."""
+    measured = written(scenes.pair_distance(_events(spark, sf_dir), "user_id", "event_id", "value", lambda a, b: F.abs(a - b)).select("user_id", "pos", "diff"))
+    ordered = measured.where("diff IS NOT NULL").select("user_id", "diff", F.floor(F.col("diff") * 1000).alias("milli"))
+    median = value_at(positions(ordered, "user_id", ["milli", "diff"], slice_width(ordered, "milli")), "user_id", "diff", 0.5)
     pos = F.col("pos").cast("double")
-    return measured.groupBy("user_id").agg(F.round(F.median("diff"), 6).alias("median"), F.round(F.regr_slope(F.col("diff"), pos), 6).alias("slope"), F.round(F.regr_intercept(F.col("diff"), pos), 5).alias("intercept"))
+    line = measured.groupBy("user_id").agg(F.round(F.regr_slope(F.col("diff"), pos), 6).alias("slope"), F.round(F.regr_intercept(F.col("diff"), pos), 5).alias("intercept"))
+    return line.join(median.select("user_id", F.round("diff", 6).alias("median")), "user_id", "left")
+
+
+@query("""SELECT 'supplier' AS kind, s_suppkey AS key, n_name AS nation, r_name AS region FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'customer', c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""")
+def dimension_lookup(spark, sf_dir):
+    """Names looked up in small tables by their keys; a key that the table lacks has none."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    places = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    side = lambda name, key, nation: table(name).select(F.lit(name).alias("kind"), F.col(key).alias("key"), F.col(nation).alias("n_nationkey"))
+    both = side("supplier", "s_suppkey", "s_nationkey").unionByName(side("customer", "c_custkey", "c_nationkey"))
+    return both.join(places, "n_nationkey", "left").select("kind", "key", "nation", "region")
 
 
 @query(f"WITH {_PLACED}, ahead AS (SELECT *, coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY pos), value) AS nxt FROM placed) SELECT user_id, event_id, k AS sub_no, round(CASE WHEN k = 0 OR (event_id % 25 > 20 AND value < 40) THEN value ELSE value * (1 - k / (event_id % 25 + 1)) + nxt * (k / (event_id % 25 + 1)) END, 6) AS value FROM (SELECT *, unnest(range(event_id % 25 + 1))::INT AS k FROM ahead)")

@@ -83,7 +83,7 @@ _GRADIENT = f"{_PIXELS}, {_stencil_sql('pixels', grids.SMOOTH, 'sm')}, {_stencil
 
 @query(f"WITH {_GRADIENT} SELECT vec_id, round(sum(g * (y * 8 + x + 1)), 5) AS weighted, round(count(*) FILTER (g >= 0.2) / 64, 6) AS density FROM grad GROUP BY vec_id")
 def sobel_filter(spark, sf_dir):
-    a = _vectors(spark, sf_dir).select("vec_id", grids.gradient(_px(), 8, 8).alias("g"))
+    a = _vectors(spark, sf_dir).select("vec_id", grids.gradient(8, 8)(_px()).alias("g"))
     density = F.size(F.filter("g", lambda g: g >= 0.2)) / F.lit(64)
     return a.select("vec_id", F.round(arrays.weighted("g"), 5).alias("weighted"), F.round(density, 6).alias("density"))
 
@@ -93,7 +93,7 @@ def sobel_filter(spark, sf_dir):
 def edge_distance(spark, sf_dir):
     """Distance of neighbours as the edge density of their difference."""
     found = _pairs(spark, sf_dir, _px()).withColumn("d", F.zip_with("px", "prev", lambda x, y: F.abs(x - y)))
-    return found.select("vec_id", F.round(grids.edge_density(F.col("d"), 8, 8, 0.15), 6).alias("density"))
+    return found.select("vec_id", F.round(grids.edge_density(8, 8, 0.15)("d"), 6).alias("density"))
 
 
 @query(f"""WITH {_FRAMES}, fp AS (SELECT vec_id, px, lag(px) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM frames), pixels AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, px[i + 1] - prev[i + 1] AS v FROM (SELECT *, unnest(range(64)) AS i FROM fp WHERE prev IS NOT NULL)),
@@ -103,7 +103,7 @@ SELECT vec_id, round(any_value(epe), 6) AS end_point, round(avg(abs(v)), 6) AS s
 def pair_losses(spark, sf_dir):
     flow = lambda c: arrays.let(F.col(c), lambda v: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.struct(F.element_at(v, (2 * j + 1).cast("int")).alias("x"), F.element_at(v, (2 * j + 2).cast("int")).alias("y"))))
     found = _pairs(spark, sf_dir, _px())
-    return found.select("vec_id", F.round(grids.end_point_error(flow("px"), flow("prev")), 6).alias("end_point"), F.round(grids.sobel_loss(F.col("px"), F.col("prev"), 8, 8), 6).alias("sobel"))
+    return found.select("vec_id", F.round(grids.end_point_error(flow("px"), flow("prev")), 6).alias("end_point"), F.round(grids.sobel_loss(8, 8)("px", "prev"), 6).alias("sobel"))
 
 
 _NEAR = "desc_ AS (SELECT *, d / sqrt(0.81 + d * d) AS c FROM (SELECT vec_id, i, dy, dx, CASE WHEN i // 8 + dy BETWEEN 0 AND 7 AND i % 8 + dx BETWEEN 0 AND 7 THEN px[i + dy * 8 + dx + 1] ELSE 0 END - px[i + 1] AS d FROM (SELECT vec_id, px, i, a - 3 AS dy, b - 3 AS dx FROM frames, range(64) r(i), range(7) s(a), range(7) t(b))))"

@@ -5,12 +5,11 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from ordwave.operators.dedup import dropped_in_batch
 from ordwave.operators.scenes import SceneState
-from ordwave.plans import catalog, media, pictures  # noqa: F401
+from ordwave.plans import catalog, filters, media, pictures, storage, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
-TABLES = ["events", "embeddings", "part", "lineitem"]
+TABLES = ["events", "embeddings", "part", "lineitem", "orders", "supplier", "customer", "nation", "region"]
 
 
 @pytest.fixture(scope="module")
@@ -59,7 +58,23 @@ def test_scene_adaptive(spark):
 
 def test_stream_scene(spark):
     want = {(u, e, f) for u, rows in sequences().items() for (e, _), f in zip(rows, scene_flags([v for _, v in rows]))}
-    assert {(r["user_id"], r["event_id"], r["is_scene"]) for r in catalog.stream_scene(spark, SF).collect()} == want
+    assert {(r["user_id"], r["event_id"], r["is_scene"]) for r in streams.stream_scene(spark, SF).collect()} == want
+
+
+def dropped_in_batch(values, scenes, mode):
+    """Which rows of a batch the held-drawing rule drops, for windows of 4 to mode + 2 rows."""
+    n, gone = len(values), set()
+    for q in range(4, mode + 3):
+        i, hits = 1, []
+        while i + q <= n:
+            x = values[i : i + q]
+            inner = [(a, b) for a in range(1, q - 2) for b in range(a + 1, q - 1)]
+            if all(abs(x[a] - x[b]) < abs(x[0] - x[a]) and abs(x[a] - x[b]) < abs(x[b] - x[-1]) for a, b in inner):
+                hits.append(i)
+                i += q - 3
+            i += 1
+        gone |= {h + t for h in hits if h not in gone for t in range(1, q - 2)}
+    return [i in gone and not scenes[i] and i not in (0, n - 1) for i in range(n)]
 
 
 def test_dedup_qframe(spark):
@@ -75,3 +90,54 @@ def test_dedup_qframe(spark):
 def test_probe_xml(spark):
     rows = {(r["codec_type"], r["codec_name"], r["width"]) for r in catalog.probe_xml_last(spark, SF).collect()}
     assert rows == {("video", "mjpeg", 10), ("audio", "aac", None)}
+
+
+@pytest.mark.parametrize("arrow", [7, 10_000])
+@pytest.mark.parametrize("batch, mode", [(1, 3), (3, 2), (5, 4), (40, 5)])
+def test_held_drawings_of_odd_batches(spark, batch, mode, arrow):
+    """Batches that Arrow cuts, shorter than a window, of one row, with nulls, of several sequences in a task."""
+    import random
+
+    from ordwave.operators import dedup
+
+    rnd = random.Random(batch)
+    rows = [(s, i, rnd.choice([0.0, 0.1, 0.2, 5.0, 5.1, None, 9.0]), rnd.random() < 0.1) for s in ("a", "b", "c", "d") for i in range(97)]
+    df = spark.createDataFrame(rows, "s string, pos long, v double, scene boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+    try:
+        got = {(r["s"], r["pos"]): r["kept"] for r in dedup.dedup_held(df, "s", "v", "scene", mode=mode, batch=batch, tasks=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for s in ("a", "b", "c", "d"):
+        own = [r for r in rows if r[0] == s]
+        for a in range(0, 97, batch):
+            part = own[a : a + batch]
+            gone = dropped_in_batch([float("nan") if r[2] is None else r[2] for r in part], [r[3] for r in part], mode)
+            want |= {(s, r[1]): not g for r, g in zip(part, gone)}
+    assert got == want
+
+
+def test_option_plan_without_a_rule_for_all(spark):
+    """Ties go to the smaller priority, be it of a rule that fits anything; requests that nothing fits have no options."""
+    from ordwave.functions import rules
+
+    asked = spark.createDataFrame([(1, "x", "u"), (2, "y", "u"), (3, "z", None)], "id int, a string, b string")
+    table = lambda rows: spark.createDataFrame(rows, "a string, b string, priority int, options map<string,string>")
+    plan = lambda rows: {r["id"]: r["options"] for r in rules.plan_options(asked, table(rows), ["a", "b"], "id").select("id", "options").collect()}
+    own = [("x", None, 5, {"o": "x"}), ("y", "u", 2, {"o": "yu"}), (None, "u", 4, {"o": "u"})]
+    assert plan(own) == {1: {"o": "u"}, 2: {"o": "yu"}, 3: None}
+    assert plan([*own, (None, None, 3, {"o": "any"}), (None, None, 9, {"o": "late"})]) == {1: {"o": "any"}, 2: {"o": "yu"}, 3: {"o": "any"}}
+    assert plan([]) == {1: None, 2: None, 3: None}
+
+
+def test_exact_quantiles(spark):
+    from ordwave.operators.sequences import positions, slice_width, value_at
+
+    values = {"a": [5.0, 1.0, 1.0, 9.0], "b": [2.0], "c": [7.0, 3.0, 4.0]}
+    rows = spark.createDataFrame([(k, v, int(v * 1000)) for k, vs in values.items() for v in vs], "k string, v double, o long")
+    for share in (0.0, 0.25, 0.5, 1.0):
+        for width in (slice_width(rows, "o"), 1, 1500):
+            got = {r["k"]: r["v"] for r in value_at(positions(rows, "k", ["o", "v"], width), "k", "v", share).collect()}
+            assert got == {k: pytest.approx(duckdb.sql(f"select quantile_cont(unnest, {share}) from unnest({vs})").fetchall()[0][0]) for k, vs in values.items()}
+    assert slice_width(rows.where("o < 0"), "o") > 0 and slice_width(rows, "o", rows=1) == (9000 - 1000 + 1) // 8
