@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial, reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from pyspark.sql import types as T
 from .exchange import Frozen
 from .text import Words, inside_texts, slices, span_hashes, utf8, window_hashes
 
-#: Statistics of a text, all long.
-STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_distinct_words", "n_upper", "n_letters", "n_marks"]
+#: Words of a window in which fresh words are counted, so that a text's length does not decide how many there are.
+WINDOW = 200
+#: Statistics of a text, all long; fresh words are those that their window has not had before.
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_fresh_words", "n_upper", "n_letters", "n_marks"]
 
 _SYMBOL, _UPPER, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(4))
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -57,7 +61,9 @@ def text_statistics(column) -> dict[str, np.ndarray]:
     covered = np.zeros(len(h), bool)
     for j in range(3):
         covered[ok[twice] + j] = True
-    _, again = _repeats(texts, h)
+    place = np.arange(len(h)) - words.first[texts]
+    window = np.cumsum((place % WINDOW == 0) | (place == 0))
+    _, again = _repeats(window, h)
     breaks = np.flatnonzero(data == 10)
     line_start = np.concatenate([offsets[:-1], breaks + 1])
     line_text = np.concatenate([np.arange(n), np.searchsorted(offsets, breaks, "right") - 1])
@@ -75,7 +81,7 @@ def text_statistics(column) -> dict[str, np.ndarray]:
     count = lambda where: np.bincount(where, minlength=n)
     return {
         "n_words": words.counts, "word_chars": per_text(start), "n_symbols": per_text(_SYMBOL[data]), "n_dup_lines": count(line_text[dup]), "n_repeat_words": count(texts[covered]), "n_lines": count(line_text),
-        "n_letter_words": count(texts[lettered]), "n_distinct_words": count(texts[~again]), "n_upper": per_text(_UPPER[data]), "n_letters": per_text(_LETTER[data]), "n_marks": per_text(_MARK[data]),
+        "n_letter_words": count(texts[lettered]), "n_fresh_words": count(texts[~again]), "n_upper": per_text(_UPPER[data]), "n_letters": per_text(_LETTER[data]), "n_marks": per_text(_MARK[data]),
     }
 
 
@@ -92,22 +98,31 @@ def _share(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-def _never() -> Column:
-    return F.lit(False)
+def _all(*conditions: Column) -> Column:
+    return reduce(and_, conditions)
 
 
-#: The production rules. A rule about one defect says nothing about texts without it.
+def _any(*conditions: Column) -> Column:
+    return reduce(or_, conditions)
+
+
+_symbols, _dense = partial(_share, "n_symbols", "n_words"), partial(_share, "n_symbols", "word_chars")
+_repeated, _twice, _fresh = partial(_share, "n_repeat_words", "n_words"), partial(_share, "n_dup_lines", "n_lines"), partial(_share, "n_fresh_words", "n_words")
+_lettered, _size, _upper, _marked = partial(_share, "n_letter_words", "n_words"), partial(_share, "word_chars", "n_words"), partial(_share, "n_upper", "n_letters"), partial(_share, "n_marks", "n_words")
+
+#: The production rules. Each votes both ways and abstains in between; bounds are wide enough that good texts, too, get a bad vote now and then.
 RULES = [
-    Rule("length", lambda: F.col("n_words") < 50, lambda: F.col("n_words") >= 100),
-    Rule("symbols", lambda: _share("n_symbols", "n_words") > 0.2, _never),
-    Rule("repeats", lambda: _share("n_repeat_words", "n_words") > 0.4, _never),
-    Rule("lines", lambda: (F.col("n_lines") > 4) & (_share("n_dup_lines", "n_lines") > 0.4), _never),
-    Rule("letters", lambda: _share("n_letter_words", "n_words") < 0.75, _never),
-    Rule("word_length", lambda: (_share("word_chars", "n_words") < 2.5) | (_share("word_chars", "n_words") > 12), _never),
-    Rule("case", lambda: _share("n_upper", "n_letters") > 0.4, _never),
-    Rule("marks", lambda: _share("n_marks", "n_words") > 0.8, _never),
-    Rule("variety", lambda: (F.col("n_words") < 3000) & (_share("n_distinct_words", "n_words") < 0.2), lambda: _share("n_distinct_words", "n_words") > 0.4),
-    Rule("prose", _never, lambda: _share("n_marks", "n_words").between(0.02, 0.4) & _share("word_chars", "n_words").between(3, 10) & (_share("n_upper", "n_letters") < 0.2)),
+    Rule("length", lambda: F.col("n_words") < 60, lambda: F.col("n_words") >= 100),
+    Rule("symbols", lambda: _symbols() > 0.1, lambda: _symbols() <= 0.02),
+    Rule("density", lambda: _dense() > 0.05, lambda: _dense() <= 0.005),
+    Rule("repeats", lambda: _repeated() > 0.15, lambda: _repeated() < 0.05),
+    Rule("lines", lambda: (F.col("n_lines") > 4) & (_twice() > 0.15), lambda: (F.col("n_lines") > 4) & (_twice() < 0.05)),
+    Rule("letters", lambda: _lettered() < 0.9, lambda: _lettered() > 0.97),
+    Rule("word_length", lambda: ~_size().between(3.5, 6.5), lambda: _size().between(4, 6)),
+    Rule("case", lambda: _upper() > 0.1, lambda: _upper() < 0.05),
+    Rule("marks", lambda: ~_marked().between(0.05, 0.3), lambda: _marked().between(0.08, 0.22)),
+    Rule("variety", lambda: _fresh() < 0.5, lambda: _fresh() > 0.65),
+    Rule("prose", lambda: _any(_symbols() > 0.3, _lettered() < 0.8, _upper() > 0.3, _marked() > 0.6), lambda: _all(_symbols() <= 0.02, _lettered() > 0.95, _marked().between(0.05, 0.3), _size().between(3.5, 8), _upper() < 0.1)),
 ]
 
 
@@ -129,23 +144,25 @@ class VoteModel:
         return 1 / (1 + np.exp(-np.clip(log, -500, 500)))
 
 
-def fit_votes(votes: np.ndarray, weight: np.ndarray, rounds: int = 200, strength: float = 0.002, false_alarms: float = 0.002) -> VoteModel:
+#: What a rule is expected to do before any votes are seen: bad, good, abstain on good documents, then on bad ones.
+EXPECTED = np.array([[0.02, 0.58, 0.4], [0.45, 0.15, 0.4]])
+
+
+def fit_votes(votes: np.ndarray, weight: np.ndarray, rounds: int = 500, strength: float = 0.01) -> VoteModel:
     """Expectation maximisation over vote patterns with counts.
 
-    It starts by doubting every document with a bad vote, so that 'good' keeps its meaning. Rules
-    are written to be precise: none votes bad about more than `false_alarms` of the good documents.
-    Every rate is drawn towards a rule that votes half the time and is right nine times in ten, with
-    `strength` of the documents as pseudo-votes. No documents: all rules count alike.
+    It starts by doubting documents with two bad votes or more, so that 'good' keeps its meaning. The
+    rates of a rule have a Dirichlet prior around EXPECTED, worth `strength` of the documents: false
+    alarms are estimated like all else, and a corpus without bad documents is not parted at its
+    rarest votes. No documents: all rules count as expected.
     """
     n = float(weight.sum()) or 1.0
     cast = np.stack([votes == 0, votes == 1, votes < 0], axis=2).astype(float)
-    p = np.where(cast[:, :, 0].any(1), 0.1, 0.9)
-    usual = strength * n * np.array([[0.05, 0.45, 0.5], [0.45, 0.05, 0.5]])
+    p = np.where(cast[:, :, 0].sum(1) >= 2, 0.1, 0.9)
+    usual = strength * n * EXPECTED
     for _ in range(rounds):
         mass = np.stack([weight * p, weight * (1 - p)])
         rates = np.einsum("ck,krv->crv", mass, cast) + usual[:, None, :]
-        rates /= rates.sum(2, keepdims=True)
-        rates[0, :, 0] = np.minimum(rates[0, :, 0], false_alarms)
         model = VoteModel(float(np.clip((mass[0].sum() + 0.5) / (n + 1), 0.01, 0.99)), rates / rates.sum(2, keepdims=True))
         after = model.posterior(votes)
         if len(p) == 0 or np.abs(after - p).max() < 1e-9:

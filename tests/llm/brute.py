@@ -110,7 +110,7 @@ def more_statistics(text):
     w = words(text)
     letter = lambda c: c.isascii() and c.isalpha() or ord(c) > 127
     return {
-        "n_lines": sum(bool(words(x)) for x in text.split("\n")), "n_letter_words": sum(any(map(letter, x)) for x in w), "n_distinct_words": len(set(w)),
+        "n_lines": sum(bool(words(x)) for x in text.split("\n")), "n_letter_words": sum(any(map(letter, x)) for x in w), "n_fresh_words": sum(len(set(w[i : i + 200])) for i in range(0, len(w), 200)),
         "n_upper": sum("A" <= c <= "Z" for c in text), "n_letters": sum(len(c.encode()) for c in text if letter(c)), "n_marks": sum(c in ".,;:!?" for c in text),
     }
 
@@ -118,8 +118,11 @@ def more_statistics(text):
 def votes(s):
     """The rules' votes on a document, in their order: 0 bad, 1 good, -1 abstain."""
     share = lambda a, b: s[a] / max(1, s[b])
-    bad = [s["n_words"] < 50, share("n_symbols", "n_words") > 0.2, share("n_repeat_words", "n_words") > 0.4, s["n_lines"] > 4 and share("n_dup_lines", "n_lines") > 0.4, share("n_letter_words", "n_words") < 0.75, share("word_chars", "n_words") < 2.5 or share("word_chars", "n_words") > 12, share("n_upper", "n_letters") > 0.4, share("n_marks", "n_words") > 0.8, s["n_words"] < 3000 and share("n_distinct_words", "n_words") < 0.2, False]
-    good = [s["n_words"] >= 100, *[False] * 7, share("n_distinct_words", "n_words") > 0.4, 0.02 <= share("n_marks", "n_words") <= 0.4 and 3 <= share("word_chars", "n_words") <= 10 and share("n_upper", "n_letters") < 0.2]
+    symbols, lettered, size, upper, marked = share("n_symbols", "n_words"), share("n_letter_words", "n_words"), share("word_chars", "n_words"), share("n_upper", "n_letters"), share("n_marks", "n_words")
+    dense, repeated, fresh, twice = share("n_symbols", "word_chars"), share("n_repeat_words", "n_words"), share("n_fresh_words", "n_words"), share("n_dup_lines", "n_lines")
+    many = s["n_lines"] > 4
+    bad = [s["n_words"] < 60, symbols > 0.1, dense > 0.05, repeated > 0.15, many and twice > 0.15, lettered < 0.9, not 3.5 <= size <= 6.5, upper > 0.1, not 0.05 <= marked <= 0.3, fresh < 0.5, symbols > 0.3 or lettered < 0.8 or upper > 0.3 or marked > 0.6]
+    good = [s["n_words"] >= 100, symbols <= 0.02, dense <= 0.005, repeated < 0.05, many and twice < 0.05, lettered > 0.97, 4 <= size <= 6, upper < 0.05, 0.08 <= marked <= 0.22, fresh > 0.65, symbols <= 0.02 and lettered > 0.95 and 0.05 <= marked <= 0.3 and 3.5 <= size <= 8 and upper < 0.1]
     return [0 if b else 1 if g else -1 for b, g in zip(bad, good)]
 
 
@@ -131,23 +134,20 @@ def base_failed(s):
     return s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
 
 
-def estimate(cast, rounds=200, pull=0.002, alarms=0.002):
+def estimate(cast, rounds=500, pull=0.01):
     """(share of good, {(rule, vote): (rate on good, rate on bad)}) by expectation maximisation over single documents, in plain arithmetic."""
     n, kinds = len(cast), (0, 1, -1)
-    usual = {0: (0.05, 0.45), 1: (0.45, 0.05), -1: (0.5, 0.5)}
-    p = [0.1 if 0 in row else 0.9 for row in cast]
+    usual = {0: (0.02, 0.45), 1: (0.58, 0.15), -1: (0.4, 0.4)}
+    p = [0.1 if sum(v == 0 for v in row) >= 2 else 0.9 for row in cast]
     for _ in range(rounds):
         good = sum(p)
         prior = min(0.99, max(0.01, (good + 0.5) / (n + 1)))
         rates = {}
-        for j in range(10):
+        for j in range(11):
             sides = []
             for side in (0, 1):
                 mass = {v: sum((x, 1 - x)[side] for x, row in zip(p, cast) if row[j] == v) + pull * max(n, 1) * usual[v][side] for v in kinds}
-                share = {v: m / sum(mass.values()) for v, m in mass.items()}
-                if side == 0:
-                    share[0] = min(share[0], alarms)
-                sides.append({v: x / sum(share.values()) for v, x in share.items()})
+                sides.append({v: m / sum(mass.values()) for v, m in mass.items()})
             for v in kinds:
                 rates[j, v] = (sides[0][v], sides[1][v])
         new = [chance(prior, rates, row) for row in cast]
