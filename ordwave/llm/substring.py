@@ -3,9 +3,12 @@
 A window is `size` consecutive words. Its minimiser is the smallest hash of the short word runs in
 it. Consecutive windows of a text with one minimiser travel as one packed string of words to
 the minimiser's bucket, where sorting finds windows that occur in several documents. Sorting is by
-fingerprints, but windows count as equal only when their words are. Two steps keep this small: minimisers that occur in one document only are answered first and their windows stay at
-home; and of windows that a group holds in several documents, only those of its smallest id travel.
-So a passage that very many documents share reaches its bucket once per group.
+fingerprints, but windows count as equal only when their words are. Three steps keep this small and even:
+minimisers that occur in one document only are answered first and their windows stay at home; of
+windows that a group holds in several documents, only those of its smallest id travel, so a passage
+that very many documents share reaches its bucket once per group; and the first answer tells which
+minimisers have very many windows, as a short passage in ever other surroundings has: those windows
+are dealt further by their fingerprints, which are the same wherever their words are.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .text import Words, give_back, inside_texts, mix, utf8, window_hashes
 
 #: Words in the runs among which a window's minimiser is chosen.
 RUN = 5
+#: Different windows of one minimiser that go to one bucket, about.
+HOT = 4096
 
 
 def _minimisers(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,33 +146,57 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return rows, _Windows(rows, "__text", size), _ranks(rows.column("__id"))
 
     def minimiser_docs(w, rank):
-        """The distinct minimisers of the group with 1, or 2 where several documents have it, and windows' places among them."""
+        """The distinct minimisers of the group, windows' places among them, 1 (or 2 where several documents have it) and about how many different windows it has."""
         uniq, inverse = np.unique(w.low, return_inverse=True)
         lo, hi = np.full(len(uniq), 2**62), np.full(len(uniq), -(2**62))
         np.minimum.at(lo, inverse, rank[w.doc])
         np.maximum.at(hi, inverse, rank[w.doc])
-        return uniq, inverse, np.where(lo < hi, 2, 1).astype(np.uint8)
+        begin, length = super_kmers(w, np.arange(len(w.valid)), w.low)
+        order, kind = _own_key(inverse[begin].astype(np.uint64), window_hashes(w.hash, size, 21)[w.valid[begin]] if len(begin) else np.zeros(0, np.uint64))
+        once = order[np.flatnonzero(np.diff(kind, prepend=-1))]  # of runs of windows that begin alike, one
+        windows = np.bincount(inverse[begin[once]], weights=length[once], minlength=len(uniq))
+        return uniq, inverse, np.where(lo < hi, 2, 1).astype(np.uint8), np.minimum(windows, 65535).astype("<u2")
 
     def ask_minimisers(table):
         _, w, rank = rows_of(table)
-        uniq, _, times = minimiser_docs(w, rank)
+        uniq, _, times, windows = minimiser_docs(w, rank)
         bucket = (uniq >> shift).astype(np.int64)
         low = ((uniq << np.uint64(bits)) >> np.uint64(24)).astype("<u8")
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return [(int(bucket[a]), int(b - a).to_bytes(8, "little") + low[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + squeeze(times[a:b])) for a, b in zip(cut, [*cut[1:], len(bucket)])]
+        out = []
+        for a, b in zip(cut, [*cut[1:], len(bucket)]):
+            seen = squeeze(times[a:b])
+            out.append((int(bucket[a]), int(b - a).to_bytes(8, "little") + len(seen).to_bytes(8, "little") + low[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + seen + squeeze(windows[a:b])))
+        return out
 
     def count_minimisers(payloads):
-        lows, times, sizes = [], [], []
+        lows, times, windows, sizes = [], [], [], []
         for p in payloads:
-            n = int.from_bytes(p[:8], "little")
+            n, seen = int.from_bytes(p[:8], "little"), int.from_bytes(p[8:16], "little")
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(p, np.uint8, 5 * n, 8).reshape(n, 5)
+            wide[:, :5] = np.frombuffer(p, np.uint8, 5 * n, 16).reshape(n, 5)
             lows.append(wide.view("<u8").ravel())
-            times.append(unsqueeze(p[8 + 5 * n :], np.uint8))
+            at = 16 + 5 * n
+            times.append(unsqueeze(p[at : at + seen], np.uint8))
+            windows.append(unsqueeze(p[at + seen :], "<u2"))
             sizes.append(n)
         _, inverse = np.unique(np.concatenate(lows), return_inverse=True)
         shared = np.bincount(inverse, weights=np.concatenate(times))[inverse] > 1
-        return [squeeze(np.packbits(x)) for x in np.split(shared, np.cumsum(sizes)[:-1])]
+        parts = np.where(shared, -(-np.bincount(inverse, weights=np.concatenate(windows)) // HOT)[inverse], 0).astype(np.int64)
+        return [flags_and_parts(x) for x in np.split(parts, np.cumsum(sizes)[:-1])]
+
+    def flags_and_parts(parts):
+        """Which minimisers are shared, as bits, and into how many parts those with very many windows go."""
+        bits = squeeze(np.packbits(parts > 0))
+        hot = np.flatnonzero(parts > 1)
+        return len(bits).to_bytes(8, "little") + bits + squeeze(np.stack([hot, parts[hot]]).astype("<i8"))
+
+    def parts_of_answer(p, n):
+        bits = int.from_bytes(p[:8], "little")
+        parts = np.unpackbits(unsqueeze(p[8 : 8 + bits], np.uint8), count=n).astype(np.int64)
+        hot, into = unsqueeze(p[8 + bits :], "<i8").reshape(2, -1)
+        parts[hot] = into
+        return parts
 
     def at_home(w, rank):
         """Windows that a smaller id of the group has too (marked), and those of the smallest id there."""
@@ -178,30 +207,36 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         first = low[group]
         return (r > first) & (r >= 0), (r == first) & (r >= 0)
 
-    def travelling(w, rank, shared):
+    def travelling(w, rank, parts):
         marked, first = at_home(w, rank)
-        return marked, np.flatnonzero(first & shared)
+        return marked, np.flatnonzero(first & (parts > 0))
 
-    def super_kmers(w, go):
-        """Runs of consecutive travelling windows of one text and minimiser: (first index into go, length)."""
+    def super_kmers(w, go, goal):
+        """Runs of consecutive windows `go` of one text, minimiser and goal: (first index into go, length)."""
         new = np.ones(len(go), bool)
-        new[1:] = (np.diff(w.valid[go]) != 1) | (w.doc[go][1:] != w.doc[go][:-1]) | (w.at[go][1:] != w.at[go][:-1])
+        new[1:] = (np.diff(w.valid[go]) != 1) | (w.doc[go][1:] != w.doc[go][:-1]) | (w.at[go][1:] != w.at[go][:-1]) | (goal[1:] != goal[:-1])
         begin = np.flatnonzero(new)
         return begin, np.diff([*begin, len(go)])
 
-    def shared_of(w, rank, answers):
-        uniq, inverse, _ = minimiser_docs(w, rank)
+    def parts_of(w, rank, answers):
+        """For each window, into how many parts its minimiser's windows go: none if no other document has it."""
+        uniq, inverse, _, _ = minimiser_docs(w, rank)
         bucket = (uniq >> shift).astype(np.int64)
-        flags = np.zeros(len(uniq), bool)
+        parts = np.zeros(len(uniq), np.int64)
         for b, p in answers.items():
             a, z = np.searchsorted(bucket, [b, b + 1])
-            flags[a:z] = np.unpackbits(unsqueeze(p, np.uint8), count=z - a).astype(bool)
-        return flags[inverse]
-
-    def routed(w, go):
-        """Super-k-mers in the order in which they are sent: (bucket, first index into go, windows), and each window's place."""
-        begin, length = super_kmers(w, go)
-        bucket = (w.low[go][begin] >> shift).astype(np.int64) if len(begin) else np.zeros(0, np.int64)
+            parts[a:z] = parts_of_answer(p, z - a)
+        return parts[inverse]
+
+    def routed(w, go, parts):
+        """Super-k-mers in the order in which they are sent: (bucket, first index into go, windows)."""
+        goal = (w.low[go] >> shift).astype(np.int64)
+        hot = np.flatnonzero(parts[go] > 1)
+        if len(hot):
+            mark = mix(window_hashes(w.hash, size, 21)[w.valid[go[hot]]], 17)
+            goal[hot] = (goal[hot] + (mark % parts[go[hot]].astype(np.uint64)).astype(np.int64)) % (1 << bits)
+        begin, length = super_kmers(w, go, goal)
+        bucket = goal[begin]
         order = np.argsort(bucket, kind="stable")
         return bucket[order], begin[order], length[order]
 
@@ -212,8 +247,9 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def send_windows(table, answers):
         rows, w, rank = rows_of(table)
-        _, go = travelling(w, rank, shared_of(w, rank, answers))
-        bucket, begin, length = routed(w, go)
+        parts = parts_of(w, rank, answers)
+        _, go = travelling(w, rank, parts)
+        bucket, begin, length = routed(w, go, parts)
         ids = rows.column("__id").combine_chunks()
         found = []
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -247,8 +283,9 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def finish(table, first, second):
         rows, w, rank = rows_of(table)
-        marked, go = travelling(w, rank, shared_of(w, rank, first))
-        bucket, begin, length = routed(w, go)
+        parts = parts_of(w, rank, first)
+        marked, go = travelling(w, rank, parts)
+        bucket, begin, length = routed(w, go, parts)
         sent = np.cumsum(length)
         later = np.zeros(int(sent[-1]) if len(sent) else 0, bool)
         for b, p in second.items():

@@ -355,6 +355,30 @@ def test_equal_windows_compares_words():
     assert group.max() < n and len(set(zip(group.tolist(), keys))) == len(set(keys)) == len(set(group.tolist()))
 
 
+@pytest.mark.parametrize("group_bytes", [300_000, 60_000])
+def test_substring_frequent_minimisers_are_dealt_on(spark, monkeypatch, group_bytes):
+    """A passage shorter than a window in all documents, each with words of its own around it: no bucket holds much more than others."""
+    rnd = random.Random(8)
+    passage = [f"common{i}" for i in range(20)]
+    rows = [(k, " ".join([*(f"a{rnd.randrange(10**6)}" for _ in range(45)), *passage, *(f"b{rnd.randrange(10**6)}" for _ in range(45))])) for k in range(2000)]
+    rows += [(5000 + k, f"before {k} {rows[k][1]}") for k in range(0, 60, 3)]  # some are whole copies
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring, "HOT", 300)
+    asked = []
+
+    answer = exchange.Routes.answer
+    monkeypatch.setattr(exchange.Routes, "answer", lambda self, sent, reply: asked.append((self, sent)) or answer(self, sent, reply))
+    got, want = substring_result(df, rows, group_bytes=group_bytes)
+    assert got == want and sum(n for _, _, n, _ in want) > 2000
+    routes, sent = asked[1]
+    windows = Counter()
+    for r in sent.collect():
+        size = int.from_bytes(r["payload"][:8], "little")
+        windows[r["bucket"]] += sum(exchange.from_ipc([bytes(r["payload"][8 : 8 + size])]).column("n").to_pylist())
+    assert sum(windows.values()) > 40_000 and len(windows) == routes.buckets
+    assert max(windows.values()) <= (10 if routes.buckets > 8 else 3) * np.median(list(windows.values()))
+
+
 def test_substring_buckets_are_even():
     rnd = random.Random(6)
     texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(400)) for _ in range(60)]
