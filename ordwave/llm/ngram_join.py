@@ -6,6 +6,11 @@ document come first in every order; the shared ones follow, rarest first in the
 independent hashes in the others. Candidates share a token of the first order's prefixes, must also
 share a prefix token under each other order, and only then are whole sets compared.
 
+A token's place in the first order bounds what two sets can share from there on: where it stands
+beyond (1 - t) / (1 + t) of both sets, they cannot reach t with it as their first common token. So
+of a token's nodes only pairs with an early one are candidates, and tokens without early nodes are
+none: texts of one template that differ by enough words of their own are never paired.
+
 How often a token occurs is asked once per packed group (exchange.py), so nothing grows with copies
 of one text. Equal sets become one node. Nodes that share a prefix token are a group; groups with the
 same nodes count once. A group is first linked to a pivot, in a fixed number of turns with new
@@ -232,6 +237,8 @@ def _in_blocks(left: DataFrame, right: DataFrame, nodes: DataFrame, percent: int
             if not len(a) or not len(b):
                 continue
             apart = (comp[a][:, None] != comp[b][None, :]) | (all_links & (a[:, None] != b[None, :]))
+            most = np.minimum(lists.length[a][:, None], lists.length[b][None, :])  # tokens of one document alone are common to no two
+            apart &= 100 * most >= percent * (n[a][:, None] + n[b][None, :] - most)
             for o in orders:
                 if not apart.any():
                     break
@@ -260,18 +267,30 @@ def _nodes(found: DataFrame) -> Frozen:
     return Frozen(sets.repartition(buckets, "fp").dropDuplicates(["fp"]), clean=True, bucket=("fp", buckets))
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(t, fp, n, near) of nodes that share a prefix token of the first order; of tokens with the same nodes one is enough."""
+def _groups(nodes: DataFrame, percent: int) -> DataFrame:
+    """(t, fp, n, near, early) of nodes that share a prefix token of the first order and may reach the threshold with it as first common token.
+
+    `early` tells that the token stands in the first (1 - t) / (1 + t) of the set. Nodes that no early
+    node of their token fits by size and by what is left behind the token are left out. Of tokens
+    with the same nodes, equally early, one is enough.
+    """
     # a set with few tokens of its own is nearer to the middle of its group, and so a better pivot
     near = F.floor(16 * F.size("p0") / F.col("n")).cast("int")
-    exploded = nodes.select("fp", "n", near.alias("near"), F.explode("p0").alias("t"))
-    return exploded.join(_distinct_groups(exploded, "t"), "t")
+    placed = nodes.select("fp", "n", near.alias("near"), (F.col("n") - F.size("tokens")).alias("own"), F.posexplode("p0").alias("i", "t"))
+    left = F.col("n") - F.col("own") - F.col("i")  # what the set has from the token on
+    placed = placed.select("t", "fp", "n", "near", left.alias("left"), ((100 + percent) * (F.col("own") + F.col("i")) <= (100 - percent) * F.col("n")).alias("early"))
+    early = F.when(F.col("early"), F.col("n"))
+    ends = placed.groupBy("t").agg(F.count("*").alias("c"), F.min(early).alias("low"), F.max(early).alias("high"), F.min("n").alias("least"), F.max("n").alias("most")).where("c > 1 and low is not null").drop("c")
+    low, high = F.when(F.col("early"), F.col("least")).otherwise(F.col("low")), F.when(F.col("early"), F.col("most")).otherwise(F.col("high"))
+    fits = (100 * high >= percent * F.col("n")) & (percent * low <= 100 * F.col("n")) & (percent * (F.greatest(low, F.ceil(percent * F.col("n") / 100)) + F.col("n")) <= (100 + percent) * F.col("left"))
+    members = placed.join(ends, "t").where(fits).select("t", "fp", "n", "near", "early")
+    return members.join(_distinct_groups(members, "t"), "t")
 
 
 def _distinct_groups(members: DataFrame, t: str) -> DataFrame:
-    """Of the tokens with several nodes, one for each set of nodes; sets are told apart by their number and 128 bits."""
-    marks = [F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
-    return members.groupBy(t).agg(F.count("*").alias("c"), *marks).where("c > 1").groupBy("c", "x1", "x2").agg(F.min(t).alias(t)).select(t)
+    """Of the tokens with several nodes and an early one, one for each set of (node, early); sets are told apart by their number and 128 bits."""
+    marks = [F.bit_xor(F.xxhash64("fp", "early", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+    return members.groupBy(t).agg(F.count("*").alias("c"), F.max("early").alias("e"), *marks).where("c > 1 and e").groupBy("c", "x1", "x2").agg(F.min(t).alias(t)).select(t)
 
 
 def _unsettled(members: DataFrame, parts: Components) -> Frozen:
@@ -292,23 +311,28 @@ def _joined(parts: Components | None, links: DataFrame) -> Components:
 
 def _components(nodes: DataFrame, percent: int) -> tuple[Components, list[Frozen]]:
     """(node, component) of all nodes that have links, and the links that were found on the way."""
-    members = Frozen(_groups(nodes).withColumn("comp", F.col("fp")))
+    members = Frozen(_groups(nodes, percent).withColumn("comp", F.col("fp")))
     links, parts = [], None
     for turn in range(STAR_TURNS):
-        pivots = members.df.groupBy("t").agg(F.max(F.struct("near", F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "n", "comp")).alias("p"))
+        pivots = members.df.groupBy("t").agg(F.max(F.struct("early", "near", F.xxhash64("fp", F.lit(turn)).alias("h"), "fp", "n", "comp")).alias("p"))
         starred = members.df.join(pivots, "t").where((F.col("comp") != F.col("p.comp")) & _comparable("n", "p.n", percent))
         links.append(Frozen(_verified(starred.select(F.col("p.fp").alias("a"), F.col("fp").alias("b")).distinct(), nodes, percent), clean=True))
         parts = _joined(parts, links[-1].df)
         before, members = members, _unsettled(members.df, parts)
         before.drop()
     sizes = members.df.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("m")).select("t", F.col("m.comp").alias("main"))
-    placed = Frozen(members.df.select("t", "fp", "comp").join(sizes, "t"))
+    placed = Frozen(members.df.select("t", "fp", "comp", "early").join(sizes, "t"))
     outside, inside = placed.df.where("comp != main"), placed.df.where("comp = main")
-    side = lambda df: df.select(F.col("main").alias("g"), "fp", "comp").distinct()
+    # a token's nodes outside its main component with those inside: early ones with all, late ones with early ones
+    kinds = outside.groupBy("t").agg(F.max("early").alias("some_early"), F.max(~F.col("early")).alias("some_late"))
+    inside = inside.join(kinds, "t")
+    side = lambda df, mark: df.select(F.concat("main", F.lit(mark).cast("binary")).alias("g"), "fp", "comp").distinct()
+    lefts = side(outside.where("early"), "early").unionByName(side(outside.where("not early"), "late"))
+    rights = side(inside.where("some_early"), "early").unionByName(side(inside.where("early and some_late"), "late"))
     mixed = outside.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
     apart = outside.join(mixed, "t")
-    apart = apart.join(_distinct_groups(apart, "t"), "t").select(F.encode(F.col("t").cast("string"), "utf-8").alias("g"), "fp", "comp")
-    left, right = Frozen(side(outside).unionByName(apart)), Frozen(side(inside).unionByName(apart))
+    apart = apart.join(_distinct_groups(apart, "t"), "t").select(F.encode(F.col("t").cast("string"), "utf-8").alias("g"), "fp", "comp", "early")
+    left, right = Frozen(lefts.unionByName(apart.where("early").drop("early"))), Frozen(rights.unionByName(apart.drop("early")))
     links.append(Frozen(_in_blocks(left.df, right.df, nodes, percent), clean=True))
     parts = _joined(parts, links[-1].df)
     for x in (members, placed, left, right):
@@ -390,9 +414,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     carry = carry or []
     rows, nodes = _search(docs, id_col, text_col, size, percent, group_bytes, carry)
-    grouped = _groups(nodes.df).select(F.encode(F.col("t").cast("string"), "utf-8").alias("g"), "fp", F.col("fp").alias("comp"))
-    grouped = Frozen(grouped)
-    links = Frozen(_in_blocks(grouped.df, grouped.df, nodes.df, percent, all_links=True))
+    grouped = Frozen(_groups(nodes.df, percent).select(F.encode(F.col("t").cast("string"), "utf-8").alias("g"), "fp", F.col("fp").alias("comp"), "early"))
+    links = Frozen(_in_blocks(grouped.df.where("early").drop("early"), grouped.df.drop("early"), nodes.df, percent, all_links=True))
     grouped.drop()
     nodes.drop()
     return rows.df.select(F.col("id").alias(id_col), F.col("fp").alias("set_id"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)]), links.df

@@ -66,6 +66,51 @@ def test_ngram_join(which, request):
     assert got == Counter(brute.components(pairs_of(df)))
 
 
+def dealt_rows(monkeypatch):
+    """Collects how many rows are dealt to blocks of comparisons."""
+    seen, pieces = [], ngram_join.pieces
+    monkeypatch.setattr(ngram_join, "pieces", lambda n, size: (seen.append(n) if size == ngram_join.ROWS else None) or pieces(n, size))
+    return seen
+
+
+def templated(n, rnd, own=2, pool=None, sizes=(0,)):
+    """Texts of one template in which `own` far apart words are replaced, and some of which go on for longer."""
+    template = [f"form{i}" for i in range(63)]
+    rows = []
+    for k in range(n):
+        w = template + [f"more{i}" for i in range(rnd.choice(sizes))]
+        for j in range(own if isinstance(own, int) else rnd.choice(own)):
+            w[10 + 20 * j] = f"own{k}x{j}" if pool is None else f"own{rnd.randrange(pool)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_templated_texts_are_not_paired(spark, monkeypatch):
+    """Documents of one template just below the threshold: what is compared does not grow with their square, and no link is lost."""
+    seen = dealt_rows(monkeypatch)
+    for n in (1000, 4000):
+        rows = templated(n, random.Random(n))
+        got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == Counter((k, k) for k in range(n))
+    assert seen[1] <= max(4000, 5.3 * seen[0])
+
+
+@pytest.mark.parametrize("options", [{"own": 2, "pool": 40}, {"own": (0, 1, 2, 3)}, {"own": (0, 1, 2), "sizes": (0, 3, 9, 15)}, {"own": (1, 2), "pool": 12, "sizes": (0, 6)}, {"own": 1}])
+def test_templates_of_all_kinds(spark, monkeypatch, options):
+    """Own words from a pool, by different numbers, and different lengths: components and links equal those of all pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "ROWS", 64)
+    rows = templated(160, random.Random(5), **options)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect())
+    assert got == Counter(brute.components(rows))
+    members, links = ngram_join.jaccard_links(df)
+    sets = {k: brute.shingles(t) for k, t in rows}
+    set_of = {r["doc_id"]: bytes(r["set_id"]) for r in members.collect()}
+    want = {tuple(sorted((set_of[a], set_of[b]))) for a in sets for b in sets if a < b and set_of[a] != set_of[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in links.collect()} == want
+
+
 def test_ngram_join_groups(spark):
     """A large group of near copies, many copies of one text, a common line, and chains just at the threshold."""
     rnd = random.Random(3)
