@@ -171,25 +171,37 @@ def dup_edit_plan(spark, sf_dir):
     return _placed(spark, sf_dir).select("user_id", F.col("pos").alias("source"), (F.col("pos") * 3).alias("offset_"), F.lit(2).alias("length"))
 
 
-_JSON = [
-    '{"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"h264","width":1920,"height":1080,"r_frame_rate":"24000/1001","nb_frames":"240"},{"codec_type":"video","codec_name":"mjpeg","width":10,"height":20,"r_frame_rate":"0/0"},{"codec_type":"audio","codec_name":"ac3"}]}',
-    '{"streams":[{"codec_type":"video","codec_name":"hevc","width":640,"height":480,"r_frame_rate":"0/0","duration":"10.5","tags":{"rotate":"90"}}]}',
-]
-_JSON_TABLE = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_JSON))
+def text_sql(*parts: str) -> str:
+    """A text of SQL expressions one after another, in the words that Spark and DuckDB have in common; numbers are given as {...}."""
+    cast = lambda x: f"CAST({x[1:-1]} AS STRING)" if x.startswith("{") else x
+    return " || ".join(cast(x) for x in parts)
 
 
-@query(f"""WITH docs(id, t) AS (VALUES {_JSON_TABLE}), s AS (SELECT id, unnest(range(json_array_length(t, '$.streams')::BIGINT)) AS place, t FROM docs),
+#: A probe's answer about each part: one or two video streams, turned or not, with rates of several kinds, and texts that are no JSON.
+_JSON = text_sql(
+    """'{"streams": ['""", """CASE WHEN p_size % 4 = 0 THEN '{"codec_type": "audio", "codec_name": "aac"}, ' ELSE '' END""", """'{"codec_type": "video", "width": '""", "{p_size * 32}", """', "height": '""", "{p_size * 18}",
+    """', "r_frame_rate": "' || CASE p_size % 5 WHEN 0 THEN '0/0' WHEN 1 THEN '30000/1001' ELSE '25/1' END || '"'""", """CASE WHEN p_size % 2 = 0 THEN ', "nb_frames": "'""", "{p_size * 100}", """'"' ELSE ', "duration": "'""", "{p_size}", """'.5"' END""",
+    """CASE p_size % 3 WHEN 0 THEN ', "tags": {"rotate": "90"}' WHEN 1 THEN ', "tags": {"rotate": "180", "k": "v"}' ELSE '' END || '}'""", """CASE WHEN p_partkey % 2 = 0 THEN ', {"codec_type": "video", "width": 1, "height": 2}' ELSE '' END""", """CASE WHEN p_partkey % 97 = 0 THEN '' ELSE ']}' END""",
+)
+
+
+@query(f"""WITH docs AS (SELECT p_partkey AS id, {_JSON} AS t FROM part), s AS (SELECT id, unnest(range(json_array_length(t, '$.streams')::BIGINT)) AS place, t FROM docs WHERE json_valid(t)),
 e AS (SELECT id, place, json_extract(t, '$.streams[' || place || ']') AS s FROM s), k AS (SELECT id, s->>'codec_type' AS codec_type, arg_min(s, place) AS s FROM e GROUP BY ALL),
 v AS (SELECT id, (s->>'width')::BIGINT AS w, (s->>'height')::BIGINT AS h, (s->>'$.tags.rotate') IN ('90', '270') AS r, s->>'r_frame_rate' AS rate, (s->>'nb_frames')::BIGINT AS n, (s->>'duration')::DOUBLE AS d FROM k WHERE codec_type = 'video'),
 f AS (SELECT *, CASE WHEN split_part(rate, '/', 2)::DOUBLE = 0 THEN 25 ELSE split_part(rate, '/', 1)::DOUBLE / split_part(rate, '/', 2)::DOUBLE END AS fps FROM v)
 SELECT id, CASE WHEN coalesce(r, false) THEN h ELSE w END AS width, CASE WHEN coalesce(r, false) THEN w ELSE h END AS height, round(fps, 6) AS rate, coalesce(n, floor(d * fps)::BIGINT) AS frames FROM f""")
 def probe_first_stream(spark, sf_dir):
-    docs = spark.sql(f"SELECT * FROM VALUES {_JSON_TABLE} AS d(id, t)")
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(_JSON).alias("t"))
     width, height, rate, count = probe.video_facts(F.col("s"))
     return probe.streams_json(docs, "t").where("codec_type = 'video'").select("id", width, height, F.round(rate, 6).alias("rate"), count)
 
 
-_XML = '<ffprobe><streams><stream codec_type="video" codec_name="h264" width="1920" height="1080" r_frame_rate="30/1"/><stream codec_type="video" codec_name="mjpeg" width="10" height="20" r_frame_rate="0/0"><tag key="rotate" value="90"/></stream><stream codec_type="audio" codec_name="aac"/></streams></ffprobe>'
+#: The same as XML, with one or two video streams and with or without audio.
+XML = text_sql(
+    """'<ffprobe><streams><stream codec_type="video" codec_name="'""", "p_brand", """'" width="'""", "{p_size * 32}", """'" height="18" r_frame_rate="30/1"/>'""",
+    """CASE WHEN p_size % 2 = 0 THEN '<stream codec_type="video" codec_name="mjpeg" width="10" height="20" r_frame_rate="0/0"><tag key="rotate" value="90"/></stream>' ELSE '' END""",
+    """CASE WHEN p_size % 3 = 0 THEN '' ELSE '<stream codec_type="audio" codec_name="aac"/>' END""", """'</streams></ffprobe>'""",
+)
 
 
 def xml_sql(table: str) -> str:
@@ -199,21 +211,33 @@ a AS (SELECT id, place, regexp_extract(s, 'codec_type="([^"]*)"', 1) AS codec_ty
 k AS (SELECT id, codec_type, arg_max(codec_name, place) AS codec_name, last(width ORDER BY place) AS width, count(*) AS n FROM a GROUP BY id, codec_type)"""
 
 
-@query(f"WITH {xml_sql(f"SELECT 0, '{_XML}'")} SELECT id, codec_type, codec_name, width FROM k")
+_XML_SQL = xml_sql(f"SELECT p_partkey, {XML} FROM part")
+
+
+def _xml_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(XML).alias("t"))
+
+
+@query(f"WITH {_XML_SQL} SELECT id, codec_type, codec_name, width FROM k")
 def probe_xml_last(spark, sf_dir):
-    docs = spark.sql(f"SELECT 0 AS id, '{_XML}' AS t")
-    return probe.streams_xml(docs, "t").select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
+    return probe.streams_xml(_xml_probes(spark, sf_dir), "t").select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
 
 
-_LINES = "(0, '[Other]'), (1, 'a=1'), (2, '[General]'), (3, 'a=true'), (4, 'b = False'), (5, 'c=3'), (6, 'd=3.0'), (7, 'e=2.5'), (8, 'f='), (9, 'g=some text'), (10, 'h=/a/b.c'), (11, 'c=4'), (12, '[End]'), (13, 'z=9')"
+#: The lines of an options file about each part.
+_LINES = [
+    "'[Other]'", "'size=1'", "'[General]'", text_sql("'size = '", "{p_size}"), "CASE WHEN p_size % 2 = 0 THEN 'flag=true' ELSE 'flag = False' END", text_sql("'ratio='", "{p_size}", "CASE WHEN p_size % 4 = 0 THEN '.0' ELSE '.25' END"),
+    "'empty='", "'name=' || p_name", text_sql("CASE WHEN p_size % 3 = 0 THEN 'size=' ELSE 'more=' END", "{p_size + 1000}"), "'path=/a/b.c'", "'[End]'", "'size=9'",
+]
 
 
-@query(f"""WITH l(place, line) AS (VALUES {_LINES}),
-s AS (SELECT *, last_value(nullif(regexp_extract(line, '^\\[(.+)\\]$', 1), '') IGNORE NULLS) OVER (ORDER BY place) AS section FROM l),
-o AS (SELECT trim(split_part(line, '=', 1)) AS name, arg_max(trim(split_part(line, '=', 2)), place) AS value FROM s WHERE section = 'General' AND contains(line, '=') GROUP BY 1)
-SELECT name, value, CASE WHEN lower(value) IN ('true', 'false') THEN 'bool' WHEN try_cast(value AS DOUBLE) IS NULL THEN 'string' WHEN try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE)) THEN 'int' ELSE 'float' END AS kind FROM o""")
+@query(f"""WITH f AS (SELECT p_partkey, [{', '.join(_LINES)}] AS lines FROM part), l AS (SELECT p_partkey, unnest(range(len(lines))) AS place, lines FROM f), t AS (SELECT p_partkey, place, lines[place + 1] AS line FROM l),
+s AS (SELECT *, last_value(nullif(regexp_extract(line, '^\\[(.+)\\]$', 1), '') IGNORE NULLS) OVER (PARTITION BY p_partkey ORDER BY place) AS section FROM t),
+o AS (SELECT p_partkey, trim(split_part(line, '=', 1)) AS name, arg_max(trim(split_part(line, '=', 2)), place) AS value FROM s WHERE section = 'General' AND contains(line, '=') GROUP BY ALL HAVING true)
+SELECT p_partkey, name, value, CASE WHEN lower(value) IN ('true', 'false') THEN 'bool' WHEN try_cast(value AS DOUBLE) IS NULL THEN 'string' WHEN try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE)) THEN 'int' ELSE 'float' END AS kind FROM o""")
 def config_coerce(spark, sf_dir):
-    return probe.options(spark.sql(f"SELECT * FROM VALUES {_LINES} AS l(place, line)"), "line", "place")
+    """The options of a file for each part."""
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.posexplode(F.array(*[F.expr(x) for x in _LINES])).alias("place", "line"))
+    return probe.options(lines, "line", "place", ["p_partkey"])
 
 
 @query("SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events")

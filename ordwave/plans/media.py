@@ -8,8 +8,8 @@ from ..functions import arrays, rules, scalars
 from ..operators import chunks, dedup, fill, relate, scenes
 from ..operators.sequences import positions, slice_width, value_at, with_neighbour
 from ..sources import probe
-from ..sources.scratch import scratch_dir, written
-from .catalog import CUT, GAP, STEP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, xml_sql
+from ..sources.scratch import remove_at_exit, scratch_dir, written
+from .catalog import CUT, GAP, STEP, _events, _GRID, _MEASURED, _placed, _PLACED, _resampled, query, XML, xml_sql
 
 
 
@@ -119,35 +119,32 @@ def progress(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("user_id").agg(F.round(share, 6).alias("share"), short.alias("short"))
 
 
-_XML_DOCS = [
-    '<ffprobe><streams><stream codec_type="video" codec_name="h264" width="1920" height="1080" r_frame_rate="30/1"/><stream codec_type="video" codec_name="mjpeg" width="10" height="20" r_frame_rate="0/0"/><stream codec_type="audio" codec_name="aac"/></streams></ffprobe>',
-    '<ffprobe><streams><stream codec_type="video" codec_name="hevc" width="640" height="480" r_frame_rate="24/1"/><stream codec_type="audio" codec_name="ac3"/></streams></ffprobe>', "<broken",
-]
-_XML_TABLE = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_XML_DOCS))
-_XML_SQL = xml_sql(f"VALUES {_XML_TABLE}")
+#: XML probes of parts, some of them broken.
+_SOME_BROKEN = f"CASE WHEN p_partkey % 89 = 0 THEN '<broken' ELSE {XML} END"
+_XML_SQL = xml_sql(f"SELECT p_partkey, {_SOME_BROKEN} FROM part")
 
 
-def _xml(spark):
-    return spark.sql(f"SELECT * FROM VALUES {_XML_TABLE} AS d(id, t)")
+def _xml(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(_SOME_BROKEN).alias("t"))
 
 
 @query(f"WITH {_XML_SQL} SELECT id, codec_type, codec_name, width FROM k")
 def probe_xml_streams(spark, sf_dir):
-    return probe.streams_xml(_xml(spark), "t").select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
+    return probe.streams_xml(_xml(spark, sf_dir), "t").select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
 
 
 @query(f"WITH {_XML_SQL} SELECT id, codec_type, codec_name, width FROM k WHERE id NOT IN (SELECT id FROM k WHERE n > 1)")
 def probe_xml_guarded(spark, sf_dir):
-    return probe.streams_xml(_xml(spark), "t", guard=True).select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
+    return probe.streams_xml(_xml(spark, sf_dir), "t", guard=True).select("id", "codec_type", F.col("s._codec_name").alias("codec_name"), F.col("s._width").alias("width"))
 
 
 
 
-@query("""WITH k AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 1 THEN 'video' ELSE 'audio' END AS codec_type, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 7 = 0)
-SELECT l_orderkey, codec_type, arg_max(l_partkey, l_linenumber) AS width, arg_max(l_quantity::INT::VARCHAR, l_linenumber) AS nb_frames FROM (SELECT l_orderkey, codec_type, l_linenumber, max(l_partkey) AS l_partkey, arg_max(l_quantity, l_partkey) AS l_quantity FROM k GROUP BY ALL HAVING true) GROUP BY l_orderkey, codec_type""")
+@query("""WITH k AS (SELECT l_orderkey, CASE WHEN l_linenumber % 2 = 1 THEN 'video' ELSE 'audio' END AS codec_type, l_linenumber, l_partkey, l_quantity FROM lineitem)
+SELECT l_orderkey, codec_type, arg_max(l_partkey, l_linenumber) AS width, arg_max(l_quantity::INT::VARCHAR, l_linenumber) AS nb_frames FROM (SELECT l_orderkey, codec_type, l_linenumber, max(l_partkey) AS l_partkey, arg_max(l_quantity, l_partkey * 1000 + l_quantity) AS l_quantity FROM k GROUP BY ALL HAVING true) GROUP BY l_orderkey, codec_type""")
 def probe_json_last(spark, sf_dir):
     """Documents of streams made from an order's lines; the last stream of each kind counts."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 7 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max_by("l_quantity", "l_partkey").alias("l_quantity"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct("l_partkey", "l_quantity")).alias("l")).select("l_orderkey", "l_linenumber", "l.*")
     stream = F.struct(F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 1, "video").otherwise("audio").alias("codec_type"), F.col("l_partkey").alias("width"), F.col("l_quantity").cast("int").cast("string").alias("nb_frames"))
     docs = lines.groupBy("l_orderkey").agg(F.to_json(F.struct(F.sort_array(F.collect_list(stream)).alias("streams"))).alias("t"))
     return probe.streams_json(docs, "t", last=True).select("l_orderkey", "codec_type", F.col("s.width").alias("width"), F.col("s.nb_frames").alias("nb_frames"))
@@ -346,11 +343,12 @@ def _bytes(a):
     return F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
 
 
-@query("SELECT (k // 2 * 2 + c) AS frame_no, lpad(vec_id::VARCHAR, 8, '0') || '.png' AS name, 64::BIGINT AS size FROM (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) * 2 AS k FROM embeddings WHERE vec_id % 10 = 0), range(2) r(c) WHERE k // 2 * 2 + c >= 3")
+@query("SELECT (k // 2 * 2 + c) AS frame_no, lpad(vec_id::VARCHAR, 8, '0') || '.png' AS name, 64::BIGINT AS size FROM (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1) * 2 AS k FROM embeddings), range(2) r(c) WHERE k // 2 * 2 + c >= 3")
 def image_sequence(spark, sf_dir):
     """Frames written as a folder of numbered images, and the folder read again, each image twice, from frame 3 on."""
-    frames = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 10 = 0").select("vec_id", _bytes(F.transform(arrays.doubles(F.col("embedding")), lambda x: F.floor((x + 1) * 127.5))).alias("px"))
+    frames = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", _bytes(F.transform(arrays.doubles(F.col("embedding")), lambda x: F.floor((x + 1) * 127.5))).alias("px"))
     folder = scratch_dir(spark)
+    remove_at_exit(spark, folder)
     probe.write_images(frames, folder, "vec_id", "px").agg(F.sum("size")).first()
     return probe.image_folder(spark, folder, exponent=1, start=3).select("frame_no", "name", F.length("content").cast("long").alias("size"))
 

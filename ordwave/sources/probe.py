@@ -59,14 +59,15 @@ def video_facts(s: Column) -> list[Column]:
     return [F.when(turned, s["height"]).otherwise(s["width"]).alias("width"), F.when(turned, s["width"]).otherwise(s["height"]).alias("height"), rate.alias("rate"), frames.alias("frames")]
 
 
-def options(df: DataFrame, line: str, place: str) -> DataFrame:
+def options(df: DataFrame, line: str, place: str, files: list[str] | None = None) -> DataFrame:
     """name, value and kind of the options of a section [General]; the last value of a name counts. Other sections are ignored.
 
-    df is one file's lines with their places; a file of options has few lines.
+    df has the lines with their places, of one file or of those that the columns `files` tell apart. A file of options has few lines.
     """
-    section = F.last(F.nullif(F.regexp_extract(line, r"^\s*\[(.+)\]\s*$", 1), F.lit("")), ignorenulls=True).over(Window.orderBy(place))
-    rows = df.select(section.alias("section"), place, F.regexp_extract(line, r"^\s*([^=\[;#]+?)\s*=", 1).alias("name"), F.regexp_extract(line, r"=\s*(.*?)\s*$", 1).alias("value"))
-    found = rows.where("section = 'General' and name != ''").groupBy("name").agg(F.max_by("value", place).alias("value"))
+    files = files or []
+    section = F.last(F.nullif(F.regexp_extract(line, r"^\s*\[(.+)\]\s*$", 1), F.lit("")), ignorenulls=True).over(Window.partitionBy(*files).orderBy(place))
+    rows = df.select(*files, section.alias("section"), place, F.regexp_extract(line, r"^\s*([^=\[;#]+?)\s*=", 1).alias("name"), F.regexp_extract(line, r"=\s*(.*?)\s*$", 1).alias("value"))
+    found = rows.where("section = 'General' and name != ''").groupBy(*files, "name").agg(F.max_by("value", place).alias("value"))
     return found.withColumn("kind", option_kind(F.col("value")))
 
 

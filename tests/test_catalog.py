@@ -87,9 +87,31 @@ def test_dedup_qframe(spark):
     assert {(r["user_id"], r["pos"], r["kept"]) for r in catalog.dedup_qframe(spark, SF).collect()} == want
 
 
-def test_probe_xml(spark):
-    rows = {(r["codec_type"], r["codec_name"], r["width"]) for r in catalog.probe_xml_last(spark, SF).collect()}
-    assert rows == {("video", "mjpeg", 10), ("audio", "aac", None)}
+def test_probes_of_single_documents(spark):
+    """The first or last stream of a kind, turned frames, unknown rates, doubled kinds, options of one file."""
+    from pyspark.sql import functions as F
+
+    from ordwave.sources import probe
+
+    xml = '<ffprobe><streams><stream codec_type="video" codec_name="h264" width="1920"/><stream codec_type="video" codec_name="mjpeg" width="10"/><stream codec_type="audio" codec_name="aac"/></streams></ffprobe>'
+    docs = spark.createDataFrame([(0, xml), (1, "<broken"), (2, None)], "id int, t string")
+    rows = [(r["id"], r["codec_type"], r["s"]["_codec_name"], r["s"]["_width"]) for r in probe.streams_xml(docs, "t").collect()]
+    assert sorted(rows) == [(0, "audio", "aac", None), (0, "video", "mjpeg", 10)]
+    assert probe.streams_xml(docs, "t", guard=True).count() == 0 or {r["codec_type"] for r in probe.streams_xml(docs, "t", guard=True).collect()} == {"audio"}
+    texts = ['{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":1920,"height":1080,"r_frame_rate":"24000/1001","nb_frames":"240"},{"codec_type":"video","width":1}]}', '{"streams":[{"codec_type":"video","width":640,"height":480,"r_frame_rate":"0/0","duration":"10.5","tags":{"rotate":"90"}}]}', "{"]
+    found = probe.streams_json(spark.createDataFrame(enumerate(texts), "id int, t string"), "t").where("codec_type = 'video'").select("id", *probe.video_facts(F.col("s")))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 1920, 1080, pytest.approx(24000 / 1001), 240), (1, 480, 640, 25.0, 262)]
+    lines = ["[Other]", "a=1", "[General]", "a=true", "b = False", "c=3", "d=3.0", "e=2.5", "f=", "g=some text", "c=4", "[End]", "z=9"]
+    options = probe.options(spark.createDataFrame(enumerate(lines), "place int, line string"), "line", "place").collect()
+    assert {r["name"]: (r["value"], r["kind"]) for r in options} == {"a": ("true", "bool"), "b": ("False", "bool"), "c": ("4", "int"), "d": ("3.0", "int"), "e": ("2.5", "float"), "f": ("", "string"), "g": ("some text", "string")}
+
+
+def test_one_image_is_a_folder_of_one(spark, tmp_path):
+    from ordwave.sources import probe
+
+    (tmp_path / "one.png").write_bytes(b"abc")
+    rows = probe.image_folder(spark, str(tmp_path / "one.png"), exponent=1).orderBy("frame_no").collect()
+    assert [(r["frame_no"], r["name"], bytes(r["content"])) for r in rows] == [(0, "one.png", b"abc"), (1, "one.png", b"abc")]
 
 
 @pytest.mark.parametrize("arrow", [7, 10_000])
