@@ -213,12 +213,35 @@ def area_weights(n: int, m: int) -> np.ndarray:
     return np.clip(np.minimum(hi, pixel + 1) - np.maximum(lo, pixel), 0, None) * m / n
 
 
-def resize_area(h: int, w: int, to_h: int, to_w: int):
-    """A pandas UDF of a frame: resized, each new pixel the mean of the area it covers."""
-    rows, columns = area_weights(h, to_h), area_weights(w, to_w)
+#: Fixed value of the usual cubic kernel: its slope at one pixel from the middle.
+CUBIC = -0.75
+
 
+def cubic_weights(n: int, m: int) -> np.ndarray:
+    """How much of each of n pixels each of m pixels over the same length takes from the four around its middle; pixels beyond the ends are the last ones."""
+    middle = (np.arange(m) + 0.5) * n / m - 0.5
+    first = np.floor(middle).astype(int)
+    out = np.zeros((m, n))
+    for step in (-1, 0, 1, 2):
+        d = np.abs(middle - (first + step))
+        near, far = ((CUBIC + 2) * d - (CUBIC + 3)) * d * d + 1, ((CUBIC * d - 5 * CUBIC) * d + 8 * CUBIC) * d - 4 * CUBIC
+        np.add.at(out, (np.arange(m), np.clip(first + step, 0, n - 1)), np.where(d <= 1, near, np.where(d < 2, far, 0)))
+    return out
+
+
+def _resized(h: int, w: int, rows: np.ndarray, columns: np.ndarray):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def resized(px: pd.Series) -> pd.Series:
         return flat(rows @ stack(px, h, w) @ columns.T)
 
     return resized
+
+
+def resize_area(h: int, w: int, to_h: int, to_w: int):
+    """A pandas UDF of a frame: resized, each new pixel the mean of the area it covers."""
+    return _resized(h, w, area_weights(h, to_h), area_weights(w, to_w))
+
+
+def resize_cubic(h: int, w: int, to_h: int, to_w: int):
+    """A pandas UDF of a frame: resized by cubic weights of the 4 x 4 pixels around each new one."""
+    return _resized(h, w, cubic_weights(h, to_h), cubic_weights(w, to_w))

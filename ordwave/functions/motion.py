@@ -144,6 +144,27 @@ def warped(h: int, w: int):
     return sampled
 
 
+def scale_of_motion(h: int, w: int, limit: float, estimate: Estimate = block_flow):
+    """A pandas UDF of two frames: 1, 0.5 or 0.25.
+
+    The scale is halved where the largest step of the flow exceeds the limit both forward and
+    backward: of the frames as they are, and once more of the halved frames, whose steps count double.
+    """
+
+    def steps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.minimum(np.abs(estimate(p, q)).max((1, 2, 3)), np.abs(estimate(q, p)).max((1, 2, 3)))
+
+    @F.pandas_udf(T.DoubleType())
+    def scale(a: pd.Series, b: pd.Series) -> pd.Series:
+        p, q = stack(a, h, w), stack(b, h, w)
+        if not len(p):
+            return pd.Series([], dtype=float)
+        full, half = steps(p, q), 2 * steps(halved(p), halved(q))
+        return pd.Series(np.where(full <= limit, 1.0, np.where(half <= limit, 0.5, 0.25)))
+
+    return scale
+
+
 def flow_distance(h: int, w: int, estimate: Estimate = block_flow):
     """A pandas UDF of two frames: how far pixels move between them, the same in both orders.
 

@@ -144,6 +144,26 @@ def area_resize(spark, sf_dir):
     return made.select("vec_id", F.round(arrays.weighted("px"), 5).alias("weighted"))
 
 
+def _cubic_sql(m: int) -> str:
+    """(o, i, wt) of cubic weights from 8 pixels to m."""
+    a, d = grids.CUBIC, "abs(c - (floor(c) + k))"
+    weight = f"CASE WHEN {d} <= 1 THEN (({a + 2} * {d} - {a + 3}) * {d} * {d} + 1) WHEN {d} < 2 THEN (({a} * {d} - {5 * a}) * {d} + {8 * a}) * {d} - {4 * a} ELSE 0 END"
+    return f"SELECT o, least(greatest(floor(c) + k, 0), 7) AS i, sum({weight}) AS wt FROM (SELECT o, (o + 0.5::DOUBLE) * 8 / {m} - 0.5 AS c FROM range({m}) a(o)), (VALUES (-1), (0), (1), (2)) b(k) GROUP BY ALL HAVING true"
+
+
+@query(f"""WITH {_PIXELS}, r AS ({_cubic_sql(13)}), c AS ({_cubic_sql(5)})
+SELECT vec_id, round(sum(v * r.wt * c.wt * (r.o * 5 + c.o + 1)), 5) AS weighted FROM pixels p JOIN r ON r.i = p.y JOIN c ON c.i = p.x GROUP BY vec_id""")
+def cubic_resize(spark, sf_dir):
+    made = _vectors(spark, sf_dir).select("vec_id", grids.resize_cubic(8, 8, 13, 5)(_px()).alias("px"))
+    return made.select("vec_id", F.round(arrays.weighted("px"), 5).alias("weighted"))
+
+
+@query()
+def motion_scale(spark, sf_dir):
+    """The scale at which neighbours are worked on, by the largest flow between them at full and at half size."""
+    return _pairs(spark, sf_dir, _px()).select("vec_id", motion.scale_of_motion(8, 8, 1.5)("prev", "px").alias("scale"))
+
+
 @query()
 def canny_edges(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", grids.canny(8, 8)(_px()).alias("edges"))

@@ -117,6 +117,31 @@ def test_flow_distance(spark):
     assert got[0] == pytest.approx(got[1]) and got[0] > 9 and got[2] == 0
 
 
+def test_scale_of_motion(spark):
+    """Still frames at full scale; a shift within the estimate's reach of the frames alone at half; one that halving still shows at a quarter; one direction alone counts nothing."""
+    whole = texture(80, 80, seed=3)
+    cut = lambda d: whole[20 - d : 52 - d, 20:52]
+    frames = {"still": (cut(0), cut(0)), "small": (cut(0), cut(1)), "large": (cut(0), cut(4))}
+    df = spark.createDataFrame([(k, a.ravel().tolist(), b.ravel().tolist()) for k, (a, b) in frames.items()], "k string, a array<double>, b array<double>")
+    step = lambda a, b: min(np.abs(motion.block_flow(x[None], y[None])).max() for x, y in ((a, b), (b, a)))
+    for limit in (0.5, 1.5, 3.5):
+        got = {r["k"]: r["s"] for r in df.select("k", motion.scale_of_motion(32, 32, limit)("a", "b").alias("s")).collect()}
+        small = lambda f: motion.halved(f[None])[0]
+        assert got == {k: 1.0 if step(a, b) <= limit else 0.5 if 2 * step(small(a), small(b)) <= limit else 0.25 for k, (a, b) in frames.items()}
+        assert got["still"] == 1.0
+    assert df.where("k = ''").select(motion.scale_of_motion(32, 32, 1.0)("a", "b")).count() == 0
+
+
+def test_cubic_weights():
+    from ordwave.functions import grids
+
+    for n, m in ((8, 13), (8, 5), (5, 5), (1, 4), (30, 3)):
+        assert grids.cubic_weights(n, m).sum(1) == pytest.approx(np.ones(m))
+    assert grids.cubic_weights(6, 6) == pytest.approx(np.eye(6))
+    line = grids.cubic_weights(20, 40) @ np.arange(20.0)
+    assert line[6:-6] == pytest.approx((np.arange(40)[6:-6] + 0.5) / 2 - 0.5, abs=0.1)
+
+
 # --- noise
 
 
