@@ -159,6 +159,10 @@ def test_one_of_each(which, request):
 @pytest.mark.parametrize("which", ["edge", "small"])
 def test_byte_bpe(which, request):
     df = request.getfixturevalue(which)
+    monkeypatch.setattr(exchange, "DIRECT", 20)
+    got, want = substring_result(edge, docs, group_bytes=4_000)  # some hundred groups, whose relays' spans do not divide the buckets
+    assert got == want
+    monkeypatch.setattr(exchange, "DIRECT", 2)
     encoder = byte_bpe._encoder(RANKS, public_tokenizers.PATTERN)
     got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in byte_bpe.decode(byte_bpe.encode(df, RANKS, public_tokenizers.PATTERN, group_bytes=50_000), RANKS).collect())
     want = Counter()
@@ -445,6 +449,17 @@ def test_matroska_round_trip(spark, sf, small):
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), brute.sha(media)) and "whole=true" in r["feature"]
 
 
+def test_matroska_of_null_and_empty_texts(spark, tmp_path):
+    """A null text is empty, and an empty one is stored as 64 zeros; equal texts have equal values."""
+    rows = [(1, None), (2, ""), (3, "x" * 64), (4, "x" * 65), (None, "é"), (5, "é")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r.asDict() for r in queries.op7_matroska(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and [got[d]["payload_bytes"] for d in (1, 2, 3, 4, 5, None)] == [64, 64, 64, 128, 64, 64]
+    assert got[1]["payload_sha256"] == brute.sha(bytes(64)) and got[4]["payload_sha256"] == brute.sha(b"x" * 65 + bytes(63))
+    for a, b in ((1, 2), (5, None)):
+        assert {k: v for k, v in got[a].items() if k != "doc_id"} == {k: v for k, v in got[b].items() if k != "doc_id"}
+
+
 def test_matroska_lacing_sizes_and_damage(spark):
     frames = [b"a" * 3, b"b" * 700, b"", b"c" * 255, b"d" * 70000]
     for mode in ("xiph", "ebml"):
@@ -661,6 +676,9 @@ def test_chat_sql(spark):
 
 def test_empty_tables(spark, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
+    assert ngram_join.one_of_each(empty).count() == 0
+    members, links = ngram_join.jaccard_links(empty, carry=["kept"])
+    assert members.columns == ["doc_id", "set_id", "kept"] and members.count() == links.count() == 0
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     assert packing.pack_documents(empty, WORDS).count() == 0
     assert quality.quality(empty).count() == 0
