@@ -18,16 +18,18 @@ from ..sources.scratch import written
 BLOCK, FAN = 1 << 16, 256
 
 
-def positions(df: DataFrame, seq: str, order: str | list[str], width: int = BLOCK) -> DataFrame:
+def positions(df: DataFrame, seq: str, order: str | list[str], width: int | None = BLOCK) -> DataFrame:
     """Adds pos, the place of each row in its sequence from 0.
 
     `order` is an integer column, or a list of one and of columns that break its ties; together they
     should tell all rows of a sequence apart, so that places are the same whenever they are computed.
     Rows are numbered within slices of `width` values of the integer, which should hold many rows
-    each; the rows of earlier slices are added from a table with one row per slice. Rows with a null
-    key or integer are left out.
+    each; the rows of earlier slices are added from a table with one row per slice. For an order that
+    is not dense, such as a time stamp, `width` None looks at its range and number of rows first, so
+    that slices hold about BLOCK rows of the table. Rows with a null key or integer are left out.
     """
     first, *ties = [order] if isinstance(order, str) else order
+    width = width or slice_width(df, first)
     sliced = df.where(F.col(seq).isNotNull() & F.col(first).isNotNull()).withColumn("__slice", F.floor(F.col(first) / width))
     earlier = Window.partitionBy(seq).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy(seq, "__slice").agg(F.count("*").alias("n")).select(seq, "__slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))

@@ -283,10 +283,12 @@ def interleave_split(spark, sf_dir):
     return split.select("vec_id", "piece", F.round(arrays.weighted("px"), 6).alias("px_weighted"))
 
 
-@query("SELECT vec_id, true AS same FROM embeddings")
+@query(f"WITH {_PIXELS} SELECT vec_id, round(sum(v * (i + 1)), 5) AS weighted, round(sum(v * (x + 1)) FILTER (y = 3), 6) AS row_three FROM pixels GROUP BY vec_id")
 def interleave_roundtrip(spark, sf_dir):
-    split = _vectors(spark, sf_dir).select("vec_id", _px().alias("px")).withColumn("pieces", arrays.split_pieces(F.col("px"), 8, 2, 4))
-    return split.select("vec_id", (arrays.sew_pieces(F.col("pieces"), 8, 8, 2, 4) == F.col("px")).alias("same"))
+    """Frames split into interleaved pieces and sewn together: every pixel is in its place again."""
+    split = _vectors(spark, sf_dir).select("vec_id", arrays.split_pieces(_px(), 8, 2, 4).alias("pieces"))
+    sewn = split.select("vec_id", arrays.sew_pieces(F.col("pieces"), 8, 8, 2, 4).alias("px"))
+    return sewn.select("vec_id", F.round(arrays.weighted("px"), 5).alias("weighted"), F.round(arrays.weighted(F.slice("px", 25, 8)), 6).alias("row_three"))
 
 
 @query(f"""WITH {_PIXELS}, t AS (SELECT a::INT AS ty, b::INT AS tx FROM range(3) r(a), range(3) s(b))

@@ -121,7 +121,7 @@ def rolling_view(spark, sf_dir):
     return seen.select("vec_id", "w.y", "w.x", F.round(arrays.weighted("w.px"), 6).alias("weighted"))
 
 
-@query("SELECT vec_id, true AS same FROM embeddings")
+@query(f"WITH {_PIXELS} SELECT vec_id, round(sum(v * (i + 1)), 5) AS weighted, round(sum(v * (y + 1)) FILTER (x = 4), 6) AS column_four FROM pixels GROUP BY vec_id")
 def tile_roundtrip(spark, sf_dir):
     """Tiles read with a halo, trimmed, and put together again from a row for each tile."""
     cut = frames.tiles(_vectors(spark, sf_dir), "embedding", 8, 8, 4, pad=1)
@@ -130,8 +130,9 @@ def tile_roundtrip(spark, sf_dir):
     pieces = cut.select("vec_id", (F.col("ty") * 2 + F.col("tx")).alias("piece"), inner.alias("px"))
     whole = relate.zip_pieces(pieces, ["vec_id"], "piece", "px")
     at = lambda v, i: F.element_at(F.element_at(v, (F.floor(i / 32) * 2 + F.floor(F.pmod(i, F.lit(8)) / 4) + 1).cast("int")), (F.pmod(F.floor(i / 8), F.lit(4)) * 4 + F.pmod(i, F.lit(4)) + 1).cast("int"))
-    sewn = whole.withColumn("sewn", arrays.let(F.col("px"), lambda v: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: at(v, i)))).select("vec_id", "sewn")
-    return _vectors(spark, sf_dir).select("vec_id", _px().alias("px")).join(sewn, "vec_id").select("vec_id", (F.col("sewn") == F.col("px")).alias("same"))
+    sewn = whole.withColumn("sewn", arrays.let(F.col("px"), lambda v: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: at(v, i)))).select("vec_id", arrays.doubles("sewn").alias("sewn"))
+    column = F.filter("sewn", lambda _, i: F.pmod(i, F.lit(8)) == 4)
+    return sewn.select("vec_id", F.round(arrays.weighted("sewn"), 5).alias("weighted"), F.round(arrays.weighted(column), 6).alias("column_four"))
 
 
 _COVER = "greatest(0, least((o + 1) * 8 / {m}.0, {i} + 1) - greatest(o * 8 / {m}.0, {i})) * {m} / 8.0"

@@ -152,6 +152,18 @@ def test_ties_of_order(spark):
     assert {(r["s"], r["name"]): r["pos"] for r in got} == {(1, "z"): 0, (1, "a"): 1, (1, "b"): 2, (2, "q"): 0}
 
 
+def test_positions_of_sparse_orders(spark, monkeypatch):
+    """Time stamps far apart: slices are as wide as they need to be to hold many rows."""
+    monkeypatch.setattr(sequences, "BLOCK", 50)
+    rows = [(i % 3, 1_700_000_000_000_000 + i * 7_000_000, i) for i in range(300)] + [(1, None, -1), (None, 5, -2)]
+    df = spark.createDataFrame(rows, "s int, o long, i int")
+    width = sequences.slice_width(df.where("s is not null"), "o", 50)
+    assert 40 * 7_000_000 < width < 60 * 7_000_000
+    got = {r["i"]: r["pos"] for r in sequences.positions(df, "s", "o", None).collect()}
+    assert got == {i: i // 3 for i in range(300)}
+    assert sequences.positions(df.where("s > 5"), "s", "o", None).count() == 0
+
+
 def test_fill_takes_a_pandas_udf(placed, rows):
     """A model in place of the linear blend: it sees both ends and the time, in Arrow batches."""
     import pandas as pd
