@@ -93,8 +93,25 @@ def fill_with(placed: DataFrame, seq: str, value: str, n: Column, generate: Call
     return ahead.mapInPandas(run, schema)
 
 
+def following(runs: DataFrame, seq: str, columns: list[str]) -> DataFrame:
+    """Adds next_<column> of the run after each of runs(seq, run, n, ...), null after a sequence's last.
+
+    A run's rows lie at run .. run + n, so the next one begins at run + n + 1: it is found by that key,
+    without places or windows.
+    """
+    after = runs.select(F.col(seq).alias("__seq"), F.col("run").alias("__run"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    return runs.join(after, (F.col(seq) == F.col("__seq")) & (F.col("run") + F.col("n") + 1 == F.col("__run")), "left").drop("__seq", "__run")
+
+
+def fill_runs(runs: DataFrame, seq: str, value: str, blend: Callable[[Column, Column, Column], Column] = linear) -> DataFrame:
+    """Each run's anchor (sub_no 0) and a row for each that it absorbed, blended towards the next anchor; a sequence's last run repeats its own."""
+    rows = following(runs, seq, [value]).withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
+    made = blend(F.col(value), F.coalesce(f"next_{value}", value), F.col("sub_no") / (F.col("n") + 1))
+    return rows.withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(made)).drop(f"next_{value}")
+
+
 def fill_scenes(runs: DataFrame, seq: str, value: str, mix: bool = False, blend: Callable[[Column, Column, Column], Column] = linear) -> DataFrame:
-    """Fills the gaps of runs(seq, pos, run, n, first, last, value, scene), as many rows out as the runs had, without blending across scenes.
+    """Fills the gaps of runs(seq, run, n, first, last, value, scene), as many rows out as the runs had, without blending across scenes.
 
     A run has its anchor's value, the n rows that it absorbed, and the values of the first and last of
     them; its rows lie at run .. run + n. Rows between two anchors of one scene are blended. A run
@@ -102,11 +119,10 @@ def fill_scenes(runs: DataFrame, seq: str, value: str, mix: bool = False, blend:
     between are blended from its anchor to that row, which is repeated as it is; with `mix` they fade
     into the scene's first row. The last run of a sequence leads to its last absorbed row.
     """
-    ahead = with_neighbour(with_neighbour(runs, seq, value, "__next", step=1), seq, "scene", "__cut", step=1)
-    rows = ahead.withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
-    held = F.coalesce("__cut", F.lit(False)) & F.lit(not mix)
-    target = F.when(F.col("__next").isNull(), F.col("last")).when(held, F.col("first")).otherwise(F.col("__next"))
-    steps = F.when(F.col("__next").isNotNull() & held, F.greatest("n", F.lit(1))).otherwise(F.col("n") + 1)
+    rows = following(runs, seq, [value, "scene"]).withColumn("sub_no", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))))
+    ahead, held = F.col(f"next_{value}"), F.coalesce("next_scene", F.lit(False)) & F.lit(not mix)
+    target = F.when(ahead.isNull(), F.col("last")).when(held, F.col("first")).otherwise(ahead)
+    steps = F.when(ahead.isNotNull() & held, F.greatest("n", F.lit(1))).otherwise(F.col("n") + 1)
     made = blend(F.col(value), F.col("__target"), F.col("sub_no") / F.col("__steps"))
     filled = rows.withColumn("__target", target).withColumn("__steps", steps.cast("double")).withColumn(value, F.when(F.col("sub_no") == 0, F.col(value)).otherwise(made))
-    return filled.drop("__next", "__cut", "__target", "__steps")
+    return filled.drop(f"next_{value}", "next_scene", "__target", "__steps")

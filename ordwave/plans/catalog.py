@@ -439,7 +439,6 @@ def interp_pipeline(spark, sf_dir):
     runs = dedup.dedup_anchor(grid, "user_id", "value", 30.0, 8, ["t", "value"])
     # an anchor's gap: how far the run's last row is, which is the `absorbed` of the row before the next anchor
     size = runs.withColumn("run", F.col("pos") - F.col("absorbed")).groupBy("user_id", "run").agg(F.max("absorbed").alias("n"), F.max(F.when(F.col("kept"), F.col("value"))).alias("value"))
-    anchors = positions(size, "user_id", "run")
-    made = fill.fill(anchors, "user_id", "value", F.col("n"))
+    made = fill.fill_runs(size, "user_id", "value")
     pos = (F.col("run") + F.col("sub_no")).alias("pos")
     return made.select("user_id", pos, "sub_no", F.floor(pos / GAP).alias("chunk_id"), F.round("value", 6).alias("value"))

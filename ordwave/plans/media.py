@@ -312,7 +312,7 @@ def _scene_runs(spark, sf_dir):
     rows = with_neighbour(grid, "user_id", "value", "prev").withColumn("scene", F.coalesce(F.abs(F.col("value") - F.col("prev")) > CUT, F.lit(False)))
     runs = dedup.dedup_anchor(rows, "user_id", "value", 30.0, 8, ["value", "scene"], scene="scene").withColumn("run", F.col("pos") - F.col("absorbed"))
     size = runs.groupBy("user_id", "run").agg(F.max("absorbed").cast("int").alias("n"), F.min_by("value", F.when(F.col("absorbed") > 0, F.col("absorbed"))).alias("first"), F.max_by("value", "absorbed").alias("last"), F.min_by("value", "absorbed").alias("value"), F.min_by("scene", "absorbed").alias("scene"))
-    return positions(written(size), "user_id", "run")
+    return written(size)
 
 
 _RUNS = f"""{_GRID}, base AS (SELECT user_id, t, value, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS pos FROM resampled WHERE value IS NOT NULL),

@@ -105,7 +105,7 @@ def test_scene_aware_dedup_and_fill(placed, rows, monkeypatch):
     assert {(r["s"], r["pos"]): r["absorbed"] for r in runs.collect()} == want
     size = runs.withColumn("run", F.col("pos") - F.col("absorbed")).groupBy("s", "run").agg(F.max("absorbed").cast("int").alias("n"), F.min_by("v", F.when(F.col("absorbed") > 0, F.col("absorbed"))).alias("first"), F.max_by("v", "absorbed").alias("last"), F.min_by("v", "absorbed").alias("v"), F.min_by("scene", "absorbed").alias("scene"))
     for mix in (False, True):
-        made = fill.fill_scenes(sequences.positions(size, "s", "run"), "s", "v", mix=mix).collect()
+        made = fill.fill_scenes(size, "s", "v", mix=mix).collect()
         assert sorted((r["s"], r["run"] + r["sub_no"]) for r in made) == sorted(want)
         kept = {(r["s"], r["run"]): r["v"] for r in made if r["sub_no"] == 0}
         assert all(kept[k] == by_sequence(rows)[k[0]][k[1]] for k in kept)
