@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import itertools
 import re
 import zlib
 from array import array
@@ -30,6 +29,7 @@ STEP = 1 << 16
 
 #: White space as the rank files' pattern means it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = re.sub(r"\\u([0-9a-f]{4})|\\x([0-9a-f]{2})", lambda m: rf"\x{{{m[1] or m[2]}}}", _SPACE)  # as Arrow's expressions write it
 
 
 @functools.lru_cache(maxsize=4)
@@ -49,8 +49,9 @@ def _encoder(path: str, pattern: str):
 class Pretokens:
     """Splits texts at their single spaces, so that each distinct piece is matched once in a group.
 
-    A space between two other characters always begins a match, and what stands on either side does
-    not change how the other is matched: many pieces can be matched in one run, joined by spaces.
+    Under the pattern a space between two other characters has to begin a match always, and what
+    stands on either side not to change how the other is matched, as is so for the patterns of the
+    usual byte-level vocabularies: many pieces are then matched in one run, joined by spaces.
     """
 
     RUN = 1 << 15
@@ -60,16 +61,12 @@ class Pretokens:
 
         inner = pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.find = regex.compile(inner).findall
-        self.uneven = re.compile(rf"\A | [{_SPACE}]|[{_SPACE}](?: |\Z)").search
+        self.uneven = rf"\A | [{_WIDE}]|[{_WIDE}]( |\z)"  # white space beside a space, or at an end
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The text split at its single spaces, or None where white space meets a space or the text's end."""
-        return None if self.uneven(text) else text.split(" ")
-
-    def runs(self, pieces: set[str]):
+    def runs(self, pieces: list[str]):
         """For some pieces at a time: the pieces and the pre-tokens of each ' ' + piece, in a row."""
-        it = iter(pieces)
-        while some := list(itertools.islice(it, self.RUN)):
+        for first in range(0, len(pieces), self.RUN):
+            some = pieces[first : first + self.RUN]
             yield some, self.find(" " + " ".join(some))
 
 
@@ -78,30 +75,61 @@ def _pretokens(pattern: str) -> Pretokens:
     return Pretokens(pattern)
 
 
-def _distinct(texts: list[str | None], split: Pretokens) -> tuple[set[str], set[str]]:
-    """The distinct pre-tokens of the texts, and the distinct pieces that follow a single space."""
-    words: set[str] = set()
-    known: set[str] = set()
-    for text in texts:
-        parts = split.pieces(text or "")
-        if parts is None:
-            words.update(split.find(text))
-        else:
-            words.update(split.find(parts[0]))
-            known.update(itertools.islice(parts, 1, None))
-    for _, found in split.runs(known):
-        words.update(found)
-    return words, known
+class _Cut:
+    """Texts cut at their single spaces: `whole` has the texts in which white space meets a space or the text's end, which are not cut.
+
+    Of the others, `first` has the pieces up to the first space, `pieces` the distinct pieces after a
+    space, and `which` their numbers in the order of the texts, `times` of each text.
+    """
+
+    def __init__(self, texts: pa.ChunkedArray, split: Pretokens):
+        texts = pc.fill_null(texts.cast(pa.string()).combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
+        self.n = len(texts)
+        even = ~pc.match_substring_regex(texts, split.uneven).to_numpy(zero_copy_only=False)
+        self.whole = {int(i): texts[int(i)].as_py() for i in np.flatnonzero(~even)}
+        self.even = np.flatnonzero(even).tolist()
+        lists = pc.split_pattern(texts.filter(pa.array(even)), " ")
+        flat, length = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.zeros(len(flat), bool)
+        begins[np.cumsum(length) - length] = True
+        self.first = flat.filter(pa.array(begins)).to_pylist()
+        rest = flat.filter(pa.array(~begins)).dictionary_encode()
+        self.pieces, self.which, self.times = rest.dictionary.to_pylist(), rest.indices.to_numpy(zero_copy_only=False), length - 1
+
+    def words(self, split: Pretokens) -> set[str]:
+        """The distinct pre-tokens of the texts."""
+        out: set[str] = set()
+        for text in (*self.whole.values(), *self.first):
+            out.update(split.find(text))
+        for _, found in split.runs(self.pieces):
+            out.update(found)
+        return out
+
+    def ids(self, split: Pretokens, ids_of: dict[str, bytes]) -> list[bytes]:
+        """The ids of each text, put together from those of its pre-tokens."""
+        of_piece = _of_pieces(self.pieces, split, ids_of)
+        size = np.fromiter(map(len, of_piece), np.int64, len(of_piece)) // 4
+        flat, start, length = np.frombuffer(b"".join(of_piece), "<u4"), np.cumsum(size) - size, size[self.which]
+        del of_piece
+        ends = np.cumsum(length)
+        out: list = [b""] * self.n
+        last = np.cumsum(self.times)
+        for i, head, a, z in zip(self.even, self.first, (last - self.times).tolist(), last.tolist()):
+            n = length[a:z]
+            at = np.repeat(start[self.which[a:z]] - (ends[a:z] - n), n) + np.arange(ends[a] - n[0], ends[z - 1]) if z > a else np.zeros(0, np.int64)
+            out[i] = b"".join([ids_of[w] for w in split.find(head)]) + flat[at].tobytes()
+        for i, text in self.whole.items():
+            out[i] = b"".join([ids_of[w] for w in split.find(text)])
+        return out
 
 
-def _of_pieces(known: set[str], split: Pretokens, ids_of: dict[str, bytes]) -> dict[str, bytes]:
+def _of_pieces(pieces: list[str], split: Pretokens, ids_of: dict[str, bytes]) -> list[bytes]:
     """The ids of each ' ' + piece: a pre-token that starts with a space begins the next piece."""
-    out = {}
-    for some, found in split.runs(known):
+    out = []
+    for some, found in split.runs(pieces):
         begin = [i for i, w in enumerate(found) if w[0] == " "]
         ids = [ids_of[w] for w in found]
-        for p, a, b in zip(some, begin, [*begin[1:], len(found)], strict=True):
-            out[p] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+        out += [ids[a] if b == a + 1 else b"".join(ids[a:b]) for _, a, b in zip(some, begin, [*begin[1:], len(found)], strict=True)]
     return out
 
 
@@ -127,7 +155,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     order_by = ["__id", "__text"]
 
     def extract(table):
-        words, _ = _distinct(group_rows(table, order_by).column("__text").to_pylist(), _pretokens(pattern))
+        split = _pretokens(pattern)
+        words = _Cut(group_rows(table, order_by).column("__text"), split).words(split)
         out = []
         for bucket, mine in _routed(words, buckets).items():
             lengths = np.fromiter(map(len, mine), "<u4", len(mine))
@@ -156,10 +185,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def finish(table, replies):
         rows = group_rows(table, order_by)
-        split, texts = _pretokens(pattern), rows.column("__text").to_pylist()
-        words, known = _distinct(texts, split)
-        routed, ids_of = _routed(words, buckets), {}
-        del words
+        split = _pretokens(pattern)
+        cut = _Cut(rows.column("__text"), split)
+        routed, ids_of = _routed(cut.words(split), buckets), {}
         while routed:
             bucket, mine = routed.popitem()
             p = replies.pop(bucket)
@@ -168,15 +196,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             raw = unsqueeze(p[8 + n :], np.uint8).tobytes()
             for w, a, b in zip(mine, [0, *ends], ends):
                 ids_of[w.decode()] = raw[a:b]
-        of_piece = _of_pieces(known, split, ids_of)
-        known, out = None, []
-        for text in texts:
-            parts = split.pieces(text or "")
-            if parts is None:
-                out.append(b"".join([ids_of[w] for w in split.find(text)]))
-            else:
-                out.append(b"".join([ids_of[w] for w in split.find(parts[0])]) + b"".join([of_piece[p] for p in itertools.islice(parts, 1, None)]))
-        del texts, ids_of, of_piece
+        out = cut.ids(split, ids_of)
+        del cut, ids_of
         ids = pa.array(out, pa.binary())
         del out
         return pa.table({"__id": rows.column("__id"), "n_tokens": pc.divide(pc.binary_length(ids).cast(pa.int64()), 4), "ids": ids})
