@@ -15,6 +15,10 @@ from .catalog import _LABELLED, _MEASURED, _PLACED, CAP, CUT, LENGTH, NEAR, SQL,
 from .media import known_grid
 
 
+#: Rows of a stream for which it gets another partition of state, up to the session's shuffle partitions.
+STATE_ROWS = 250_000
+
+
 def streamed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame], files: int = 6, end: DataFrame | None = None) -> DataFrame:
     """What a stream writes over rows that arrive file by file in `order`, stopped halfway and started again.
 
@@ -23,6 +27,8 @@ def streamed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame
     """
     spark = rows.sparkSession
     place = scratch_dir(spark)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    parts = max(4, min(int(own), -(-rows.count() // STATE_ROWS)))  # each partition of the state costs every micro-batch a store and a worker
     cuts = rows.select(F.percentile_approx(order, [i / files for i in range(1, files)], 10_000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
     pieces = [rows.where((F.lit(True) if a is None else F.col(order) > a) & (F.lit(True) if z is None else F.col(order) <= z)) for a, z in zip(bounds, bounds[1:])]
@@ -32,7 +38,11 @@ def streamed(rows: DataFrame, order: str, build: Callable[[DataFrame], DataFrame
         for piece in part:
             piece.coalesce(1).write.mode("append").parquet(f"{place}/in")  # one file, so that files arrive in order
         source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
-        run = build(source).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/out")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            run = build(source).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start(f"{place}/out")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", own)
         run.awaitTermination()
     remove_at_exit(spark, place)
     return spark.read.parquet(f"{place}/out")
