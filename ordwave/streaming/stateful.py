@@ -73,9 +73,9 @@ def stream_scenes(df: DataFrame, seq: str, order: str, value: str, length: int =
 
     `fixed` labels by that distance alone, `disabled` labels nothing, `pure` names a boolean column of
     rows that begin or continue a black run where they equal the row before. A null value begins no
-    scene, nor does the row after it.
+    scene, nor does the row after it. Rows with a null sequence are left out.
     """
-    rows = df.select(seq, order, F.col(value).cast("double").alias(value), *([F.coalesce(F.col(pure), F.lit(False)).alias("pure_")] if pure else []))
+    rows = df.where(F.col(seq).isNotNull()).select(seq, order, F.col(value).cast("double").alias(value), *([F.coalesce(F.col(pure), F.lit(False)).alias("pure_")] if pure else []))
     schema = T.StructType([df.schema[seq], df.schema[order], T.StructField(value, T.DoubleType()), T.StructField("is_scene", T.BooleanType())])
     return with_state(rows, [seq], _Scenes((seq, order, value, "pure_" if pure else None), length=length, threshold=threshold, fixed=fixed, disabled=disabled), schema)
 
@@ -141,10 +141,6 @@ class _Interpolation(StatefulProcessor):
         return pd.DataFrame({self.names[0]: [key[0]] * len(out), "pos": np.array(pos, np.int64), "sub_no": np.array(sub, np.int32), self.names[2]: np.array(value, float)})
 
     def handleInputRows(self, key, rows, timerValues):
-        if pd.isna(key[0]):  # a heartbeat: its time alone counts
-            for _ in rows:
-                pass
-            return
         seq, time, value = self.names
         table = _in_order(rows, time)
         state = self.run.get() if self.run.exists() else None
@@ -198,8 +194,9 @@ def stream_interpolate(df: DataFrame, seq: str, time: str, value: str, threshold
     heartbeats, which move the watermark and give nothing; rows with a null value or time are left out.
     `blend(a, b, times)` gives the values between two; it is loaded where it runs.
     """
-    rows = df.where(F.col(time).isNotNull() & (F.col(value).isNotNull() | F.col(seq).isNull()))
-    rows = rows.select(seq, time, F.unix_micros(time).alias("micros_"), F.col(value).cast("double").alias(value))
+    # a condition on the time stays behind the watermark, so that heartbeats have moved it before they go
+    real = F.col(seq).isNotNull() & F.col(value).isNotNull() | (F.col(time) < F.lit("0001-01-01").cast("timestamp"))
+    rows = df.where(F.col(time).isNotNull()).where(real).select(seq, time, F.unix_micros(time).alias("micros_"), F.col(value).cast("double").alias(value))
     schema = T.StructType([df.schema[seq], T.StructField("pos", T.LongType()), T.StructField("sub_no", T.IntegerType()), T.StructField(value, T.DoubleType())])
     return with_state(rows, [seq], _Interpolation((seq, time, value), threshold, cap, cut, mix, idle, blend), schema, "eventTime")
 
