@@ -17,7 +17,7 @@ def _parts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
 
 
-_PATHS = ["abme_best/", "rife_anytime_v1_anime/", "Anime_Sharp/", "anime_smooth_v2/", "anime_training/", "official_2.3/", "official_3.x/", "official_v6_2/", "official_4.6/", "official/", "xvfi/", "other/"]
+_PATHS = ["abme_best/", "some_anytime_v1_anime/", "Anime_Sharp/", "anime_smooth_v2/", "anime_training/", "official_2.3/", "official_3.x/", "official_v6_2/", "official_4.6/", "official/", "xvfi/", "other/"]
 _PATH_LIST = ", ".join(f"'{p}'" for p in _PATHS)
 
 
