@@ -110,13 +110,19 @@ def graded(table: np.ndarray):
 def to_420(colours: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """Frames (n, h, w, 3) of r, g, b in 0 .. 255, of even sides, as bytes: the plane of y, then u and v of half the sides.
 
-    u and v are means over 2 x 2 pixels, kept around 128.
+    u and v are means over 2 x 2 pixels, kept around 128. Products and pixels are added from the first
+    to the last, one by one: whole levels often lie on halves, where another order rounds another way.
     """
     n, h, w, _ = colours.shape
-    y, u, v = np.moveaxis(colours @ matrix.T, -1, 0)
-    quarter = lambda c: c.reshape(n, h // 2, 2, w // 2, 2).mean((2, 4)).reshape(n, -1) + 128
-    planes = np.concatenate([y.reshape(n, -1), quarter(u), quarter(v)], 1)
-    return np.clip(np.floor(planes + 0.5), 0, 255).astype(np.uint8)
+    r, g, b = np.moveaxis(colours, -1, 0)
+    y, u, v = (r * row[0] + g * row[1] + b * row[2] for row in matrix)
+
+    def quarter(c):
+        q = c.reshape(n, h // 2, 2, w // 2, 2)
+        return ((q[:, :, 0, :, 0] + q[:, :, 0, :, 1] + q[:, :, 1, :, 0] + q[:, :, 1, :, 1]) / 4 + 128.5).reshape(n, -1)
+
+    planes = np.concatenate([y.reshape(n, -1) + 0.5, quarter(u), quarter(v)], 1)
+    return np.clip(np.floor(planes), 0, 255).astype(np.uint8)
 
 
 def from_420(planes: np.ndarray, h: int, w: int, matrix: np.ndarray) -> np.ndarray:

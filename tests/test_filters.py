@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -193,6 +194,21 @@ def test_matrix_and_planes():
     assert (restore.from_420(restore.to_420(grey, matrix), 4, 4, matrix) == grey).all()
 
 
+def test_planes_on_halves():
+    """Sums that lie on a half, or next to it, round as the same sums from left to right."""
+    matrix = restore.yuv_matrix()
+    r, g, b = (c.ravel() for c in np.meshgrid(*[np.arange(256)] * 3, indexing="ij"))
+    near = np.flatnonzero((r * 2126 + g * 7152 + b * 722) % 10000 == 5000)
+    colours = np.stack([r, g, b], -1)[near[: len(near) // 8 * 8]].reshape(-1, 2, 4, 3).astype(float)
+    rows = matrix.tolist()
+    want = []
+    for frame in colours.tolist():
+        y, u, v = ([[p[0] * m[0] + p[1] * m[1] + p[2] * m[2] for p in line] for line in frame] for m in rows)
+        halves = lambda c: [math.floor((c[0][x] + c[0][x + 1] + c[1][x] + c[1][x + 1]) / 4 + 128.5) for x in (0, 2)]
+        want.append([*(math.floor(a + 0.5) for line in y for a in line), *halves(u), *halves(v)])
+    assert len(want) > 100 and (restore.to_420(colours, matrix) == np.clip(want, 0, 255)).all()
+
+
 def test_round_trip_within_a_level():
     """Colours that have whole y, u and v come back within one level."""
     matrix = restore.yuv_matrix()
