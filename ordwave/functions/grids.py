@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .arrays import let, mean
 from .motion import flat, stack
+from .restore import parts
 
 # Fixed values of the library's rules: grey weights, tile margin, the area of reference and the flow that it allows.
 GREY = (0.2989, 0.5870, 0.1140)
@@ -151,21 +152,23 @@ def census_loss(h: int, w: int, reach: int = 3):
     """A pandas UDF of two frames: mean soft distance of how each pixel's neighbourhood compares with it, without the outermost pixels.
 
     Differences d to the neighbours become d / sqrt(0.81 + d²); two pixels' descriptions differ by
-    e² / (0.1 + e²) for each neighbour. Neighbours beyond the edges are 0.
+    e² / (0.1 + e²) for each neighbour. Neighbours beyond the edges are 0. An Arrow batch is worked on
+    in parts, as each pixel has (2 reach + 1)² numbers.
     """
 
     def described(px: np.ndarray) -> np.ndarray:
-        padded = np.pad(px.reshape(-1, h, w), ((0, 0), (reach, reach), (reach, reach)))
+        padded = np.pad(px, ((0, 0), (reach, reach), (reach, reach)))
         near = np.stack([padded[:, i : i + h, j : j + w] for i in range(2 * reach + 1) for j in range(2 * reach + 1)], 1)
-        d = near - px.reshape(-1, 1, h, w)
+        d = near - px[:, None]
         return d / np.sqrt(0.81 + d * d)
 
     @F.pandas_udf(T.DoubleType())
     def loss(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        e = described(np.stack(a.to_list()).astype(float)) - described(np.stack(b.to_list()).astype(float))
-        return pd.Series((e * e / (0.1 + e * e)).mean(1)[:, 1:-1, 1:-1].mean((1, 2)))
+        out = np.zeros(len(a))
+        for part in parts(len(a), h * w * (2 * reach + 1) ** 2):
+            e = described(stack(a[part], h, w)) - described(stack(b[part], h, w))
+            out[part] = (e * e / (0.1 + e * e)).mean(1)[:, 1:-1, 1:-1].mean((1, 2))
+        return pd.Series(out)
 
     return loss
 

@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 from .arrays import let
 from .motion import flat, stack
 
-#: Pixels worked on at once in a task.
+#: Values worked on at once in a task.
 PIXELS = 1 << 21
 
 
-def _parts(n: int, pixels: int) -> Iterator[slice]:
+def parts(n: int, pixels: int) -> Iterator[slice]:
+    """Slices of n frames that make `pixels` values each, about PIXELS values in all."""
     step = max(1, PIXELS // max(1, pixels))
     return (slice(i, i + step) for i in range(0, n, step))
 
@@ -50,7 +51,7 @@ def denoised(h: int, w: int, strength: float, patch: int = 1, search: int = 2):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def clean(px: pd.Series) -> pd.Series:
-        return pd.concat([flat(non_local_means(stack(px[part], h, w), strength, patch, search)) for part in _parts(len(px), h * w)] or [pd.Series([], dtype=object)], ignore_index=True)
+        return pd.concat([flat(non_local_means(stack(px[part], h, w), strength, patch, search)) for part in parts(len(px), h * w)] or [pd.Series([], dtype=object)], ignore_index=True)
 
     return clean
 
@@ -190,6 +191,6 @@ def band_energy(h: int, w: int, levels: int = 2, orientations: int = 6):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def energy(px: pd.Series) -> pd.Series:
-        return pd.concat([flat((bands(stack(px[part], h, w), levels, orientations) ** 2).mean((2, 3))) for part in _parts(len(px), h * w * (levels * orientations + 2))] or [pd.Series([], dtype=object)], ignore_index=True)
+        return pd.concat([flat((bands(stack(px[part], h, w), levels, orientations) ** 2).mean((2, 3))) for part in parts(len(px), h * w * (levels * orientations + 2))] or [pd.Series([], dtype=object)], ignore_index=True)
 
     return energy

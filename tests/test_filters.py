@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +321,30 @@ def test_rows_of_broken_xml(spark, tmp_path):
     good = {(r["_key"], r["status"]): r["line"] for r in rows if r["_corrupt_record"] is None}
     assert (2, "F") in good and [tuple(x) for x in good[2, "F"]] == [(1, 5.5), (2, None)]
     assert (None, "O") in good and ["many" in r["_corrupt_record"] for r in rows if r["_corrupt_record"]] == [True]
+
+
+def test_census_in_parts(monkeypatch):
+    """A full Arrow batch is described in parts: the same losses in a bounded memory."""
+    from ordwave.functions import grids
+
+    n = 3000
+    a, b = (pd.Series(list(RNG.normal(size=(n, 64)))) for _ in range(2))
+    loss = grids.census_loss(8, 8).func
+    tracemalloc.start()
+    got = loss(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6
+    monkeypatch.setattr(restore, "PIXELS", 1)
+    assert (loss(a, b) == got).all() and not len(loss(a[:0], b[:0]))
+    p, q = np.pad(a[7].reshape(8, 8), 3), np.pad(b[7].reshape(8, 8), 3)
+
+    def plain(y, x):
+        out = 0.0
+        for i, j in itertools.product(range(7), repeat=2):
+            c, d = (m[y + i, x + j] - m[y + 3, x + 3] for m in (p, q))
+            e = c / np.sqrt(0.81 + c * c) - d / np.sqrt(0.81 + d * d)
+            out += e * e / (0.1 + e * e) / 49
+        return out
+
+    assert got[7] == pytest.approx(np.mean([plain(y, x) for y in range(1, 7) for x in range(1, 7)]))
