@@ -125,3 +125,69 @@ def test_empty_streams(spark):
     assert streamed(none, "t", lambda d: stateful.stream_scenes(d, "s", "t", "v")).count() == 0
     assert streamed(none, "t", lambda d: stateful.stream_interpolate(timed(d), "s", "at", "v", 4.0, 5, 40.0, idle=1)).count() == 0
     assert streamed(none, "t", lambda d: stateful.stream_overdue(timed(d), "s", "v", "at", 1)).count() == 0
+
+
+class Kept:
+    """A list state that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+
+def test_state_calls_of_a_page():
+    """All sequences of a page take one call to read their state and one to write it, and give one table."""
+    import types
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    kept = Kept()
+    scenes_of = stateful._Scenes(T.StructField("s", T.LongType()), "t", "v", None, length=4, threshold=1.0, fixed=30.0)
+    scenes_of.timed = False
+    scenes_of.init(types.SimpleNamespace(getListState=lambda name, schema: kept))
+    made = []
+    for batch in range(3):
+        rows = pd.DataFrame([(s, 10 * batch + t, float((s * 37 + (10 * batch + t) * 53) % 90)) for t in range(2) for s in range(200)], columns=["s", "t", "v"])
+        made += scenes_of.handleInputRows((0,), iter([rows[:150], rows[150:]]), None)
+    assert len(made) == 3 and kept.calls == 6 and len(kept.rows) == 200
+    last = {}
+    for r in pd.concat(made).itertuples():
+        assert r.is_scene == (r.s in last and abs(r.v - last[r.s]) >= 30)
+        last[r.s] = r.v
+
+
+def test_pages_and_files(spark, monkeypatch):
+    """Sequences that share a page, and micro-batches of several files, are told the same; a page's one timer serves all."""
+    from ordwave.plans import streams
+
+    monkeypatch.setattr(stateful, "PAGES", 2)
+    monkeypatch.setattr(streams, "FILE_ROWS", 8)
+    rnd = random.Random(3)
+    rows, t = [], 0
+    for i in range(200):
+        t += rnd.choice([1, 2, 5, 30, 60, 61, 200]) * 1000
+        rows.append((rnd.randrange(9), f"task {i:03}", t, rnd.random() < 0.7))
+    df = with_time(spark, rows, "w int, name string, t long, begins boolean")
+    told = streamed(df, "t", lambda d: stateful.stream_overdue(timed(d), "w", "name", "at", 60_000, begins="begins"), files=5).collect()
+    assert sorted((r["w"], r["name"], r["n_overdue"]) for r in told) == sorted((*k, n) for k, most in plain_overdue(rows, t, 60_000).items() for n in range(1, most + 1))
+
+
+def test_overdue_where_ids_do_not_follow_time(spark, tmp_path):
+    """Users whose events have larger ids but no later times are not late."""
+    import duckdb
+
+    from ordwave.plans import catalog, streams
+
+    db, place = duckdb.connect(), f"{tmp_path}/events.parquet"
+    db.execute(f"copy (select event_id + 1000000 * k as event_id, ts, user_id + 1000000 * k as user_id, value from '/root/testdata/sf0.001/events.parquet', range(3) r(k)) to '{place}' (format parquet)")
+    db.execute(f"create view events as select * from '{place}'")
+    got = sorted(tuple(r) for r in streams.stream_overdue(spark, str(tmp_path)).select("user_id", "event_id", "n_overdue").collect())
+    assert got and got == sorted(db.execute(catalog.SQL["overdue"]).fetchall())
