@@ -109,6 +109,10 @@ def divisive_norm(spark, sf_dir):
     return made.select("vec_id", F.round(arrays.weighted("normalised"), 4).alias("weighted"))
 
 
+#: Rows of an XML file, which one task reads from end to end.
+XML_ROWS = 50_000
+
+
 @query("SELECT o_orderkey, o_orderstatus, count(l_orderkey) AS n_lines, coalesce(sum(l_quantity), 0)::BIGINT AS quantity, min(l_linenumber) AS first_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")
 def xml_rows(spark, sf_dir):
     """Orders with their lines dumped as XML files and read again, a row for each tag, with lines as an array of children."""
@@ -116,7 +120,7 @@ def xml_rows(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus")
     folder = scratch_dir(spark)
     remove_at_exit(spark, folder)
-    orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("_key"), F.col("o_orderstatus").alias("status"), "line").write.format("xml").option("rootTag", "orders").option("rowTag", "order").save(folder)
+    orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("_key"), F.col("o_orderstatus").alias("status"), "line").write.format("xml").option("rootTag", "orders").option("rowTag", "order").option("maxRecordsPerFile", XML_ROWS).save(folder)
     schema = "_key bigint, status string, line array<struct<_number:int,quantity:double>>, _corrupt_record string"
     read = spark.read.format("xml").option("rowTag", "order").schema(schema).load(folder).where("_corrupt_record IS NULL")
     some = F.coalesce(F.col("line"), F.expr("CAST(array() AS array<struct<_number:int,quantity:double>>)"))

@@ -348,3 +348,13 @@ def test_census_in_parts(monkeypatch):
         return out
 
     assert got[7] == pytest.approx(np.mean([plain(y, x) for y in range(1, 7) for x in range(1, 7)]))
+
+
+def test_xml_files_are_small(spark, sf, tmp_path, monkeypatch):
+    """One task reads an XML file from end to end, so a file has few rows, however many a task writes."""
+    from ordwave.plans import filters
+
+    monkeypatch.setattr(filters, "XML_ROWS", 100, raising=False)
+    monkeypatch.setattr(filters, "scratch_dir", lambda spark: f"{tmp_path}/xml")
+    assert len(filters.xml_rows(spark, sf).collect()) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert max(f.read_text().count("</order>") for f in (tmp_path / "xml").glob("part-*")) <= 100
