@@ -191,3 +191,61 @@ def test_overdue_where_ids_do_not_follow_time(spark, tmp_path):
     db.execute(f"create view events as select * from '{place}'")
     got = sorted(tuple(r) for r in streams.stream_overdue(spark, str(tmp_path)).select("user_id", "event_id", "n_overdue").collect())
     assert got and got == sorted(db.execute(catalog.SQL["overdue"]).fetchall())
+
+
+class Received(stateful._Scenes):
+    """Gives a row for each call: how many rows the worker was handed for the page."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        yield pd.DataFrame({"s": [key[0]], "t": [sum(len(frame) for frame in rows)], "v": [0.0], "is_scene": [False]})
+
+
+def test_rows_come_packed(spark):
+    """A page's rows of a task come as one, not one by one."""
+    from pyspark.sql import types as T
+
+    rows = spark.createDataFrame([(k % 50, k, float(k)) for k in range(4000)], "s long, t long, v double")
+    schema = T.StructType([*rows.schema, T.StructField("is_scene", T.BooleanType())])
+    got = streamed(rows, "t", lambda d: stateful.with_state(d, Received(rows.schema["s"], "t", "v", None, length=4, threshold=1.0), schema, pages=5), files=2).collect()
+    assert sorted((r["s"], r["t"]) for r in got) == [(page, 1) for page in range(5) for _ in range(2)]
+
+
+def test_packed_columns(spark, monkeypatch):
+    """Packing keeps the values of all kinds, their order within a page and every row; scenes follow an order that is a time."""
+    monkeypatch.setattr(stateful, "PACKED", 7)
+    rows = [(k % 3, k, None if k % 5 == 0 else f"n{k}", k * 1.5 if k % 4 else None, k % 2 == 0) for k in range(100)]
+    df = spark.createDataFrame(rows, "page long, k long, name string, v double, flag boolean").coalesce(1)
+    got = [(r["page"], *x) for r in stateful.packed(df, "page").collect() for x in zip(r["k"], r["name"], r["v"], r["flag"])]
+    assert sorted(got) == sorted(rows) and [x for x in got if x[0] == 1] == [x for x in rows if x[0] == 1]
+    timed_rows = with_time(spark, [(f"s{k % 4}", k * MINUTE, float(k * 37 % 90)) for k in range(120)], "s string, t long, v double")
+    for order in ("at", "t"):
+        made = streamed(timed_rows, "t", lambda d: stateful.stream_scenes(d, "s", order, "v", fixed=30.0), files=3).select("s", F.unix_micros(F.col(order)) if order == "at" else F.col("t") + 1_000_000_000 * 1_000_000, "is_scene").collect()  # noqa: B023
+        assert sorted(map(tuple, made)) == sorted((f"s{k % 4}", k * MINUTE + 1_000_000_000 * 1_000_000, k >= 4 and abs(k * 37 % 90 - (k - 4) * 37 % 90) >= 30) for k in range(120))
+
+
+def test_late_rows(spark):
+    """A row from before its sequence's last one is left out; one that is late for others only counts."""
+    first = stateful._Overdue(*[spark.createDataFrame([], f"{c} string").schema[c] for c in ("w", "name")], 60, False)
+    out = []
+    state = first.fold("a", [["x"], [100]], None, out)
+    assert first.fold("a", [["old"], [40]], state, out) == state and not out
+    assert first.fold("b", [["old"], [40]], None, out) == ("old", 40, 0)
+
+
+def test_spread_is_found_once_a_row(monkeypatch):
+    """The labeller takes the spread before a row from the row before, also after cuts, learning and replaced rows."""
+    calls, plain = [], scenes.SceneState.spread
+    monkeypatch.setattr(scenes.SceneState, "spread", lambda self: calls.append(1) or plain(self))
+    rnd = random.Random(5)
+    state, again = scenes.SceneState(4, 1.0), scenes.SceneState(4, 1.0)
+    for _ in range(300):
+        d, how = rnd.choice([0.0, 1.0, rnd.uniform(0, 60), 90.0]), {rnd.choice(["only_learn", "replace_last"]): rnd.random() < 0.2}
+        again.known = None  # found anew
+        assert state.step(d, False, **how) == again.step(d, False, **how) and state.diffs == again.diffs
+    calls.clear()
+    state = scenes.SceneState(4, 1e9)
+    for k in range(104):
+        state.step(1.0 + k % 7, False)
+    assert len(calls) == 101
