@@ -249,3 +249,44 @@ def test_spread_is_found_once_a_row(monkeypatch):
     for k in range(104):
         state.step(1.0 + k % 7, False)
     assert len(calls) == 101
+
+
+def test_sequences_share_rows_of_state(monkeypatch):
+    """A page's state is moved as few rows of arrays, not a row for each sequence; all kinds of fields come back as they were."""
+    import types
+
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(stateful, "TOGETHER", 3)
+    key, name = T.StructField("s", T.StringType()), T.StructField("name", T.StringType())
+    states = {
+        stateful._Scenes(key, "t", "v", "p", length=4, threshold=1.0): [(1.5, True, [0.5, 2.0]), (None, False, []), (0.0, True, [1.0])],
+        stateful._Dedup(key, "t", "v", 4.0, 5): [(1.5, 2), (None, 0)],
+        stateful._Interpolation(key, "v", 4.0, 5, 40.0, False, 60, stateful.linear): [(1.5, 7, 2.5, 10, [1.0, 2.0]), (0.5, 0, 0.5, 11, [])],
+        stateful._Overdue(key, name, 60, False): [("a", 1, 0), (None, 2, 3)],
+    }
+    for processor, some in states.items():
+        kept, processor.together = Kept(), stateful.TOGETHER
+        processor.init(types.SimpleNamespace(getListState=lambda name, schema, kept=kept: kept))
+        want = {f"s{k}": list(some[k % len(some)]) for k in range(10)}
+        processor._store(want)
+        assert len(kept.rows) == 4 and all(len(row) == len(processor.state) and len(set(map(len, row))) == 1 for row in kept.rows)
+        assert all(isinstance(field.dataType, T.ArrayType) for field in processor.state)
+        assert processor._load() == want
+
+
+@pytest.mark.parametrize("together", [2, 4096])
+def test_streams_with_shared_rows_of_state(spark, values, monkeypatch, together):
+    """Runs and scenes are carried over micro-batches and the restart in rows of state that several sequences share, also where keys are text and values are null."""
+    monkeypatch.setattr(stateful, "PAGES", 1)
+    monkeypatch.setattr(stateful, "TOGETHER", together)
+    rows = [(f"s{s}", i, v, dark) for s, i, v, dark in values] + [("s0", 300, None, None), ("s0", 301, 5.0, None)]
+    df = spark.createDataFrame(rows, "s string, t long, v double, dark boolean")
+    got = streamed(df, "t", lambda d: stateful.stream_scenes(d, "s", "t", "v", 4, 1.0, pure="dark"), files=5)
+    want = {}
+    for s in ("s0", "s1", "s2"):
+        state, last = scenes.SceneState(4, 1.0), None
+        for _, i, v, dark in sorted(r for r in rows if r[0] == s):
+            want[s, i] = state.step(None if v is None or last is None else abs(v - last), bool(dark))
+            last = v
+    assert {(r["s"], r["t"]): r["is_scene"] for r in got.collect()} == want
